@@ -1,0 +1,51 @@
+"""Shared folders, stored intermediate tables and size-checked broadcasts."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def shared_dir(spark: SparkSession, label: str) -> str:
+    """A fresh folder path under ``spark.checkpoint.dir``.
+
+    The setting is read from the session.  Only a local session without it
+    (tests) gets a folder of its own; a cluster without it is an error, since a
+    machine-local folder would not be seen by the other executors.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-geoquilt-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    This cuts the lineage: a lost executor costs the tasks it held, not the
+    whole chain, because the files are in shared storage.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_within(df: DataFrame, row_bytes: int, max_bytes: int = 32 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows fit ``max_bytes``.
+
+    ``row_bytes`` is an upper estimate of one row in memory.  Beyond the bound
+    the hint is left off and Spark shuffles the join.
+    """
+    return F.broadcast(df) if df.count() * row_bytes <= max_bytes else df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One input table, by a path that only Spark's reader has to understand."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
