@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoquilt.llm import q_curriculum
+from geoquilt.llm import q_curriculum, q_url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_rules": q_url_rules.op2_url_rules,
     "op10_curriculum_mix": q_curriculum.op10_curriculum_mix,
 }
 ORACLES: dict[str, str] = {
+    "op2_url_rules": q_url_rules.SQL,
     "op10_curriculum_mix": q_curriculum.SQL,
 }
