@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoquilt.llm import q_curriculum, q_url_rules
+from geoquilt.llm import q_curriculum, q_url_rules, q_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_roundtrip": q_warc.op1_warc_roundtrip,
     "op2_url_rules": q_url_rules.op2_url_rules,
     "op10_curriculum_mix": q_curriculum.op10_curriculum_mix,
 }
 ORACLES: dict[str, str] = {
+    "op1_warc_roundtrip": q_warc.SQL,
     "op2_url_rules": q_url_rules.SQL,
     "op10_curriculum_mix": q_curriculum.SQL,
 }

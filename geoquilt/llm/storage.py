@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,3 +51,16 @@ def broadcast_within(df: DataFrame, row_bytes: int, max_bytes: int = 32 << 20) -
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, by a path that only Spark's reader has to understand."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def range_of(key: Column, cuts: Sequence, literal: Callable[[object], Column] = F.lit) -> Column:
+    """Number of sorted cut points up to ``key``, found in two steps of about sqrt(n) comparisons."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts) - 1) + 1
+    chunks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    row = lambda xs: F.array(*map(literal, xs))
+    upto = lambda xs: F.size(F.filter(xs, lambda c: c <= key))
+    chunk = upto(row([c[0] for c in chunks]))
+    inner = F.element_at(F.array(*map(row, chunks)), F.greatest(chunk, F.lit(1)))
+    return F.when(chunk == 0, 0).otherwise((chunk - 1) * step + upto(inner)).cast("int")

@@ -21,6 +21,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from geoquilt.llm.storage import range_of
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Keys per range, ranges at most, sampled keys per range, and bytes of a cut point.
 ROWS_PER_RANGE, MAX_RANGES, SAMPLE_PER_RANGE, CUT_BYTES = 4096, 1024, 16, 64
@@ -71,19 +73,6 @@ def _cut_points(points: DataFrame, intervals: DataFrame) -> list[bytes]:
     return sorted({ordered[i * len(ordered) // ranges] for i in range(1, ranges)})
 
 
-def _range_of(key: Column, cuts: list[bytes]) -> Column:
-    """Number of cut points up to ``key``, found in two steps of about sqrt(n) comparisons."""
-    if not cuts:
-        return F.lit(0)
-    step = math.isqrt(len(cuts) - 1) + 1
-    chunks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    literal = lambda xs: F.array(*[F.unhex(F.lit(x.hex())) for x in xs])
-    upto = lambda xs: F.size(F.filter(xs, lambda c: c <= key))
-    chunk = upto(literal([c[0] for c in chunks]))
-    inner = F.element_at(F.array(*[literal(c) for c in chunks]), F.greatest(chunk, F.lit(1)))
-    return F.when(chunk == 0, 0).otherwise((chunk - 1) * step + upto(inner)).cast("int")
-
-
 def sweep(points: DataFrame, intervals: DataFrame) -> DataFrame:
     """``points`` with ``stack``: the ids of the intervals around ``key``, outermost first.
 
@@ -95,7 +84,7 @@ def sweep(points: DataFrame, intervals: DataFrame) -> DataFrame:
     empty stack.
     """
     cuts = _cut_points(points, intervals)
-    where = lambda c: _range_of(F.col(c), cuts)
+    where = lambda c: range_of(F.col(c), cuts, lambda x: F.unhex(F.lit(x.hex())))
     held = intervals.select(
         "id", "lo", "hi", F.explode(F.sequence(where("lo"), where("hi"))).alias("range")
     ).groupBy("range").agg(F.array_sort(
