@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoquilt.llm import q_curriculum, q_url_rules, q_warc
+from geoquilt.llm import q_curriculum, q_decontam, q_url_rules, q_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_roundtrip": q_warc.op1_warc_roundtrip,
     "op2_url_rules": q_url_rules.op2_url_rules,
+    "op6_decontaminate": q_decontam.op6_decontaminate,
     "op10_curriculum_mix": q_curriculum.op10_curriculum_mix,
 }
 ORACLES: dict[str, str] = {
     "op1_warc_roundtrip": q_warc.SQL,
     "op2_url_rules": q_url_rules.SQL,
+    "op6_decontaminate": q_decontam.SQL,
     "op10_curriculum_mix": q_curriculum.SQL,
 }
