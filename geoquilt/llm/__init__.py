@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoquilt.llm import q_curriculum, q_decontam, q_url_rules, q_warc
+from geoquilt.llm import q_curriculum, q_decontam, q_secrets, q_url_rules, q_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_roundtrip": q_warc.op1_warc_roundtrip,
     "op2_url_rules": q_url_rules.op2_url_rules,
     "op6_decontaminate": q_decontam.op6_decontaminate,
+    "op7_secret_scan": q_secrets.op7_secret_scan,
     "op10_curriculum_mix": q_curriculum.op10_curriculum_mix,
 }
 ORACLES: dict[str, str] = {
