@@ -35,7 +35,7 @@ REPORTING = frozenset(
     "sagte schrieb nannte zitierte wort dit disait ecrit traite mot dijo escribio llamo palabra".split()
 )
 REACH = 4
-FEATURES = 8
+FEATURES = 10
 MAX_CACHE = 300_000
 DETAIL = "struct<score:double,hits:int,fuzzy:int,quoted:int>"
 
@@ -162,6 +162,8 @@ class ToxicityModel:
             x[4:6] = [np.log1p(_window_score(found, q)) for q in (False, True)]
             x[6] = max((w for _, w, f, q in found if not f and not q), default=0.0)
             x[7] = np.log1p(1000 * sum(w for _, w, f, q in found if not q) / n) / 4
+            x[8] = np.log1p(sum(not f and not q for _, _, f, q in found))
+            x[9] = np.log1p(1000 * sum(not f and not q for _, _, f, q in found) / n) / 4
         return x, found
 
     def score(self, text: str) -> tuple[float, list[tuple[int, float, bool, bool]]]:
@@ -211,7 +213,7 @@ def _quoted(text: str, words: list[str], hits: set[int]) -> set[int]:
     return found
 
 
-def learn_lexicon(texts: DataFrame, min_share: float = 0.001, min_support: int = 3, max_terms: int = 2000, min_g: float = 12.0) -> tuple[dict[str, float], dict[str, float]]:
+def learn_lexicon(texts: DataFrame, min_share: float = 0.001, min_support: int = 3, max_terms: int = 2000, min_g: float = 18.0, min_weight: float = 1.5) -> tuple[dict[str, float], dict[str, float]]:
     """Weights of words and of stems from ``texts(doc_id, text, y)``.
 
     A term must stand in ``min_support`` toxic texts and ``min_share`` of them,
@@ -239,7 +241,7 @@ def learn_lexicon(texts: DataFrame, min_share: float = 0.001, min_support: int =
     weight = F.log((F.col("t") + 0.5) / (n_toxic + 1) / ((F.col("o") + 0.5) / (n_other + 1)))
     ranked = (
         counts.withColumns({"g": 2 * (part(F.col("t"), n_toxic / all_n) + part(F.col("o"), n_other / all_n)), "weight": weight})
-        .where((F.col("g") >= min_g) & (F.col("weight") >= 1.5))
+        .where((F.col("g") >= min_g) & (F.col("weight") >= min_weight))
         .orderBy(F.desc("g"), "term")
         .limit(max_terms)
         .collect()
