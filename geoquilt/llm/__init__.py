@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoquilt.llm import q_curriculum, q_decontam, q_quality, q_secrets, q_toxicity, q_url_rules, q_warc
+from geoquilt.llm import q_curriculum, q_decontam, q_near_dedup, q_quality, q_secrets, q_toxicity, q_url_rules, q_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_roundtrip": q_warc.op1_warc_roundtrip,
     "op2_url_rules": q_url_rules.op2_url_rules,
     "op3_toxicity": q_toxicity.op3_toxicity,
     "op4_quality": q_quality.op4_quality,
+    "op5_near_dedup": q_near_dedup.op5_near_dedup,
     "op6_decontaminate": q_decontam.op6_decontaminate,
     "op7_secret_scan": q_secrets.op7_secret_scan,
     "op10_curriculum_mix": q_curriculum.op10_curriculum_mix,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_warc_roundtrip": q_warc.SQL,
     "op2_url_rules": q_url_rules.SQL,
+    "op5_near_dedup": q_near_dedup.SQL,
     "op6_decontaminate": q_decontam.SQL,
     "op10_curriculum_mix": q_curriculum.SQL,
 }
