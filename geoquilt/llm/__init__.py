@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoquilt.llm import q_curriculum, q_decontam, q_multi_index, q_near_dedup, q_quality, q_secrets, q_toxicity, q_url_rules, q_warc
+from geoquilt.llm import q_curriculum, q_decontam, q_multi_index, q_near_dedup, q_quality, q_quotes, q_secrets, q_toxicity, q_url_rules, q_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_roundtrip": q_warc.op1_warc_roundtrip,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_dedup": q_near_dedup.op5_near_dedup,
     "op6_decontaminate": q_decontam.op6_decontaminate,
     "op7_secret_scan": q_secrets.op7_secret_scan,
+    "op8_quote_links": q_quotes.op8_quote_links,
     "op9_embedding_dedup": q_multi_index.op9_embedding_dedup,
     "op10_curriculum_mix": q_curriculum.op10_curriculum_mix,
 }
@@ -24,6 +25,7 @@ ORACLES: dict[str, str] = {
     "op2_url_rules": q_url_rules.SQL,
     "op5_near_dedup": q_near_dedup.SQL,
     "op6_decontaminate": q_decontam.SQL,
+    "op8_quote_links": q_quotes.SQL,
     "op9_embedding_dedup": q_multi_index.SQL,
     "op10_curriculum_mix": q_curriculum.SQL,
 }
