@@ -220,10 +220,14 @@ def learn_lexicon(texts: DataFrame, min_share: float = 0.001, min_support: int =
     and its log-likelihood ratio must reach ``min_g``; the best ``max_terms`` are
     kept.  Texts that share the least hash of their long words are near copies
     and count once.  The weight is the log ratio of the shares in toxic and other
-    texts.  A word that a stem of at least the same weight begins is left out.
+    texts.  A stem is left out if one word has most of its support, or if a shorter
+    stem is as good.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)))
-    stems = [F.transform(F.filter("w", lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
+    def stems_of(n: int) -> Column:
+        return F.transform(F.filter("w", lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+    stems = [stems_of(n) for n in STEMS]
     long_words = F.transform(F.filter("w", lambda w: F.length(w) >= 8), lambda w: F.xxhash64(w))
     terms = (
         texts.select("y", words.alias("w"), F.xxhash64("doc_id", "text").alias("own"))
@@ -248,9 +252,12 @@ def learn_lexicon(texts: DataFrame, min_share: float = 0.001, min_support: int =
     )
     found = {r["term"]: float(r["weight"]) for r in ranked}
     stem = {t[:-1]: w for t, w in found.items() if t.endswith("*")}
+    word = {t: w for t, w in found.items() if not t.endswith("*")}
+    support = {r["term"]: r["t"] for r in ranked}
+    # a stem that owes its support to one word says less than the word
+    stem = {s: w for s, w in stem.items() if support[s + "*"] * 0.7 > max((support[t] for t in word if t.startswith(s)), default=0)}
     # a longer stem adds nothing to a shorter one that is as sure of itself
     stem = {s: w for s, w in stem.items() if not any(stem.get(s[:n], -1.0) >= w - 0.5 for n in STEMS if n < len(s))}
-    word = {t: w for t, w in found.items() if not t.endswith("*") and not any(stem.get(t[:n], -1.0) >= w - 0.5 for n in STEMS)}
     return word, stem
 
 
