@@ -124,7 +124,7 @@ def encode_text(points: DataFrame, position_step: float = 0.0005, normal_step: f
     """
     p = [quantize(F.col(c), position_step) + F.lit(0.0) for c in XYZ]
     n = [quantize(F.col(c), normal_step) + F.lit(0.0) for c in ("nx", "ny", "nz")]
-    rgb = [F.coalesce(F.bround(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0)) * 255), F.lit(200)).cast("int") for c in "rgb"]
+    rgb = [F.when(F.col(c).isNull(), 200).otherwise(F.bround(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0)) * 255)).cast("int") for c in "rgb"]
     return points.select("pid", F.format_string("%.6f %.6f %.6f %.3f %.3f %.3f %d %d %d", *p, *n, *rgb).alias("value"))
 
 
