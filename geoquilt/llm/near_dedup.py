@@ -278,11 +278,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     found = classes(docs.select("doc_id", "text"))
     kept = found.where("NOT empty").groupBy("class_id", "node").agg(F.min("doc_id").alias("keep_id"), F.max("n_class").alias("n"))
-    kept = kept.where(F.col("keep_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("keep_node"))
+    kept = kept.where(F.col("keep_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("class_id").alias("__class")).agg(F.min("node").alias("__keep"))
     keyed = docs.withColumn("__node", node(normal_text(F.col("text"))))
     is_empty = F.col("__node") == node(F.lit(""))
     own = keyed.where(~is_empty).join(
-        kept, (F.col("__node") == F.col("keep_node")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
+        kept, (F.col("__node") == F.col("__keep")) & F.col("doc_id").eqNullSafe(F.col("__class"))
     )
     first = own.dropDuplicates(["__node", "doc_id"])
     return first.select(*docs.columns).unionByName(keyed.where(is_empty).select(*docs.columns))
