@@ -170,7 +170,7 @@ def forest(left: list[int], right: list[int], sketches: np.ndarray, sets: list,
 
     weight = np.array([s[1].sum() for s in sets], float)
     cut = least - (SIMILARITY - _CUT)
-    others, kept = np.array(right), []
+    others, kept = np.array(right, int), []
     for i in left:
         agree = (sketches[others] == sketches[i]).mean(1)
         share = np.minimum(weight[others], weight[i]) / np.maximum(weight[others], weight[i])
