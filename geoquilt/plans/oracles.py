@@ -199,4 +199,9 @@ ORACLES: dict[str, str] = {
     "objective_topk": using("SELECT trial, round(loss, 6) AS loss FROM losses ORDER BY losses.loss, trial LIMIT 5", trials=TRIALS, losses=LOSS),
     "moving_avg_trials": using("SELECT trial % 8 AS series, trial, round(loss, 6) AS loss, round(avg(losses.loss) OVER (PARTITION BY trial % 8 ORDER BY trial ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS average FROM losses", trials=TRIALS, losses=LOSS),
     "objective_all": using("SELECT trial, round(loss, 6) AS loss FROM losses", trials=TRIALS, losses=LOSS),
+    "laplacian_blend": using("SELECT pid, " + ", ".join(f"round(0.5::DOUBLE * p.{c} + 0.5::DOUBLE * m{c}, 6) + 0.0::DOUBLE AS {c}" for c in "xyz") + " FROM points p JOIN (SELECT i, sum(w * b.x) / sum(w) AS mx, sum(w * b.y) / sum(w) AS my, sum(w * b.z) / sum(w) AS mz FROM weights JOIN points b ON b.pid = j GROUP BY i) ON i = p.pid", points=POINTS, near=NEAR % 8, weights="SELECT i, j, greatest(exp(-(d * d) / (2 * s * s)), 1e-12) AS w FROM near JOIN (SELECT i, greatest(0.6::DOUBLE * quantile_cont(d, 0.5), 1e-12) AS s FROM near GROUP BY i) USING (i)"),
+    "gated_junctions": using(f"SELECT pid, {r('x', 'y', 'z')} FROM (SELECT i AS pid, " + ", ".join(f"coalesce(avg({c}) FILTER (ok), avg({c})) AS {c}" for c in "xyz") + " FROM (SELECT *, nx * mx + ny * my + nz * mz > cos(radians(60.3)) * sqrt(mx * mx + my * my + mz * mz) AS ok FROM (SELECT *, avg(nx) OVER w AS mx, avg(ny) OVER w AS my, avg(nz) OVER w AS mz FROM ball WINDOW w AS (PARTITION BY i))) GROUP BY i)", points=ORIENTED, pairs=PAIRS % 0.04, arcs=BOTH, ball=f"SELECT a.pid AS i, b.x, b.y, b.z, b.nx, b.ny, b.nz FROM points a JOIN points b ON {DIST} <= 0.1 WHERE a.pid IN (SELECT u FROM arcs GROUP BY u HAVING count(*) >= 3)"),
+    "polyline_prune": using("SELECT line_id, seq FROM lines WHERE line_id IN (SELECT line_id FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY seq) - 1 AS k, count(*) OVER (PARTITION BY line_id) AS n FROM lines), box WHERE k = n // 2 AND abs(x - mx) <= hx AND abs(y - my) <= hy AND abs(z - mz) <= hz)", lines=LINES, box="SELECT " + ", ".join(f"(min({c}) + max({c})) / 2 AS m{c}, (max({c}) - min({c})) / 2 * 1.1::DOUBLE + 1e-12 AS h{c}" for c in "xyz") + " FROM lines WHERE seq <= 40"),
+    "mesh_prune": using("SELECT tid FROM mesh_t WHERE a IN (FROM good) OR b IN (FROM good) OR c IN (FROM good)", **MESH, good=f"SELECT DISTINCT a.vid FROM mesh_v a JOIN mesh_v b ON b.vid % 97 = 0 AND {DIST} <= 0.0213"),
+    "vertex_normals": using("SELECT vid, " + ", ".join(f"round(CASE WHEN s > 0 THEN {c} / s ELSE {e} END, 6) + 0.0::DOUBLE AS {c}" for c, e in (("nx", 0.0), ("ny", 0.0), ("nz", 1.0))) + " FROM (SELECT v.vid, nx, ny, nz, sqrt(nx * nx + ny * ny + nz * nz) AS s FROM mesh_v v LEFT JOIN (SELECT vid, sum(nx) AS nx, sum(ny) AS ny, sum(nz) AS nz FROM (SELECT unnest([a, b, c]) AS vid, nx, ny, nz FROM tri) GROUP BY vid) n ON n.vid = v.vid)", **MESH),
 }

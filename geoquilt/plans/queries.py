@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoquilt.functions.linalg import rounded
-from geoquilt.operators import cameras, clouds, graphs, metrics, raster, search, shapes, spatial
+from geoquilt.operators import cameras, clouds, graphs, meshes, metrics, raster, registration, search, shapes, skeletons, smoothing, spatial
 from geoquilt.sources import views
 
 XYZ = ("x", "y", "z")
@@ -460,3 +460,74 @@ def moving_avg_trials(s, d):
 @query
 def objective_all(s, d):
     return views.trials(s, d).select("trial", rounded(search.objective()).alias("loss"))
+
+
+@query
+def laplacian_blend(s, d):
+    return smoothing.laplacian_blend(views.points(s, d), 8, 0.5).select("pid", *r6(*XYZ))
+
+
+@query
+def gated_junctions(s, d):
+    p = views.points(s, d)
+    edges = spatial.radius_pairs(p, 0.04)
+    return skeletons.gated_junctions(p, edges, views.oriented_points(s, d), 0.1, 60.3).select("pid", *r6(*XYZ))
+
+
+@query
+def polyline_prune(s, d):
+    kept = meshes.prune_polylines(views.polylines(s, d), views.polylines(s, d).where("seq <= 40"))
+    return kept.select("line_id", "seq")
+
+
+@query
+def mesh_prune(s, d):
+    vertices, triangles = views.height_mesh(s, d)
+    cloud = vertices.where("vid % 97 = 0").select(F.col("vid").alias("pid"), *XYZ)
+    return meshes.prune_by_distance(vertices, triangles, cloud, 0.0213).select("tid")
+
+
+@query
+def vertex_normals(s, d):
+    return meshes.vertex_normals(*views.height_mesh(s, d)).select("vid", *r6("nx", "ny", "nz"))
+
+
+@query
+def estimate_normals(s, d):
+    return smoothing.estimate_normals(views.points(s, d)).select("pid", *r6("nx", "ny", "nz"))
+
+
+@query
+def contraction(s, d):
+    return smoothing.contract(views.points(s, d), 2).select("step", "pid", *r6(*XYZ))
+
+
+@query
+def mls_smoothing(s, d):
+    return smoothing.mls_step(views.points(s, d), 0.12).select("pid", *r6(*XYZ))
+
+
+@query
+def line_fits(s, d):
+    return smoothing.fit_lines(views.polylines(s, d)).select("line_id", "n", *r6("linearity", "length"))
+
+
+@query
+def skeleton_chains(s, d):
+    return skeletons.chains(spatial.radius_pairs(views.points(s, d), 0.04)).select("start.a", "start.b", "seq", "vid")
+
+
+@query
+def skeleton_report(s, d):
+    p = views.points(s, d)
+    return skeletons.report(*skeletons.fit_skeleton(p, 0.15, rounds=1), p)
+
+
+@query
+def feature_histograms(s, d):
+    return registration.feature_histograms(views.oriented_points(s, d), 0.15)
+
+
+@query
+def surface_samples(s, d):
+    return meshes.sample_surface(*views.height_mesh(s, d), 2000).select("tid", "k", *r6(*XYZ))
