@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from geoquilt.llm import curriculum, decontam, near_dedup, secrets, toxicity
 from geoquilt.llm.q_toxicity import THRESHOLD
-from geoquilt.llm.storage import stored, table
+from geoquilt.storage import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoquilt.llm.storage import broadcast_within, stored
+from geoquilt.storage import broadcast_within, stored
 
 #: After lower-casing A-Z: runs of digits, a-z and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

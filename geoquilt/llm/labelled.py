@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoquilt.llm.storage import broadcast_within
+from geoquilt.storage import broadcast_within
 
 FOLDS, HELD_OUT = 3, 1
 GRAIN = 1_000_000

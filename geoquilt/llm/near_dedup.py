@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoquilt.llm.components import components
-from geoquilt.llm.storage import broadcast_within, stored
+from geoquilt.operators.components import components
+from geoquilt.storage import broadcast_within, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoquilt.llm.storage import shared_dir, table
+from geoquilt.storage import shared_dir, table
 from geoquilt.llm.warc import read_archives, write_archives
 
 

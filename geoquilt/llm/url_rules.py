@@ -21,7 +21,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geoquilt.llm.storage import range_of
+from geoquilt.storage import range_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Keys per range, ranges at most, sampled keys per range, and bytes of a cut point.

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoquilt.llm import curriculum, decontam, multi_index, near_dedup, quotes, url_rules, warc
-from geoquilt.llm.storage import shared_dir
+from geoquilt.storage import shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
