@@ -141,3 +141,39 @@ def deterministic_sample(points: DataFrame, n: int) -> DataFrame:
     """``n`` rows in the order of an arithmetic hash of pid, the same in every run."""
     key = F.pmod(F.col("pid") * 2_654_435_761, F.lit(1_000_003))
     return points.orderBy(key, "pid").limit(n)
+
+
+def gray_by_height(points: DataFrame) -> DataFrame:
+    """``points`` with r, g, b: given colors stay, missing ones are the height's place between least and largest z."""
+    span = points.agg(F.min("z").alias("z0"), F.max("z").alias("z1"))
+    height = F.when(F.col("z1") > F.col("z0"), (F.col("z") - F.col("z0")) / (F.col("z1") - F.col("z0"))).otherwise(0.5)
+    own = [F.coalesce(F.col(c), height) if c in points.columns else height for c in "rgb"]
+    return points.join(F.broadcast(span)).select(*[c for c in points.columns if c not in "rgb"], *[v.alias(c) for v, c in zip(own, "rgb", strict=True)])  # one row
+
+
+def tinted(points: DataFrame, color: tuple[float, float, float], amount: float) -> DataFrame:
+    """``points`` with r, g, b mixed with a color: (1 - amount) * own + amount * color."""
+    return points.withColumns({c: (1 - amount) * F.col(c) + amount * v for c, v in zip("rgb", color, strict=True)})
+
+
+def hue(index: Column, n: int, saturation: float = 0.65, value: float = 1.0) -> list[Column]:
+    """r, g, b of ``n`` evenly spaced hues."""
+    h = F.pmod(index, F.lit(n)) * (6.0 / n)
+    channel = lambda k: value - value * saturation * F.greatest(F.least(F.pmod(h + k, F.lit(6.0)), 4 - F.pmod(h + k, F.lit(6.0)), F.lit(1.0)), F.lit(0.0))
+    return [channel(5.0), channel(3.0), channel(1.0)]
+
+
+def kernel_radius(points: DataFrame, scale: float = 0.55, most: int = 16) -> DataFrame:
+    """One row: pixel radius of a disk, from the median third-neighbour distance, and the odd closing and opening sizes.
+
+    Fewer than eight points give radius 1.
+    """
+    third = knn_self(points, 3).where("rank = 3").agg(F.percentile("d", 0.5).alias("d"), (F.count("*")).alias("n"))
+    radius = F.when(F.col("n") < 8, 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(most), F.ceil(F.col("d") * scale)))).cast("int")
+    sized = third.select(radius.alias("radius"))
+    return sized.select("radius", F.greatest(F.lit(3), 2 * F.col("radius") + 1).alias("closing"), F.greatest(F.lit(3), (2 * F.bround(1.5 * F.col("radius")) + 1)).cast("int").alias("opening"))
+
+
+def typical_spacing(points: DataFrame, scale: float = 1.0, default: float = 0.01) -> DataFrame:
+    """One row: the scaled median distance to the nearest neighbour, ``default`` without one."""
+    return knn_self(points, 1).agg(F.coalesce(scale * F.percentile("d", 0.5), F.lit(default)).alias("sigma"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoquilt.functions.linalg import cross, dot, norm
 from geoquilt.operators.components import components
+from geoquilt.operators.numbering import numbered
 from geoquilt.operators.spatial import XYZ, knn_self, radius_join, radius_pairs
 from geoquilt.storage import stored
 
@@ -46,8 +47,8 @@ def merge_cells(nodes: DataFrame, size: float) -> DataFrame:
     """Old to new ids by cells of ``size``: (vid, new_id, x, y, z), new ids dense in the order of the first old id."""
     keys = [F.floor(F.col(c) / size).alias(f"k{c}") for c in XYZ]
     merged = nodes.groupBy(*keys).agg(F.min("vid").alias("first"), *[F.avg(c).alias(c) for c in XYZ])
-    numbered = merged.withColumn("new_id", F.row_number().over(Window.orderBy("first")).cast("long") - 1)
-    placed = nodes.select("vid", *keys).alias("n").join(numbered.alias("m"), [F.col(f"n.k{c}") == F.col(f"m.k{c}") for c in XYZ])
+    dense = numbered(merged, "first", "new_id")
+    placed = nodes.select("vid", *keys).alias("n").join(dense.alias("m"), [F.col(f"n.k{c}") == F.col(f"m.k{c}") for c in XYZ])
     return placed.select("vid", "new_id", *[F.col(f"m.{c}").alias(c) for c in XYZ])
 
 

@@ -180,3 +180,19 @@ def project_points(points: DataFrame, size: float, u: Column, v: Column) -> Data
     box = points.agg(F.min(u).alias("u0"), F.min(v).alias("v0"))
     placed = points.select(u.alias("u"), v.alias("v")).join(F.broadcast(box))  # one row
     return placed.select(F.floor((F.col("v") - F.col("v0")) / size).alias("row"), F.floor((F.col("u") - F.col("u0")) / size).alias("col")).distinct()
+
+
+def splat(points: DataFrame, size: float, sigma: float) -> DataFrame:
+    """(row, col, v): sum of Gaussians of (u, v) points over the cells within three sigma, largest 1."""
+    r = max(1, math.ceil(3 * sigma))
+    home = points.select(F.floor(F.col("v") / size).alias("row"), F.floor(F.col("u") / size).alias("col"), (F.col("u") / size).alias("pu"), (F.col("v") / size).alias("pv"))
+    near = shifted(home, square(r))
+    du, dv = F.col("col") + 0.5 - F.col("pu"), F.col("row") + 0.5 - F.col("pv")
+    grid = near.groupBy("row", "col").agg(F.sum(F.exp(-(du * du + dv * dv) / (2 * sigma * sigma))).alias("v"))
+    top = grid.agg(F.max("v").alias("top"))
+    return grid.join(F.broadcast(top)).select("row", "col", (F.col("v") / F.col("top")).alias("v"))  # one row
+
+
+def thresholded(grid: DataFrame, bins: int = 256) -> DataFrame:
+    """Foreground cells of a grid with values in [0, 1]: those at least at Otsu's threshold."""
+    return grid.join(F.broadcast(otsu(grid, bins))).where(F.col("v") >= F.col("threshold")).select("row", "col")  # one row

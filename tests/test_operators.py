@@ -279,3 +279,41 @@ def test_search(spark):
 def enumerate_grid():
     for k, (a, b) in enumerate(itertools.product((1.0, 2.0), (10.0, 20.0, 30.0))):
         yield k, a, b
+
+
+def test_numbers_are_dense_and_ordered(spark):
+    from geoquilt.operators.numbering import numbered
+
+    df = spark.createDataFrame([(int(x),) for x in np.random.default_rng(0).permutation(200)], "v long")
+    assert [r.n for r in numbered(df, "v", "n", 20).orderBy("v").collect()] == list(range(200))
+    assert numbered(df.limit(0), "v", "n").count() == 0
+
+
+def test_projections_and_colors(spark, cube, line):
+    ball = frame(spark, [(i, math.cos(t), math.sin(t), 0.1) for i, t in enumerate(np.linspace(-3, 3, 40))])
+    flat = shapes.sinusoidal(ball).collect()
+    assert len(flat) == 40 and all(abs(r.u) <= math.pi for r in flat)
+    assert shapes.hybrid_projection(ball).count() == 40
+    assert shapes.slab(line, (2.0, 0.0, 0.0), (1.0, 0.0, 0.0), 1.0).count() == 3
+    gray = {r.pid: r.r for r in clouds.gray_by_height(cube).collect()}
+    assert (gray[0], gray[1]) == (0.0, 1.0)
+    rgb = spark.range(3).select(*clouds.hue(F.col("id"), 3, 1.0)).collect()
+    assert [tuple(r) for r in rgb] == [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)]
+    assert clouds.kernel_radius(line.limit(4)).first()[:] == (1, 3, 5)
+    assert clouds.typical_spacing(line).first().sigma == 1.0
+
+
+def test_splat_and_threshold(spark):
+    dots = spark.createDataFrame([(2.5, 2.5)] * 5 + [(9.5, 2.5)], "u double, v double")
+    grid = raster.splat(dots, 1.0, 0.5)
+    best = grid.orderBy(F.desc("v")).first()
+    assert (best.row, best.col, best.v) == (2, 2, 1.0)
+    assert (2, 2) in {tuple(r) for r in raster.thresholded(grid).collect()}
+
+
+def test_barcode_and_noise(spark, line):
+    bars = metrics.barcode(graphs.minimum_spanning_forest(spatial.radius_pairs(line, 1.0)), 0.5)
+    got = metrics.barcode_distances(bars, bars).first()
+    assert (got.n, got.bottleneck, got.wasserstein) == (9, 0.0, 0.0)
+    assert math.isnan(metrics.barcode_distances(bars, bars.limit(0)).first().bottleneck)
+    assert metrics.noise_level(line.where("pid < 9"), line).first().epsilon == 1.0
