@@ -25,8 +25,8 @@ def numbered(df: DataFrame, key: str, name: str, rows_per_range: int = ROWS_PER_
         cuts = df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
     place = F.when(F.col(key).isNull(), 0).otherwise(range_of(F.col(key), sorted(set(cuts))))
     ranged = df.withColumn("__range", place)
-    before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    starts = ranged.groupBy(F.col("__range").alias("r")).agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = ranged.groupBy(F.col("__range").alias("__r")).agg(F.count("*").alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(F.col(key).asc_nulls_first()))
-    joined = ranged.withColumn("__inside", inside).join(F.broadcast(starts.select("r", "first")), F.col("__range") == F.col("r"))  # at most MAX_RANGES rows
-    return joined.select(*df.columns, (F.col("first") + F.col("__inside") - 1).cast("long").alias(name))
+    joined = ranged.withColumn("__inside", inside).join(F.broadcast(starts.select("__r", "__first")), F.col("__range") == F.col("__r"))  # at most MAX_RANGES rows
+    return joined.select(*df.columns, (F.col("__first") + F.col("__inside") - 1).cast("long").alias(name))
