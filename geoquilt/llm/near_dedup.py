@@ -258,13 +258,14 @@ def classes(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     class is their own id.  Repeated rows are counted and fall into one class.
     """
     texts, found = links(docs, block_chars)
-    parts = components(found).withColumnsRenamed({"node": "member", "component": "root"})
+    parts = stored(components(found), "classes").withColumnsRenamed({"node": "member", "component": "root"})
     empty = node(F.lit(""))
     rooted = texts.join(parts, F.col("node") == F.col("member"), "left").select(
         "doc_id", "node", F.coalesce("root", "node").alias("root"), (F.col("node") == empty).alias("empty")
     )
     sizes = rooted.where("NOT empty").groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-    return rooted.join(sizes, F.col("root") == F.col("r"), "left").select(
+    # stored, so that the join has exchanges of its own and Spark can split a class of very many rows
+    return rooted.join(stored(sizes, "class-sizes"), F.col("root") == F.col("r"), "left").select(
         "doc_id", "node", F.when(F.col("empty"), F.col("doc_id")).otherwise(F.col("first_id")).alias("class_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("n_class"), "empty",
     )
