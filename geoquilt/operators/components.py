@@ -22,6 +22,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.union(edges.select(F.col("v"), F.col("u"))) if large else edges
     both = both.toDF("n", "w")
     least = both.groupBy(F.col("n").alias("m_n")).agg(F.least(F.min("w"), F.first("n")).alias("m"))
+    least = stored(least, "least")  # else the join shares the sum's exchange, which Spark does not split
     joined = both.join(least, F.col("n") == F.col("m_n"))
     if large:
         hooked = joined.where(F.col("w") > F.col("n")).select(F.col("w").alias("u"), F.col("m").alias("v"))
