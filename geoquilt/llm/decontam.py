@@ -148,6 +148,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         .withColumnRenamed("key", "__key")
     )
     keyed = docs.withColumn("__text_key", text_key(F.col("text")))
+    # stored, so that its exchange is a join's own and Spark can split a text that very many rows share
+    candidates = stored(candidates, "candidates")
     joined = keyed.join(candidates, F.col("__text_key") == F.col("__key"), "left").withColumn("__words", words(F.col("text")))
     exact = F.filter("__places", lambda p: F.slice("__words", p["start"] + 1, F.size(p["terms"])) == p["terms"])
     hits = F.transform(exact, lambda p: F.struct(p["start"].alias("start"), F.size(p["terms"]).alias("n"), p["items"].alias("items")))
