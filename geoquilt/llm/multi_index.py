@@ -245,7 +245,8 @@ def classes(
         (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
     )
     least = known.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("least_id"))
-    known = known.join(least, F.col("root") == F.col("r"))
+    known = known.join(stored(least, "least-ids"), F.col("root") == F.col("r"))
+    known = stored(known, "known-vectors")
     out = rows.drop("embedding").join(known, F.col("node") == F.col("known"), "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("known").isNull(), F.col("vec_id")).otherwise(F.col("least_id")).alias("component_id"),
