@@ -25,7 +25,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: For each weight the multipliers at the start and the end of training; their mean is 1.
 TILTS = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 MAX_EPOCHS = 3
-ROWS_PER_BUCKET = 20_000
+#: Rows per bucket, and buckets at most.
+ROWS_PER_BUCKET, MAX_BUCKETS = 512, 65_536
 
 
 def word_count(text: Column) -> Column:
@@ -116,7 +117,7 @@ def mix(
         F.xxhash64("doc_id", "text").alias("tie"),
     )
     n_rows = docs.count()
-    buckets = max(16, -(-n_rows // rows_per_bucket))
+    buckets = min(MAX_BUCKETS, max(16, -(-n_rows // rows_per_bucket)))
     # order-preserving: the first 8 hex digits of the hash, scaled
     prefix = F.conv(F.rpad(F.substring("h", 1, 8), 8, "0"), 16, 10).cast("long")
     sized = sized.withColumn("bucket", F.floor(prefix * buckets / F.lit(1 << 32)).cast("int"))
