@@ -25,7 +25,7 @@ from geoquilt.storage import range_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Keys per range, ranges at most, sampled keys per range, and bytes of a cut point.
-ROWS_PER_RANGE, MAX_RANGES, SAMPLE_PER_RANGE, CUT_BYTES = 4096, 1024, 16, 64
+ROWS_PER_RANGE, MAX_RANGES, SAMPLE_PER_RANGE, CUT_BYTES = 256, 1024, 16, 64
 
 
 def url_host(url: Column) -> Column:
