@@ -4,8 +4,9 @@ The lexicon is learnt from labelled texts: words, and stems (beginnings of
 words) that stand in many toxic texts and hardly in others, near copies counted
 once.  A text's words run through the automaton of all words within one edit of
 a lexicon term; it is the product of the lexicon's trie and the edit automaton,
-made state by state as it is used.  Matches are summed over windows of words,
-apart for those that are quoted or reported, and a logistic model on these sums
+made state by state as it is used.  A digit or sign between letters can be the
+edit; words that other texts use as much as toxic ones are no misspellings.
+Matches are summed over windows of words, apart for those that are quoted or reported, and a logistic model on these sums
 gives the score.
 """
 
@@ -25,8 +26,11 @@ from geoquilt.storage import stored
 #: ASCII letters and everything beyond ASCII; the same in Java and Python.
 LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = re.compile(LETTERS)
+#: Letters joined by single digits or signs; one edit bridges one of them.
+JOINED = re.compile(rf"(?<![^\x00-\x40\x5B-\x60\x7B-\x7F]){LETTERS}+(?:[\x21-\x40\x5B-\x60\x7B-\x7E]{LETTERS}+)+")
 STEMS = (4, 5, 6, 7)
-FUZZY_LENGTH = 6
+#: One edit of a shorter term makes too many other words.
+FUZZY_LENGTH = 4
 WINDOW = 12
 QUOTES = {'"': 0, "“": 1, "”": -1, "„": 1, "«": 1, "»": -1}
 #: Words that report what another has said.
@@ -115,27 +119,36 @@ class Automaton:
 
 @dataclass
 class ToxicityModel:
-    """Lexicon with weights, and a logistic model over the features of a text."""
+    """Lexicon with weights, and a logistic model over the features of a text; ``known`` words are not misspelt."""
 
     words: dict[str, float]
     stems: dict[str, float]
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
+    known: frozenset[str] = frozenset()
 
     def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("words", "stems", "weights")}
+        return {k: getattr(self, k) for k in ("words", "stems", "weights", "known")}
 
     def _prepared(self) -> None:
         if not hasattr(self, "automaton"):
-            self.automaton, self.cache = Automaton(self.words), {}
+            self.automaton, self.cache, self.bridges = Automaton(self.words), {}, {}
 
     def match(self, word: str) -> tuple[float, bool] | None:
         """Weight and fuzziness of a lower-case word; stems match their beginnings exactly."""
         weight, fuzzy = self.automaton.match(word)
+        if fuzzy and word in self.known:
+            weight, fuzzy = 0.0, False
         stem = max((self.stems.get(word[:n], 0.0) for n in STEMS), default=0.0)
         if stem and (fuzzy or stem > weight):
             weight, fuzzy = stem, False
         return (weight, fuzzy) if weight else None
 
+    def bridged(self, run: str) -> list[tuple[int, float]]:
+        """(part number, weight) of misspelt terms in a run of ``JOINED``, each of two parts and the sign between."""
+        spans = [m.span() for m in WORD.finditer(run)]
+        pairs = enumerate(zip(spans, spans[1:]))
+        return [(i, w) for i, ((a, _), (_, b)) in pairs if (w := self.automaton.match(run[a:b])[0])]
+
     def matches(self, text: str) -> tuple[list[tuple[int, float, bool, bool]], int]:
         """Matches (word number, weight, fuzzy, quoted) of a text, and its number of words."""
         self._prepared()
@@ -147,6 +160,22 @@ class ToxicityModel:
         for w in set(words).difference(cache):
             cache[w] = self.match(w)
         hits = [(i, m) for i, w in enumerate(words) if (m := cache[w])]
+        if len(self.bridges) > MAX_CACHE:
+            self.bridges = {}
+        bridges = self.bridges
+        runs = set(JOINED.findall(low))
+        for run in runs.difference(bridges):
+            bridges[run] = self.bridged(run)
+        if any(bridges[run] for run in runs):
+            taken, first, at = {i for i, _ in hits}, 0, 0
+            for m in JOINED.finditer(low):
+                if found := bridges[m[0]]:
+                    first, at = first + len(WORD.findall(low, at, m.start())), m.start()
+                    for i, w in found:
+                        if taken.isdisjoint((first + i, first + i + 1)):
+                            taken.add(first + i)
+                            hits.append((first + i, (w, True)))
+            hits.sort()
         if not hits:
             return [], len(words)
         quoted = _quoted(low, words, {i for i, _ in hits})
@@ -261,6 +290,21 @@ def learn_lexicon(texts: DataFrame, min_share: float = 0.001, min_support: int =
     return word, stem
 
 
+def known_words(texts: DataFrame, model: ToxicityModel, min_support: int = 2) -> frozenset[str]:
+    """Words one edit from the lexicon that ``min_support`` other texts use, and a share of them no less than of toxic ones."""
+
+    @F.arrow_udf("array<string>")
+    def misspelt(column: pa.Array) -> pa.Array:
+        model._prepared()
+        found = ({w for w in WORD.findall(t.as_py().lower()) if model.automaton.match(w)[1]} for t in column)
+        return pa.array([sorted(f) for f in found], pa.list_(pa.string()))
+
+    totals = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
+    seen = texts.select("y", F.explode(misspelt("text")).alias("w")).groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o"))
+    kept = seen.where((F.col("o") >= min_support) & (F.col("o") * totals.get(1, 0) >= F.col("t") * totals.get(0, 0)))
+    return frozenset(r["w"] for r in kept.select("w").collect())
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 5000) -> ToxicityModel:
     """Learn lexicon and weights from about ``max_per_class`` labelled rows of each class.
 
@@ -274,6 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 5000) -> Toxici
     def features(column: pa.Array) -> pa.Array:
         return pa.array([model.features(t.as_py())[0].tolist() for t in column], pa.list_(pa.float64()))
 
+    model.known = known_words(texts, model)
     rows = texts.select("y", features("text").alias("x")).collect()
     y = np.array([r["y"] for r in rows], float)
     if len(set(y)) < 2:

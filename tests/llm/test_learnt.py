@@ -70,6 +70,16 @@ def test_automaton_equals_edit_distance():
         assert automaton.match(w) == want
 
 
+def test_short_terms_and_terms_with_signs_are_found_misspelt(spark):
+    model = toxicity.ToxicityModel({"idiot": 5.0, "moron": 5.0, "trash": 5.0, "scum": 5.0, "stupid": 5.0, "worthless": 5.0}, {}, known=frozenset({"crash"}))
+    found = lambda t: [(i, f) for i, _, f, _ in model.matches(t)[0]]
+    assert found("an idiott, a morron; trassh scumm crash") == [(1, True), (3, True), (4, True), (5, True)]
+    assert found("a stup1d and/or wor+hless man") == [(1, True), (5, True)]
+    assert found("it's scum-like, id.iot/stup1d stu.pi.d") == [(2, False), (4, True), (6, True)]
+    texts = spark.createDataFrame([(k, t, int(k < 4)) for k, t in enumerate(["trassh clown"] * 4 + ["the crash here", "a crash there"])], "doc_id long, text string, y int")
+    assert toxicity.known_words(texts, model) == {"crash"}
+
+
 def test_quotation_is_told_from_abuse():
     model = toxicity.ToxicityModel({"scumbag": 5.0}, {})
     found = lambda t: [(f, q) for _, _, f, q in model.matches(t)[0]]
