@@ -64,11 +64,12 @@ def gaussian_kernel(sigma: float) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def gaussian_blur(grid: DataFrame, sigma: float, rows: int, cols: int) -> DataFrame:
+def gaussian_blur(grid: DataFrame, sigma: float, rows: int, cols: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Separable blur of a dense grid (row, col, v) with its edge cells repeated.
 
     Each source cell is sent to the targets that read it; a target near the edge
-    reads the edge cell for the offsets that fall outside.
+    reads the edge cell for the offsets that fall outside.  Columns ``by`` keep
+    several grids of that size apart.
     """
     kernel = gaussian_kernel(sigma)
     r = len(kernel) // 2
@@ -78,14 +79,14 @@ def gaussian_blur(grid: DataFrame, sigma: float, rows: int, cols: int) -> DataFr
         # a source at the edge also stands for the r cells beyond it
         at = F.col(axis)
         beyond = F.sequence(at - F.when(at == 0, r).otherwise(0), at + F.when(at == n - 1, r).otherwise(0))
-        spread = grid.select(other, "v", F.explode(beyond).alias("p")).select(other, "v", "p", F.inline(weights))
+        spread = grid.select(*by, other, "v", F.explode(beyond).alias("p")).select(*by, other, "v", "p", F.inline(weights))
         grid = (
-            spread.select((F.col("p") + F.col("d")).alias(axis), other, (F.col("v") * F.col("w")).alias("v"))
+            spread.select(*by, (F.col("p") + F.col("d")).alias(axis), other, (F.col("v") * F.col("w")).alias("v"))
             .where(F.col(axis).between(0, n - 1))
-            .groupBy(axis, other)
+            .groupBy(*by, axis, other)
             .agg(F.sum("v").alias("v"))
         )
-    return grid.select("row", "col", "v")
+    return grid.select(*by, "row", "col", "v")
 
 
 def otsu(values: DataFrame, bins: int = 256) -> DataFrame:

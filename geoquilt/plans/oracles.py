@@ -90,6 +90,10 @@ def moments(kind: str) -> str:
     return ", ".join(f"covar_{kind}({a}, {b}) AS {a}{b}" for a, b in (("x", "x"), ("y", "y"), ("z", "z"), ("x", "y"), ("x", "z"), ("y", "z")))
 
 
+def blurred_frames(source: str, axis: str, other: str, n: int) -> str:
+    return blurred(source, axis, f"frame, {other}", n)
+
+
 def blurred(source: str, axis: str, other: str, n: int) -> str:
     return f"""SELECT t AS {axis}, {other}, sum(w * v) AS v FROM range({n}) a(t), (SELECT i - 3 AS o, exp(-0.5 * (i - 3) * (i - 3)) / (SELECT sum(exp(-0.5 * (i - 3) * (i - 3))) FROM range(7) z(i)) AS w FROM range(7) k(i)) k, {source}
     WHERE {source}.{axis} = greatest(least(t + o, {n - 1}), 0) GROUP BY ALL"""
@@ -180,6 +184,7 @@ ORACLES: dict[str, str] = {
     "opening": using(DILATED % "thinner", mask=MASK, around=square(1), thinner=ERODED % "mask"),
     "closing": using(ERODED % "thicker", mask=MASK, around=square(1), thicker=DILATED % "mask"),
     "gaussian_blur": using("SELECT row, col, round(v, 4) AS v FROM c", depth=DEPTH, g="SELECT row, col, raw AS v FROM depth WHERE frame = 0", b=blurred("g", "row", "col", 25), c=blurred("b", "col", "row", 40)),
+    "gaussian_blur_frames": using("SELECT frame, row, col, round(v, 4) AS v FROM c", depth=DEPTH, g="SELECT frame, row, col, raw AS v FROM depth", b=blurred_frames("g", "row", "col", 25), c=blurred_frames("b", "col", "row", 40)),
     "otsu": using("SELECT (b + 1) / 256.0::DOUBLE AS threshold FROM (SELECT b, w, m, tw, tm FROM h WHERE w > 0 AND w < tw) ORDER BY round(w::DOUBLE * (tw - w) * (m / w::DOUBLE - (tm - m) / (tw - w)::DOUBLE) * (m / w::DOUBLE - (tm - m) / (tw - w)::DOUBLE), 6) DESC, b LIMIT 1", depth=DEPTH, c="SELECT k.b, count(raw) AS n FROM range(256) k(b) LEFT JOIN depth ON least(floor(least(raw / 2000, 1) * 256), 255) = k.b GROUP BY k.b", h="SELECT b, sum(n) OVER o AS w, sum(b * n) OVER o AS m, sum(n) OVER () AS tw, sum(b * n) OVER () AS tm FROM c WINDOW o AS (ORDER BY b ROWS UNBOUNDED PRECEDING)"),
     "contour": using("SELECT row, col FROM ring WHERE p2 + p4 + p6 + p8 < 4", mask=MASK, ring=RING),
     "zhang_suen_pass": using(f"SELECT row, col FROM ring WHERE NOT ({TURNS} = 1 AND {TOTAL} BETWEEN 2 AND 6 AND p2 * p4 * p6 = 0 AND p4 * p6 * p8 = 0)", mask=MASK, ring=RING),

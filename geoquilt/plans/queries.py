@@ -323,6 +323,12 @@ def gaussian_blur(s, d):
     return raster.gaussian_blur(frame, 1.0, 25, 40).select("row", "col", rounded(F.col("v"), 4).alias("v"))
 
 
+@query
+def gaussian_blur_frames(s, d):
+    frames = views.depth_pixels(s, d).select("frame", "row", "col", F.col("raw").alias("v"))
+    return raster.gaussian_blur(frames, 1.0, 25, 40, by=("frame",)).select("frame", "row", "col", rounded(F.col("v"), 4).alias("v"))
+
+
 @query
 def otsu(s, d):
     depth = views.depth_pixels(s, d).select(F.least(F.col("raw") / 2000, F.lit(1.0)).alias("v"))

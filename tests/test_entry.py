@@ -14,6 +14,8 @@ from geoquilt.plans.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 SAMPLE = ("voxel_downsample", "knn", "surface_variation", "depth_bilateral", "autotune_extrinsics", "ransac_plane", "resample_polyline", "edt_ridge", "dbscan", "triangle_adjacency", "objective_all")
+#: Queries that stand beside one of a fixed share of the rows.
+WHOLE = ("gaussian_blur_frames",)
 
 
 def test_every_oracle_has_a_query():
@@ -25,6 +27,11 @@ def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
+@pytest.mark.parametrize("name", WHOLE)
+def test_query_over_whole_tables_equals_its_sql(spark, name):
+    test_query_equals_its_sql(spark, name)
+
+
 @pytest.mark.parametrize("name", SAMPLE)
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()

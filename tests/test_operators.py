@@ -198,6 +198,12 @@ def test_blur_keeps_a_constant(spark):
     assert len(got) == 20 and all(abs(r.v - 2) < 1e-12 for r in got)
 
 
+def test_blur_keeps_frames_apart(spark):
+    frames = spark.createDataFrame([(f, i, j, float(f)) for f in range(3) for i in range(4) for j in range(5)], "frame long, row long, col long, v double")
+    got = raster.gaussian_blur(frames, 1.0, 4, 5, by=("frame",)).collect()
+    assert len(got) == 60 and all(abs(r.v - r.frame) < 1e-12 for r in got)
+
+
 def test_depth_guards(spark):
     d = spark.createDataFrame([(0, 0, 0, float("nan")), (0, 0, 1, None), (0, 0, 2, 1500.0)], "frame long, row long, col long, raw double")
     metres = cameras.to_metres(d)
