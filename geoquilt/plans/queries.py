@@ -226,6 +226,11 @@ def em_estep(s, d):
     return metrics.expectation_step(nodes, _with_mu(s, d, "j"), 0.2, 0.08, 3.0, 0.01).select("i", "j", *r6("r"))
 
 
+@query
+def em_estep_all(s, d):
+    return metrics.expectation_step(_with_mu(s, d, "i"), _with_mu(s, d, "j"), 0.2, 0.08, 3.0, 0.01).select("i", "j", *r6("r"))
+
+
 def _samples(s, d):
     return views.points(s, d).where("pid % 5 = 0").select(F.col("pid").alias("i"), *XYZ)
 
@@ -486,6 +491,16 @@ def polyline_prune(s, d):
     return kept.select("line_id", "seq")
 
 
+@query
+def polyline_prune_all(s, d):
+    return meshes.prune_polylines(views.polylines(s, d), views.polylines(s, d)).select("line_id", "seq")
+
+
+@query
+def mesh_prune_points(s, d):
+    return meshes.prune_by_distance(*views.height_mesh(s, d), views.points(s, d), 0.0213).select("tid")
+
+
 @query
 def mesh_prune(s, d):
     vertices, triangles = views.height_mesh(s, d)
@@ -526,7 +541,7 @@ def skeleton_chains(s, d):
 @query
 def skeleton_report(s, d):
     p = views.points(s, d)
-    return skeletons.report(*skeletons.fit_skeleton(p, 0.15, rounds=1), p)
+    return skeletons.report(*skeletons.fit_skeleton(p, 0.15), p)
 
 
 @query

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import inspect
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from geoquilt.operators import graphs, meshes, skeletons, spatial
+from geoquilt.plans.queries import QUERIES
 from geoquilt.sources import views
 
 SF = "/root/testdata/sf0.001"
@@ -84,3 +86,12 @@ def test_morphology_and_pruning(spark):
     box = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 1.0, 1.0)], POINT)
     assert {r.line_id for r in meshes.prune_polylines(lines, box).collect()} == {1}
     assert math.isfinite(meshes.two_cylinders(spark).agg(F.sum("x")).first()[0])
+
+
+def test_report_query_fits_all_rounds(spark, monkeypatch):
+    rounds = []
+    fit = inspect.signature(skeletons.fit_skeleton)
+    monkeypatch.setattr(skeletons, "fit_skeleton", lambda *a, **b: (bound := fit.bind(*a, **b), bound.apply_defaults(), rounds.append(bound.arguments["rounds"]), (None, None))[-1])
+    monkeypatch.setattr(skeletons, "report", lambda *a: None)
+    QUERIES["skeleton_report"](spark, "/root/testdata/sf0.001")
+    assert rounds == [3]
