@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,16 +173,18 @@ def grow_regions(points: DataFrame, radius: float, min_cosine: float, least: int
     return parts.join(big, F.col("component") == F.col("region")).select(F.col("vid").alias("pid"), "region")
 
 
-def greedy_cluster(points: DataFrame, radius: float, max_rounds: int = 1000) -> DataFrame:
+def greedy_cluster(points: DataFrame, radius: float, max_rounds: int | None = None) -> DataFrame:
     """(pid, center): sequential greedy clustering in the order of pid, as a fixpoint.
 
     A point is a center unless a center of lower id covers it; a covered point
     belongs to the lowest such center.  Each round settles every point all of
-    whose lower neighbours are settled, or one of them as a center.
+    whose lower neighbours are settled, or one of them as a center; the lowest open
+    one is always among them, so the rounds go on until all points are settled,
+    along a chain of ids one point a round.  With ``max_rounds`` more is an error.
     """
     pairs = stored(radius_pairs(points, radius).select(F.col("u").alias("low"), F.col("v").alias("high")), "greedy-pairs")
     state = stored(points.select("pid", F.lit("U").alias("s")), "greedy")
-    for _ in range(max_rounds):
+    for done in itertools.count(1):
         seen = pairs.join(state.withColumnsRenamed({"pid": "p", "s": "ls"}), F.col("low") == F.col("p"))
         around = seen.groupBy("high").agg(F.max(F.col("ls") == "C").alias("covered"), F.max(F.col("ls") == "U").alias("open"))
         joined = state.join(around, F.col("pid") == F.col("high"), "left")
@@ -188,6 +192,8 @@ def greedy_cluster(points: DataFrame, radius: float, max_rounds: int = 1000) ->
         state = stored(joined.select("pid", new.alias("s")), "greedy")
         if state.where("s = 'U'").isEmpty():
             break
+        if done == max_rounds:
+            raise RuntimeError("greedy clustering did not settle")
     centers = state.where("s = 'C'").select(F.col("pid").alias("c"))
     first = pairs.join(centers, F.col("low") == F.col("c")).groupBy("high").agg(F.min("low").alias("center"))
     return state.join(first, F.col("pid") == F.col("high"), "left").select("pid", F.when(F.col("s") == "C", F.col("pid")).otherwise(F.col("center")).alias("center"))

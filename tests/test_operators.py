@@ -323,3 +323,11 @@ def test_barcode_and_noise(spark, line):
     assert (got.n, got.bottleneck, got.wasserstein) == (9, 0.0, 0.0)
     assert math.isnan(metrics.barcode_distances(bars, bars.limit(0)).first().bottleneck)
     assert metrics.noise_level(line.where("pid < 9"), line).first().epsilon == 1.0
+
+
+def test_greedy_clusters_settle_all_or_fail(spark):
+    chain = frame(spark, [(i, float(i), 0.0, 0.0) for i in range(9)])
+    got = {r.pid: r.center for r in graphs.greedy_cluster(chain, 1.1).collect()}
+    assert got == {i: i if i % 2 == 0 else i - 1 for i in range(9)}
+    with pytest.raises(RuntimeError):
+        graphs.greedy_cluster(chain, 1.1, max_rounds=2)
