@@ -1,10 +1,10 @@
 """Quotation linking: messages without quotes, each with the message it answers.
 
 Lines that begin with ``>`` marks quote, and the number of marks is the level.
-Quoted passages and unquoted text are cut into normalised sentences and hashed.
-A quoted sentence is joined to the earliest message that says it unquoted, in its
-own conversation if there is one, else anywhere; both originals are
-pre-aggregated, so a sentence that very many messages share is still one row.
+Quoted passages and unquoted text are cut into normalised sentences and lines and
+hashed.  A quoted piece is joined to the earliest message that says it unquoted, in
+its own conversation if there is one, else, if it is long enough, anywhere; both
+originals are pre-aggregated, so a sentence that very many messages share is still one row.
 The message that says most of what is quoted at the lowest level is the parent.
 
 Only DataFrame functions are used.
@@ -19,7 +19,7 @@ from geoquilt.operators.components import components
 
 MARKS = r"^[ \t]*(?:>[ \t]*)*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Sentences shorter than this are too common to tell who said them.
+#: Shorter sentences and lines are too common to tell who said them in another conversation.
 MIN_CHARS = 16
 _BREAK = "\u0001"
 _SENTENCE = r"[^.!?\x01]+[.!?]*"
@@ -54,9 +54,23 @@ def sentences(lines: Column, level: Column) -> Column:
         ),
     )
     joined = F.array_join(F.transform(F.filter(passage, lambda x: x["level"] == level), lambda x: x["body"]), " ")
-    normal = F.translate(F.regexp_replace(joined, r"[ \t\r]+", " "), UPPER, LOWER)
-    found = F.transform(F.regexp_extract_all(normal, F.lit(_SENTENCE), F.lit(0)), lambda s: F.trim(s))
-    return F.filter(found, lambda s: F.length(s) >= MIN_CHARS)
+    found = F.transform(F.regexp_extract_all(_normal(joined), F.lit(_SENTENCE), F.lit(0)), lambda s: F.trim(s))
+    return F.filter(found, _tells)
+
+
+def said_lines(lines: Column, level: Column) -> Column:
+    """Normalised lines of a level."""
+    found = F.transform(F.filter(lines, lambda x: x["level"] == level), lambda x: F.trim(_normal(x["body"])))
+    return F.filter(found, _tells)
+
+
+def _normal(text: Column) -> Column:
+    return F.translate(F.regexp_replace(text, r"[ \t\r]+", " "), UPPER, LOWER)
+
+
+def _tells(piece: Column) -> Column:
+    """Long enough, or not of signs alone."""
+    return (F.length(piece) >= MIN_CHARS) | piece.rlike(r"[\p{L}\p{N}]")
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
@@ -67,7 +81,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     is quoted was said before), thread_conv and thread_turn (the first message of
     the tree of replies, itself if it answers none).  A parent comes before its
     message in the order of (conv_id, turn); of several that say equally much the
-    latest is taken.  Sentences of fewer than 16 characters tell nothing.  A null
+    one with most in lines, then the latest is taken.  Sentences and lines of fewer
+    than 16 characters tell nothing about other conversations.  A null
     text is empty; a row with a null conv_id or turn is kept and linked to
     nothing; rows with the same conv_id and turn are one message for linking, and
     each keeps its own body.
@@ -81,25 +96,29 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     keyed = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL").select(
         F.struct("conv_id", "turn").alias("message"), "__lines", "max_level"
     )
-    said = keyed.select("message", F.explode(sentences(lines, F.lit(0))).alias("s")).select("message", F.xxhash64("s").alias("h"))
+    pieces = F.array_union(sentences(lines, F.lit(0)), said_lines(lines, F.lit(0)))
+    said = keyed.select("message", F.explode(pieces).alias("s")).select("message", F.xxhash64("s").alias("h"), F.length("s").alias("size"))
+    weighed = lambda c, chars, more: F.transform(c, lambda s: F.struct(s.alias("s"), chars(s).alias("chars"), more(s).alias("line_chars")))
+    none = lambda s: F.lit(0)
     quoted = (
         keyed.where("max_level > 0")
         .select("message", "__lines", F.explode(F.sequence(F.lit(1), F.col("max_level"))).alias("level"))
-        .select("message", "level", F.explode(sentences(lines, F.col("level"))).alias("s"))
+        .select("message", "level", sentences(lines, F.col("level")).alias("ss"), said_lines(lines, F.col("level")).alias("ls"))
+        .select("message", "level", F.inline(F.concat(weighed(F.col("ss"), F.length, none), weighed(F.array_except("ls", "ss"), none, F.length))))
         .groupBy("message", "level", F.xxhash64("s").alias("q"))
-        .agg(F.sum(F.length("s")).alias("chars"))
+        .agg(F.sum("chars").alias("chars"), F.sum("line_chars").alias("line_chars"))
     )
-    own = said.groupBy("h", F.col("message.conv_id").alias("own_conv")).agg(F.min("message").alias("here"))
-    anywhere = own.groupBy(F.col("h").alias("any_h")).agg(F.min("here").alias("there"))
+    own = said.groupBy("h", F.col("message.conv_id").alias("own_conv")).agg(F.min("message").alias("here"), F.max("size").alias("size"))
+    anywhere = own.where(F.col("size") >= MIN_CHARS).groupBy(F.col("h").alias("any_h")).agg(F.min("here").alias("there"))
     matched = (
         quoted.join(own, (F.col("q") == F.col("h")) & (F.col("message.conv_id") == F.col("own_conv")), "left")
         .join(anywhere, F.col("q") == F.col("any_h"), "left")
         .withColumn("origin", F.coalesce(F.when(F.col("here") < F.col("message"), F.col("here")), F.when(F.col("there") < F.col("message"), F.col("there"))))
         .where("origin IS NOT NULL")
         .groupBy("message", "level", "origin")
-        .agg(F.sum("chars").alias("chars"))
+        .agg(F.sum("chars").alias("chars"), F.sum("line_chars").alias("line_chars"))
         .groupBy(F.col("message").alias("reply"))
-        .agg(F.max(F.struct((-F.col("level")).alias("by_level"), "chars", "origin"))["origin"].alias("parent"))
+        .agg(F.max(F.struct((-F.col("level")).alias("by_level"), "chars", "line_chars", "origin"))["origin"].alias("parent"))
     )
     trees = components(matched.select(F.col("reply").alias("u"), F.col("parent").alias("v")))
     message = F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.struct("conv_id", "turn"))

@@ -309,6 +309,24 @@ def test_traversal_visits_cells_in_order():
 # --- quotations -------------------------------------------------------------
 
 
+def test_short_quotes_and_lines_are_linked(spark):
+    rows = [
+        (1, 0, "user", "Shall we go?"),
+        (1, 1, "assistant", "Yes, I agree. ---"),
+        (1, 2, "user", "> Yes, I agree.\nfine"),
+        (1, 3, "user", "a list without any stops\nof several plain lines\nand one more"),
+        (1, 4, "assistant", ">  of several plain  lines\nthat one"),
+        (1, 5, "user", "> and one more\n> ---\nthat too"),
+        (1, 6, "user", "> ---\nnothing said"),
+        (2, 0, "user", "> Yes, I agree.\nnot here"),
+        (2, 1, "user", "> a list without any stops\nfrom there"),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parent = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in quotes.link_quotes(frame).collect()}
+    want = {(1, 2): (1, 1), (1, 4): (1, 3), (1, 5): (1, 3), (2, 1): (1, 3)}
+    assert parent == {(c, t): want.get((c, t), (None, None)) for c, t, _, _ in rows}
+
+
 def test_quotes_are_linked_and_cut(spark):
     rows = [
         (1, 0, "user", "The first statement is here. Another long sentence follows!"),
