@@ -160,6 +160,22 @@ def test_network_separates_findings_and_adds_spans(spark):
     assert [[x.kind for x in r.s] for r in got] == [["cnn"], [], [], []]
 
 
+def test_whole_candidates_are_judged(spark):
+    class Marker:
+        threshold = 0.5
+
+        def scores(self, windows):
+            return np.array([float(b"sk_live" in w[secrets.BEFORE : secrets.BEFORE + secrets.INSIDE]) for w in windows])
+
+    names = "/a/long/path/of/names"
+    rows = [(0, "see " + names * 3 + "/sk_live_9xyz end"), (1, "see " + names * 3 + "/sk_live_9xyz" + names * 3 + " end"), (2, "see " + names * 5 + "/9 end"), (3, "see /sk_live_9xyz012 end")]
+    got = spark.createDataFrame(rows, "doc_id long, text string").withColumn("s", secrets.scan(F.col("text"), Marker())).collect()
+    assert {r.doc_id: [(s.kind, s.start, s.end) for s in r.s] for r in got} == {i: [("cnn", 4, len(t) - 4)] if i != 2 else [] for i, t in rows}
+    for n in (16, 40, 41, 60, 61, 100):
+        assert {k for a, b in secrets.places(5, 5 + n) for k in range(a, b)} == set(range(5, 5 + n))
+        assert all(b - a == min(n, secrets.INSIDE) for a, b in secrets.places(5, 5 + n))
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(4)
     codes = rng.integers(0, 128, (3, secrets.WIDTH)).astype(np.uint8)
