@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoquilt.storage import stored
+from geoquilt.storage import discard, stored
 
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first())
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """Hook the larger (or not larger) neighbours of every node onto its least neighbour.
+def _stars(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """The larger (or not larger) neighbours of every node hooked onto its least one, and the stored least neighbours.
 
     Least neighbours are pre-aggregated and joined back, so a node with very
     many edges is one row on one side of a join that Spark can split.
@@ -28,7 +28,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         hooked = joined.where(F.col("w") > F.col("n")).select(F.col("w").alias("u"), F.col("m").alias("v"))
     else:
         hooked = joined.select(F.col("w").alias("u"), F.col("m").alias("v")).union(least.select("m_n", "m"))
-    return hooked.where(F.col("u") != F.col("v")).distinct()
+    return hooked.where(F.col("u") != F.col("v")).distinct(), least
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -43,7 +43,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = stored(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
     mark = _mark(edges)
     for _ in range(max_rounds):
-        edges = stored(_stars(_stars(edges, True), False), "edges")
+        first, least = _stars(edges, True)
+        second, least2 = _stars(first, False)
+        before, edges = edges, stored(second, "edges")
+        discard(before, least, least2)
         if mark == (mark := _mark(edges)):
             break
     else:

@@ -36,7 +36,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of ``stored`` tables that nothing will read again; other frames are left alone."""
+    for df in tables:
+        if path := df.__dict__.pop("stored_path", None):
+            jvm = df.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def broadcast_within(df: DataFrame, row_bytes: int, max_bytes: int = 32 << 20) -> DataFrame:
