@@ -8,13 +8,12 @@ of a coordinate is its value, so two texts agree on a coordinate with the
 probability of their weighted Jaccard similarity.  Only ranks up to a limit set
 by the total weight are drawn, about k*(ln k + 2) darts a text.
 
-Bands of coordinates are joined.  A bucket is not turned into pairs: all its
-texts hang on its least one, and the components of these stars are the candidate
-clusters.  Each text of a cluster of two or more is sent once to the task of its
-cluster, where pairs are weighed by signature, those not yet connected are
-checked on their shingles, and only a spanning forest of true links leaves.  A
-cluster that is too large for one task is cut into blocks, and a task gets one
-pair of blocks; every pair of texts still meets once.
+Bands of coordinates are buckets.  Pairs are never made of a bucket.  First each
+text is compared with the least text of its buckets, which is linear, and what is
+linked is contracted.  Buckets in which texts of two or more components remain go
+through rounds: a growing number of their texts are heads, every chunk of a bucket
+meets them once, heads are then done with, and what is linked is contracted again,
+until no bucket holds two texts that are neither connected nor compared.
 """
 
 from __future__ import annotations
@@ -24,22 +23,25 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoquilt.llm.shingles import ShingleSets, mix, shingle_sets, similarities
 from geoquilt.operators.components import components
-from geoquilt.storage import broadcast_within, stored
+from geoquilt.storage import broadcast_within, discard, stored
 
-SHINGLE, SIMILARITY = 5, 0.8
+SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 K = BANDS * ROWS
-#: Characters of text per block of a cluster.
-BLOCK_CHARS = 8_000_000
+#: Texts that one task compares with the heads of a bucket, or with one text, at a time.
+CHUNK = 256
+#: Heads of a bucket in the first round after the stars; four times as many in each further one.
+HEADS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Pairs below this share of agreeing signature bytes are four standard deviations below the similarity.
+_A_WORD = r"[0-9A-Za-z]|[^\x00-\x7F]"
 _U = np.uint64
+#: Pairs below this share of agreeing signature bytes are four standard deviations below the similarity.
 _CUT = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / K) ** 0.5
 
 
@@ -53,202 +55,309 @@ def node(normal: Column) -> Column:
     return F.struct(F.xxhash64(normal).alias("a"), F.xxhash64(F.lit(1), normal).alias("b"))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Finaliser of the splitmix64 generator."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-class Shingler:
-    """Shingle hashes and counts of normal texts; hashes of words are kept for the next text."""
-
-    def __init__(self, max_words: int = 300_000) -> None:
-        self.known: dict[str, int] = {}
-        self.max_words = max_words
-
-    def __call__(self, normal: str) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted shingle hashes and their counts; fewer words than a shingle has are one shingle."""
-        words = normal.split(" ") if normal else []
-        known = self.known
-        if len(known) > self.max_words:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter((known[w] for w in words), _U, len(words))
-        if not len(h):
-            return h, np.zeros(0, np.int64)
-        n = max(1, len(h) - SHINGLE + 1)
-        s = np.zeros(n, _U)
-        for i in range(min(SHINGLE, len(h))):
-            s = _mix(s ^ h[i : i + n]) + _U(i + 1)
-        return np.unique(s, return_counts=True)
-
-
-def dart_minhash(items: np.ndarray, counts: np.ndarray, k: int = K) -> np.ndarray:
-    """The earliest dart of each of ``k`` coordinates for weighted items; zeros for an empty set."""
-    sig = np.zeros(k, _U)
-    if not len(items):
-        return sig
-    levels = np.ceil(np.log2(counts)).astype(int) + 1  # regions that a weight reaches into
-    level = np.concatenate([np.arange(n) for n in levels]) if levels.max() > 1 else np.zeros(len(items), int)
-    weight = np.repeat(counts, levels).astype(float)
-    low = np.where(level > 0, 2.0 ** (level - 1), 0.0)
-    size = np.where(level > 0, low, 1.0)
-    region = _mix(np.repeat(items, levels) + level.astype(_U) * _U(0x9E3779B97F4A7C15))
-    limit = k * (np.log(k) + 2) / counts.sum()
-    while True:
-        ranks, ids = [], []
-        rank, seed, lo, sz, w, step = np.zeros(len(region)), region, low, size, weight, 1
+def _darts(region: np.ndarray, low: np.ndarray, size: np.ndarray, weight: np.ndarray, owner: np.ndarray, limit: np.ndarray) -> tuple:
+    """(rank, dart, owner) of the darts of rank up to ``limit[owner]`` that fall below the regions' weights."""
+    found: list[tuple] = []
+    few = limit[owner] * size < 0.5
+    for part, m in ((few, 1), (~few, 4)):  # darts drawn at once
+        seed, lo, sz, w, own = (x[part] for x in (region, low, size, weight, owner))
+        rank, step = np.zeros(len(seed)), 1
         while len(seed):
-            m = 1 if step == 1 and limit < 0.5 else int(min(4096, 4 + limit * sz.max()))
-            h = _mix(seed[:, None] + np.arange(step, step + m).astype(_U)[None] * _U(0xD1B54A32D192ED03))
+            m = max(m, min(64, 4096 // len(seed)))
+            h = mix(seed[:, None] + np.arange(step, step + m).astype(_U)[None] * _U(0xD1B54A32D192ED03))
             r = rank[:, None] + np.cumsum(-np.log(_uniform(h)) / sz[:, None], axis=1)
-            d = _mix(h ^ _U(0x8CB92BA72F3D8DD7))
-            hit = (r <= limit) & (lo[:, None] + _uniform(d) * sz[:, None] < w[:, None])
-            ranks.append(r[hit])
-            ids.append(_mix(d[hit]))
-            on = r[:, -1] <= limit
-            rank, seed, lo, sz, w, step = r[on, -1], seed[on], lo[on], sz[on], w[on], step + m
-        rank, dart = np.concatenate(ranks), np.concatenate(ids)
-        place = (dart >> _U(8)) % _U(k)
-        if len(np.unique(place)) == k:
-            break
-        limit *= 1.5  # some coordinate was missed: draw on, the earlier darts stay the same
-    order = np.argsort(-rank, kind="stable")
-    sig[place[order].astype(int)] = dart[order]
-    return sig
+            d = mix(h ^ _U(0x8CB92BA72F3D8DD7))
+            top = limit[own][:, None]
+            hit = (r <= top) & (lo[:, None] + _uniform(d) * sz[:, None] < w[:, None])
+            found.append((r[hit], mix(d[hit]), np.broadcast_to(own[:, None], hit.shape)[hit]))
+            on = r[:, -1] <= top[:, 0]
+            seed, lo, sz, w, own, rank, step = seed[on], lo[on], sz[on], w[on], own[on], r[on, -1], step + m
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def dart_minhash(items: np.ndarray, counts: np.ndarray, owner: np.ndarray, n: int, k: int = K) -> np.ndarray:
+    """The earliest dart of each of ``k`` coordinates for ``n`` sets of weighted items; zeros for an empty set."""
+    sig, best = np.zeros(n * k, _U), np.full(n * k, np.inf)
+    levels = np.ceil(np.log2(np.maximum(counts, 1))).astype(int) + 1  # regions that a weight reaches into
+    at = np.repeat(np.arange(len(items)), levels)
+    level = np.arange(len(at)) - np.repeat(np.cumsum(levels) - levels, levels)
+    low = np.where(level > 0, 2.0 ** (level - 1), 0.0)
+    regions = (mix(items[at] + level.astype(_U) * _U(0x9E3779B97F4A7C15)), low, np.maximum(low, 1.0), counts[at].astype(float), owner[at])
+    total = np.bincount(owner, counts, n) if len(owner) else np.zeros(n)
+    limit = k * (np.log(k) + 2) / np.maximum(total, 1)
+    open_sets = total > 0
+    while open_sets.any():
+        now = open_sets[regions[4]]
+        rank, dart, own = _darts(*(x[now] for x in regions), limit)
+        key = own * k + ((dart >> _U(8)) % _U(k)).astype(np.int64)
+        np.minimum.at(best, key, rank)
+        first = rank == best[key]
+        sig[key[first]] = dart[first]
+        # a coordinate was missed: draw on, the earlier darts stay the same
+        open_sets &= np.isinf(best.reshape(n, k)).any(1)
+        limit[open_sets] *= 1.5
+    return sig.reshape(n, k)
 
 
 def bands_of(sig: np.ndarray) -> np.ndarray:
-    """One bucket key per band."""
-    key = np.arange(1, BANDS + 1).astype(_U)
-    for column in sig.reshape(BANDS, ROWS).T:
-        key = _mix(key ^ column) + _U(1)
+    """One bucket key per text and band."""
+    key = np.broadcast_to(np.arange(1, BANDS + 1).astype(_U), (len(sig), BANDS))
+    for column in np.moveaxis(sig.reshape(-1, BANDS, ROWS), 2, 0):
+        key = mix(key ^ column) + _U(1)
     return key.view(np.int64)
 
 
-def _signed(normal: Column) -> Column:
-    """(bands, sketch) of normal texts; both null for one without words."""
+def prefix_of(sets: ShingleSets, least: float) -> list[np.ndarray]:
+    """Bucket keys of the exact mode: the first occurrences, in hash order, one of which similar texts must share.
+
+    The k-th occurrence of a shingle is an item of its own.  Two sets of which
+    ``least`` of the union is common share an item among the first
+    ``n - ceil(least * n) + 1`` of each, in any order that both follow.
+    """
+    at = np.repeat(np.arange(len(sets.items)), sets.counts)
+    turn = np.arange(len(at)) - np.repeat(np.cumsum(sets.counts) - sets.counts, sets.counts)
+    keys = mix(sets.items[at] + turn.astype(_U) * _U(0xD6E8FEB86659FD93))
+    ends = np.concatenate([[0], np.cumsum(sets.weight)])
+    sizes = sets.weight - np.ceil(least * sets.weight - 1e-9).astype(int) + 1
+    return [np.sort(keys[ends[d] : ends[d + 1]])[: sizes[d] if sets.weight[d] else 0].view(np.int64) for d in range(len(sets.weight))]
+
 
-    @F.arrow_udf("struct<bands:array<bigint>,sketch:binary>")
+SIGNED = pa.struct([("buckets", pa.list_(pa.int64())), ("sketch", pa.binary()), ("weight", pa.int64())])
+
+
+def _signed(normal: Column, exact: bool, least: float) -> Column:
+    """(buckets, sketch, weight) of normal texts; no buckets for one without words."""
+
+    @F.arrow_udf("struct<buckets:array<bigint>,sketch:binary,weight:bigint>")
     def sign(texts: pa.Array) -> pa.Array:
-        shingler, out = Shingler(), []
-        for t in texts:
-            items, counts = shingler(t.as_py() or "")
-            if len(items):
-                sig = dart_minhash(items, counts)
-                out.append({"bands": bands_of(sig), "sketch": (sig & _U(255)).astype(np.uint8).tobytes()})
+        buckets, sizes, sketches, weights = [np.zeros(0, np.int64)], [0], [b""], [np.zeros(0, np.int64)]
+        for _, sets in shingle_sets(texts):
+            n = len(sets.weight)
+            weights.append(sets.weight)
+            sig = np.zeros((n, 0), _U) if exact else dart_minhash(sets.items, sets.counts, sets.owner, n)
+            sketches.append((sig & _U(255)).astype(np.uint8).tobytes())
+            if exact:
+                keys = prefix_of(sets, least)
+                buckets += keys
+                sizes += [len(x) for x in keys]
             else:
-                out.append(None)
-        return pa.array(out, pa.struct([("bands", pa.list_(pa.int64())), ("sketch", pa.binary())]))
+                full = sets.weight > 0
+                buckets.append(bands_of(sig[full]).ravel())
+                sizes += np.where(full, BANDS, 0).tolist()
+        width = 0 if exact else K
+        ends = np.arange(len(texts) + 1, dtype=np.int32) * width
+        sketch = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(sketches))])
+        lists = pa.ListArray.from_arrays(np.cumsum(sizes).astype(np.int32), np.concatenate(buckets))
+        return pa.StructArray.from_arrays([lists, sketch, np.concatenate(weights)], fields=list(SIGNED))
 
     return sign(normal)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two sets of sorted items with counts."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = np.minimum(a[1][i], b[1][j]).sum()
-    total = a[1].sum() + b[1].sum() - both
-    return float(both / total) if total else 0.0
-
-
-def forest(left: list[int], right: list[int], sketches: np.ndarray, sets: list, least: float = SIMILARITY) -> list[tuple[int, int]]:
-    """A spanning forest of the links between ``left`` and ``right`` (or within, if they are the same)."""
-    parent = {i: i for i in {*left, *right}}
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    weight = np.array([s[1].sum() for s in sets], float)
-    cut = least - (SIMILARITY - _CUT)
-    others, kept = np.array(right, int), []
-    for i in left:
-        agree = (sketches[others] == sketches[i]).mean(1)
-        share = np.minimum(weight[others], weight[i]) / np.maximum(weight[others], weight[i])
-        near = (agree >= cut) & (share >= least)
-        for j in others[near][np.argsort(-agree[near], kind="stable")].tolist():
-            if i != j and root(i) != root(j) and (left is not right or j > i) and similarity(sets[i], sets[j]) >= least:
-                parent[root(i)] = root(j)
-                kept.append((i, j))
-    return kept
-
-
-NODE = pa.struct([("a", pa.int64()), ("b", pa.int64())])
-LINKS = pa.schema([("u", NODE), ("v", NODE)])
-
-
-def _grouped(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[list[dict]]:
-    """Rows of sorted batches, one list for each run of equal keys."""
-    rows = (r for b in batches for r in b.to_pylist())
-    for _, group in itertools.groupby(rows, key=lambda r: tuple(tuple(r[k].values()) if isinstance(r[k], dict) else r[k] for k in keys)):
-        yield list(group)
-
-
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forest of true links of each (cluster, low, high) group."""
-    shingler, found = Shingler(), []
-    for group in _grouped(batches, ("cluster", "low", "high")):
-        own = {tuple(r["node"].values()): r for r in group}  # repeated rows are one text
-        rows = list(own.values())
-        sets = [shingler(r["normal"]) for r in rows]
-        sketches = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
-        low = [i for i, r in enumerate(rows) if r["block"] == rows[i]["low"]]
-        high = low if rows[0]["low"] == rows[0]["high"] else [i for i, r in enumerate(rows) if r["block"] == r["high"]]
-        found += [{"u": rows[i]["node"], "v": rows[j]["node"]} for i, j in forest(low, high, sketches, sets)]
-        if len(found) > 5000:
-            yield pa.RecordBatch.from_pylist(found, LINKS)
+# --- comparing ----------------------------------------------------------------
+
+NODE = "struct<a:bigint,b:bigint>"
+_NODE = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+PAIR = pa.schema([("u", _NODE), ("v", _NODE), ("cu", _NODE), ("cv", _NODE)])
+PAIR_DDL = f"u {NODE}, v {NODE}, cu {NODE}, cv {NODE}"
+
+
+def _nodes(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.StructArray.from_arrays([a, b], fields=list(_NODE))
+
+
+def _runs(batch: pa.RecordBatch, keys: tuple[str, ...]) -> list[tuple[tuple, int, int]]:
+    """(key, from, to) of the stretches of equal keys in a batch; struct keys count by their fields."""
+    columns = [np.asarray(c) for k in keys for c in (batch.column(k).flatten() if pa.types.is_struct(batch.column(k).type) else [batch.column(k)])]
+    change = np.zeros(batch.num_rows, bool)
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+    return [(tuple(int(c[a]) for c in columns), a, b) for a, b in itertools.pairwise(cuts) if a < b]
+
+
+def _checked(least: float):
+    """Pairs that are similar, of batches sorted by (v, chunk) with the text of v itself in front."""
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, head = None, None
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            leads = np.asarray(batch.column("member")) == 0
+            runs = iter(_runs(batch, ("v", "chunk")))
+            run = next(runs, None)
+            for at, sets in shingle_sets(batch.column("normal")):
+                upto = at + len(sets.weight)
+                while run is not None and run[1] < upto:
+                    key, a, b = run
+                    low, high = max(a, at), min(b, upto)
+                    if key != current:
+                        current, head = key, None
+                    if leads[low]:
+                        head = tuple(x.copy() for x in sets.of(low - at))
+                        low += 1
+                    if low < high:
+                        keep[low:high] = similarities(head, sets, low - at, high - at) >= least
+                    if b > upto:
+                        break
+                    run = next(runs, None)
+            kept = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([_nodes(*kept.column(c).flatten()) for c in PAIR.names], schema=PAIR)
+
+    return check
+
+
+def _similar(pairs: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """The stored ``pairs(u, v, cu, cv)`` whose texts are similar.
+
+    The pairs of one ``v`` are dealt into chunks by their count, and each chunk
+    gets the text of ``v`` once, so a ``v`` of very many pairs is many groups.
+    """
+    counts = pairs.groupBy(F.col("v").alias("cv_v")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = pairs.join(counts, F.col("v") == F.col("cv_v")).withColumn("chunk", F.pmod(F.xxhash64("u"), F.col("chunks")).cast("int"))
+    text = members.select(F.col("node").alias("m"), "normal")
+    tails = dealt.join(text, F.col("u") == F.col("m")).select("v", "chunk", F.lit(1).alias("member"), "u", "cu", "cv", "normal")
+    heads = counts.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(text, F.col("cv_v") == F.col("m"))
+    heads = heads.select(F.col("cv_v").alias("v"), "chunk", F.lit(0).alias("member"), "m", "m", "m", "normal")
+    rows = tails.unionAll(heads.toDF(*tails.columns)).repartition("v", "chunk").sortWithinPartitions("v", "chunk", "member")
+    return stored(rows.mapInArrow(_checked(least), PAIR_DDL), "similar")
+
+
+def _met(cut: float, least: float):
+    """Candidate pairs of the chunks of each bucket with its heads, by signature and weight."""
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, heads = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.stack([np.asarray(c) for name in ("node", "comp") for c in batch.column(name).flatten()], 1)
+            weight, lead = np.asarray(batch.column("weight")), np.asarray(batch.column("member")) == 0
+            data = batch.column("sketch").cast(pa.large_binary())
+            width = len(data[0].as_py())
+            start = np.frombuffer(data.buffers()[1], np.int64)[data.offset]
+            raw = np.frombuffer(data.buffers()[2], np.uint8) if width else np.zeros(0, np.uint8)
+            sketch = raw[start : start + width * len(data)].reshape(len(data), width)
             found = []
-    yield pa.RecordBatch.from_pylist(found, LINKS)
-
-
-def links(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
-    """Stored texts (doc_id, node) and a forest of links (u, v) between nodes of ``docs(doc_id, text)``."""
-    normal = docs.select("doc_id", normal_text(F.col("text")).alias("normal"))
+            for key, a, b in _runs(batch, ("bucket", "chunk")):
+                if key != current:
+                    current, heads = key, []
+                split = a + int(lead[a:b].sum())  # heads come first
+                if split > a:
+                    heads.append((ids[a:split], weight[a:split], sketch[a:split]))
+                if split == b:
+                    continue
+                h_ids, h_weight, h_sketch = (np.concatenate(x) for x in zip(*heads, strict=True))
+                for low in range(0, len(h_ids), 64):
+                    part = slice(low, low + 64)
+                    near = (h_ids[part, None, 2:] != ids[None, split:b, 2:]).any(2) & (h_ids[part, None, :2] != ids[None, split:b, :2]).any(2)
+                    shares = np.minimum(h_weight[part, None], weight[None, split:b]) / np.maximum(h_weight[part, None], weight[None, split:b])
+                    near &= shares >= least - 1e-12
+                    if width:
+                        near &= (h_sketch[part, None] == sketch[None, split:b]).mean(2) >= cut
+                    i, j = np.nonzero(near)
+                    if len(i):
+                        found.append(np.concatenate([ids[split + j, :2], h_ids[low + i, :2], ids[split + j, 2:], h_ids[low + i, 2:]], 1))
+            if found:
+                flat = np.concatenate(found)
+                swap = (flat[:, 0] < flat[:, 2]) | ((flat[:, 0] == flat[:, 2]) & (flat[:, 1] < flat[:, 3]))
+                flat[swap] = flat[swap][:, [2, 3, 0, 1, 6, 7, 4, 5]]  # u above v
+                yield pa.RecordBatch.from_arrays([_nodes(*(pa.array(flat[:, k]) for k in (2 * c, 2 * c + 1))) for c in range(4)], schema=PAIR)
+
+    return meet
+
+
+def _candidates(alive: DataFrame, heads: DataFrame, members: DataFrame, cut: float, least: float) -> DataFrame:
+    """Pairs of different components between the texts of each bucket and its ``heads(bucket, node)``."""
+    sizes = stored(alive.groupBy(F.col("bucket").alias("b")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "bucket-sizes")
+    sketch = members.select(F.col("node").alias("m"), "sketch")
+    full = alive.join(sketch, F.col("node") == F.col("m")).join(sizes, F.col("bucket") == F.col("b"))
+    columns = ("bucket", "chunk", "member", "node", "comp", "weight", "sketch")
+    tails = full.withColumns({"chunk": F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"), "member": F.lit(1)}).select(*columns)
+    lead = full.join(heads.select(F.col("bucket").alias("hb"), F.col("node").alias("hn")), (F.col("bucket") == F.col("hb")) & (F.col("node") == F.col("hn")))
+    lead = lead.withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "member": F.lit(0)}).select(*columns)
+    rows = tails.unionAll(lead).repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "member")
+    return rows.mapInArrow(_met(cut, least), PAIR_DDL).distinct()
+
+
+def _unsettled(alive: DataFrame) -> DataFrame:
+    """The rows of buckets in which two or more components remain, stored."""
+    ends = alive.groupBy(F.col("bucket").alias("b")).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    return stored(alive.join(stored(ends.select("b"), "open-buckets"), F.col("bucket") == F.col("b"), "left_semi"), "alive")
+
+
+def links(docs: DataFrame, exact: bool = False, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Stored texts (doc_id, node, raw) and links (u, v) that connect the nodes of ``docs(doc_id, text)``.
+
+    With ``exact`` the buckets are the prefixes of the shingle sets, which
+    similar texts always share, and no signature is looked at.
+    """
+    cut = -1.0 if exact else least - (SIMILARITY - _CUT)
+    normal = docs.select("doc_id", F.xxhash64("text").alias("raw"), normal_text(F.col("text")).alias("normal"))
     keyed = normal.withColumn("node", node(F.col("normal")))
-    signed = stored(
-        keyed.withColumn("s", _signed(F.col("normal"))).select("doc_id", "node", "s.bands", "s.sketch", F.length("normal").alias("chars")),
-        "signatures",
-    )
-    texts = signed.where("bands IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("chars").alias("chars")
-    )
-    rows = texts.select("node", F.explode("bands").alias("bucket"))
-    heads = rows.groupBy(F.col("bucket").alias("shared")).agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
-    stars = rows.join(heads, F.col("bucket") == F.col("shared")).select(F.col("node").alias("u"), F.col("head").alias("v"))
-    clusters = stored(components(stars).withColumnsRenamed({"node": "member", "component": "cluster"}), "clusters")
-    members = texts.drop("bands").join(clusters, F.col("node") == F.col("member")).drop("member")
-    members = stored(members, "members")
-    sizes = members.groupBy(F.col("cluster").alias("c")).agg(F.ceil(F.sum("chars") / block_chars).cast("int").alias("blocks"))
-    dealt = members.join(sizes, F.col("cluster") == F.col("c")).select(
-        F.col("node").alias("member"), "rep", "sketch", "cluster", "blocks",
-        F.pmod(F.xxhash64(F.lit(2), "node"), F.col("blocks")).cast("int").alias("block"),
-    )
-    picked = keyed.join(
-        broadcast_within(dealt, 400), (F.col("node") == F.col("member")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+    signed = stored(keyed.withColumn("s", _signed(F.col("normal"), exact, least)).select("doc_id", "node", "raw", "s.*"), "signatures")
+    rows = signed.select("node", "weight", F.explode("buckets").alias("bucket"))
+    ends = [f(F.col(f"node.{x}")).alias(f"{x}{k}") for x in "ab" for k, f in enumerate((F.min, F.max))]
+    shared = rows.groupBy(F.col("bucket").alias("shared")).agg(*ends).where("a0 <> a1 OR b0 <> b1")
+    entries = rows.join(stored(shared.select("shared"), "shared-buckets"), F.col("bucket") == F.col("shared")).select("bucket", "node", "weight").distinct()
+    alive = stored(entries.withColumn("comp", F.col("node")), "entries")
+    wanted = stored(alive.select(F.col("node").alias("n")).distinct(), "candidate-nodes")
+    picked = signed.join(wanted, F.col("node") == F.col("n")).groupBy("node").agg(F.min(F.struct("doc_id", "raw")).alias("rep"), F.first("sketch").alias("sketch"))
+    picked = picked.select("node", "sketch", F.col("rep.doc_id").alias("rep_id"), F.col("rep.raw").alias("rep_raw"))
+    raws = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("raw"), "text")
+    texts = raws.join(broadcast_within(picked, 400), (F.col("raw") == F.col("rep_raw")) & F.col("d").eqNullSafe(F.col("rep_id")))
+    members = stored(texts.select("node", "sketch", normal_text(F.col("text")).alias("normal")).dropDuplicates(["node"]), "members")
+
+    # every text with the least one of each of its buckets
+    heads = stored(alive.groupBy(F.col("bucket").alias("hb")).agg(F.min(F.struct("node", "weight")).alias("head")), "heads")
+    near = F.least("weight", "head.weight") / F.greatest("weight", "head.weight") >= least - 1e-12
+    stars = alive.join(heads, F.col("bucket") == F.col("hb")).where((F.col("node") != F.col("head.node")) & near)
+    pairs = stored(stars.select(F.col("node").alias("u"), F.col("head.node").alias("v")).distinct().withColumns({"cu": F.col("u"), "cv": F.col("v")}), "stars")
+    heads = heads.select(F.col("hb").alias("bucket"), "head.node")
+    tried, found, n_heads = pairs, [_similar(pairs, members, least)], HEADS
+    while True:
+        alive = alive.join(heads, ["bucket", "node"], "left_anti")  # compared with all others of their bucket
+        if not found[-1].isEmpty():
+            joined = stored(components(found[-1].select(F.col("cu").alias("u"), F.col("cv").alias("v"))).toDF("old", "new"), "joined")
+            alive = alive.join(joined, F.col("comp") == F.col("old"), "left").withColumn("comp", F.coalesce("new", "comp")).drop("old", "new")
+        alive = _unsettled(alive)
+        if alive.isEmpty():
+            break
+        salt = F.pmod(F.xxhash64(F.lit(n_heads), "node"), F.lit(n_heads))
+        heads = stored(alive.groupBy("bucket", salt.alias("salt")).agg(F.min("node").alias("node")).drop("salt"), "heads")
+        fresh = _candidates(alive, heads, members, cut, least).join(tried.select(F.col("u").alias("tu"), F.col("v").alias("tv")), (F.col("u") == F.col("tu")) & (F.col("v") == F.col("tv")), "left_anti")
+        pairs = stored(fresh, "pairs")
+        tried = tried.unionByName(pairs)
+        found.append(_similar(pairs, members, least))
+        n_heads *= 4
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.unionByName(more)
+    edges = stored(edges.select("u", "v"), "links")
+    discard(members, wanted, *found)
+    return signed.select("doc_id", "node", "raw"), edges
+
+
+def _classed(docs: DataFrame, exact: bool) -> DataFrame:
+    texts, found = links(docs, exact)
+    parts = stored(components(found), "classes").withColumnsRenamed({"node": "member", "component": "root"})
+    empty = node(F.lit(""))
+    rooted = texts.join(parts, F.col("node") == F.col("member"), "left").select(
+        "doc_id", "node", "raw", F.coalesce("root", "node").alias("root"), (F.col("node") == empty).alias("empty")
     )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = picked.select("node", "sketch", "normal", "cluster", "block", other).select(
-        "node", "sketch", "normal", "cluster", "block",
-        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+    sizes = rooted.where("NOT empty").groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    # stored, so that the join has exchanges of its own and Spark can split a class of very many rows
+    return rooted.join(stored(sizes, "class-sizes"), F.col("root") == F.col("r"), "left").select(
+        "doc_id", "node", F.when(F.col("empty"), F.col("doc_id")).otherwise(F.col("first_id")).alias("class_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("n_class"), "empty", "raw", "root",
     )
-    keys = ("cluster", "low", "high")
-    found = pairs.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(
-        _linked, "u struct<a:bigint,b:bigint>, v struct<a:bigint,b:bigint>"
-    )
-    return signed.select("doc_id", "node"), stored(found, "links")
 
 
-def classes(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, node, class_id, n_class) of every row of ``docs(doc_id, text)``.
+def classes(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """(doc_id, node, class_id, n_class, empty) of every row of ``docs(doc_id, text)``.
 
     Texts are linked if the weighted Jaccard similarity of their five-word
     shingles, counted, is 0.8 or more; a class is what links connect, and its id
@@ -256,34 +365,29 @@ def classes(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     a text of fewer than five words, but not none, is one shingle.  Null texts
     and texts without words are linked to nothing, not even each other: their
     class is their own id.  Repeated rows are counted and fall into one class.
+    Very long texts are compared whole; a task holds one chunk of them at a time.
+    Other columns of ``docs`` are not looked at, whatever their names.
+
+    Links between texts that share no band are not seen, and a pair that shares
+    one is dropped unread if its signatures agree four standard deviations less
+    than at 0.8; ``exact`` has neither loss and costs a bucket for a fifth of
+    all shingles.
     """
-    texts, found = links(docs, block_chars)
-    parts = stored(components(found), "classes").withColumnsRenamed({"node": "member", "component": "root"})
-    empty = node(F.lit(""))
-    rooted = texts.join(parts, F.col("node") == F.col("member"), "left").select(
-        "doc_id", "node", F.coalesce("root", "node").alias("root"), (F.col("node") == empty).alias("empty")
-    )
-    sizes = rooted.where("NOT empty").groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-    # stored, so that the join has exchanges of its own and Spark can split a class of very many rows
-    return rooted.join(stored(sizes, "class-sizes"), F.col("root") == F.col("r"), "left").select(
-        "doc_id", "node", F.when(F.col("empty"), F.col("doc_id")).otherwise(F.col("first_id")).alias("class_id"),
-        F.coalesce("n", F.lit(1)).cast("long").alias("n_class"), "empty",
-    )
+    return _classed(docs, exact).drop("raw", "root")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, exact: bool = False) -> DataFrame:
     """``docs`` with one row of each class: that of its smallest doc_id.
 
     Rows equal in id and words are one; rows without words all stay.  A class
     with a null id keeps it only if it has no other.
     """
-    found = classes(docs.select("doc_id", "text"))
-    kept = found.where("NOT empty").groupBy("class_id", "node").agg(F.min("doc_id").alias("keep_id"), F.max("n_class").alias("n"))
-    kept = kept.where(F.col("keep_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("class_id").alias("__class")).agg(F.min("node").alias("__keep"))
-    keyed = docs.withColumn("__node", node(normal_text(F.col("text"))))
-    is_empty = F.col("__node") == node(F.lit(""))
-    own = keyed.where(~is_empty).join(
-        kept, (F.col("__node") == F.col("__keep")) & F.col("doc_id").eqNullSafe(F.col("__class"))
-    )
-    first = own.dropDuplicates(["__node", "doc_id"])
-    return first.select(*docs.columns).unionByName(keyed.where(is_empty).select(*docs.columns))
+    found = _classed(docs.select("doc_id", "text"), exact)
+    own = found.where(~F.col("empty") & F.col("doc_id").eqNullSafe(F.col("class_id")))
+    # of a class's rows with that id the one whose words, then text, have the least hash
+    kept = own.groupBy("root").agg(F.min(F.struct("node", "raw"))["raw"].alias("__keep"), F.min("class_id").alias("__class"))
+    keyed = docs.withColumn("__raw", F.xxhash64("text"))
+    has_words = F.coalesce(F.col("text").rlike(_A_WORD), F.lit(False))
+    first = keyed.where(has_words).join(kept, (F.col("__raw") == F.col("__keep")) & F.col("doc_id").eqNullSafe(F.col("__class")))
+    first = first.dropDuplicates(["__raw", "doc_id"])
+    return first.select(*docs.columns).unionByName(keyed.where(~has_words).select(*docs.columns))

@@ -246,17 +246,55 @@ def test_dart_signatures_estimate_weighted_similarity():
         items = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         a = rng.integers(1, 9, len(items))
         b = np.where(rng.random(len(items)) < 0.3, rng.integers(1, 30, len(items)), a)
-        agree.append((near_dedup.dart_minhash(items, a) == near_dedup.dart_minhash(items, b)).mean())
+        owner = np.zeros(len(items), int)
+        agree.append((near_dedup.dart_minhash(items, a, owner, 1) == near_dedup.dart_minhash(items, b, owner, 1)).mean())
         true.append(np.minimum(a, b).sum() / np.maximum(a, b).sum())
     assert abs(np.mean(np.array(agree) - np.array(true))) < 0.015
 
 
-def test_classes_equal_brute_force(spark, copies):
+def test_sets_of_many_texts_are_those_of_each(monkeypatch):
+    import pyarrow as pa
+
+    from geoquilt.llm import shingles
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["a", "bc", "dé", "f日"], rng.integers(0, 40))) for _ in range(200)] + [None, "", "x " * 3000 + "y", "one"]
+    monkeypatch.setattr(shingles, "CHUNK_BYTES", 300)
+    names, seen = {}, 0
+    for at, sets in shingles.shingle_sets(pa.array(texts)):
+        for d in range(len(sets.weight)):
+            w = (texts[at + d] or "").split(" ") if texts[at + d] else []
+            want = Counter(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+            items, counts = sets.of(d)
+            assert sorted(counts) == sorted(want.values()) and sets.weight[d] == sum(want.values())
+            for s in want:
+                names.setdefault(s, []).append({x for x, c in zip(items.tolist(), counts.tolist(), strict=True) if c == want[s]})
+            seen += 1
+    assert seen == len(texts) and all(set.intersection(*found) for found in names.values())  # equal shingles, equal hashes
+
+
+@pytest.mark.parametrize("exact, chunk, heads", [(True, 256, 16), (False, 3, 2)])  # the latter: buckets of many chunks, many rounds
+def test_classes_equal_brute_force(spark, copies, monkeypatch, exact, chunk, heads):
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(near_dedup, "HEADS", heads)
+    frame = spark.createDataFrame(copies, "doc_id long, text string").withColumn("node", F.lit(1))
+    got = near_dedup.classes(frame, exact).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_class) for r in got) == class_of(copies)
+
+
+def test_families_below_the_similarity_stay_apart(spark):
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(k, " ".join("x%d" % rng.integers(0, 9999) if rng.random() < 0.035 else w for w in base)) for k in range(60)]
+    rows += [(100, " ".join(base * 60)), (101, " ".join((base * 60)[:7000]))]
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), True).collect()
+    want = class_of(rows)
+    assert 1 < len({c for _, c, _ in want}) < 61 and Counter((r.doc_id, r.class_id, r.n_class) for r in got) == want
+
+
+def test_one_row_of_each_class_is_kept(spark, copies):
     frame = spark.createDataFrame(copies, "doc_id long, text string").withColumn("node", F.lit(1))
-    want = class_of(copies)
-    for block in (10**7, 400):  # one task per cluster, and clusters cut into many blocks
-        got = near_dedup.classes(frame, block).collect()
-        assert Counter((r.doc_id, r.class_id, r.n_class) for r in got) == want
+    got = near_dedup.classes(frame).collect()
     kept = near_dedup.deduplicate(frame).collect()
     classes = {(r.class_id, r.node) if r.empty else r.class_id for r in got}
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(c if not isinstance(c, tuple) else c[0] for c in classes if c is not None)
