@@ -1,12 +1,14 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Test windows are looked up in postings of the training texts.  Term counts over
-the whole corpus say which terms of a window are the rarest; only their postings
-are stored: (term, text key, position).  The list of the rarest term, shifted by
-its offset, gives the places where a window could start; intersecting it with
-the shifted list of the next rarest leaves few, and those are compared word by
-word with the text.  A text key is a 128-bit hash of the text, so exact copies,
-however many, share one posting list.
+The training texts are cut into words once; the occurrences of benchmark terms
+are stored as (term, text key, position).  Their counts say which terms of a test
+window are the rarest, and the postings are those of the two rarest of each.
+The list of the rarest term, shifted by its offset, gives the places where a
+window could start; intersecting it with the shifted list of the next rarest
+leaves few.  Texts that hold such a place are read again and all terms of the
+window are compared: each in its place for an exact match, each within ``slop``
+words of it for a proximity match.  A text key is a 128-bit hash of the text, so
+exact copies, however many, share one posting list.
 
 Only DataFrame functions are used.
 """
@@ -16,19 +18,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoquilt.storage import broadcast_within, stored
+from geoquilt.storage import broadcast_within, discard, stored
 
-#: After lower-casing A-Z: runs of digits, a-z and everything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Between words; they are runs of digits, letters and everything beyond ASCII.
+_OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WINDOW = 10
+WINDOW, SLOP = 10, 1
 TERM_BYTES, WINDOW_BYTES = 200, 1000
+HITS = "array<struct<start:int,n:int,items:array<string>>>"
+
+
+def _spaced(text: Column) -> Column:
+    """The words of ``text``, as they are, with single spaces; null has none."""
+    return F.coalesce(F.trim(F.regexp_replace(text, _OTHER, " ")), F.lit(""))
 
 
 def words(text: Column) -> Column:
     """Words of ``text``, A-Z lower-cased; a null text has none."""
-    found = F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
-    return F.coalesce(found, F.array().cast("array<string>"))
+    normal = F.translate(_spaced(text), UPPER, LOWER)
+    return F.when(normal == "", F.array().cast("array<string>")).otherwise(F.split(normal, " "))
+
+
+def word_count(text: Column) -> Column:
+    """Number of words of ``text``."""
+    spaced = _spaced(text)
+    return F.when(spaced == "", 0).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
 def text_key(text: Column) -> Column:
@@ -55,11 +69,13 @@ def test_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def term_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Occurrences over all texts of each term of ``vocabulary(term)``; absent ones are left out."""
-    tokens = docs.select(F.explode(words(F.col("text"))).alias("token"))
+def occurrences(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Stored (term, key, pos) of every occurrence of the terms of ``vocabulary(term)``: the only pass over all words."""
+    tokens = docs.where("text IS NOT NULL").select(
+        text_key(F.col("text")).alias("key"), F.posexplode(words(F.col("text"))).alias("pos", "token")
+    )
     hits = tokens.join(broadcast_within(vocabulary, TERM_BYTES), F.col("token") == F.col("term"))
-    return hits.groupBy("term").agg(F.count("*").alias("n"))
+    return stored(hits.select("term", "key", "pos"), "occurrences")
 
 
 def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -83,24 +99,27 @@ def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The index: distinct (term, key, pos) of the terms of ``terms(term)`` over all texts."""
-    tokens = docs.where("text IS NOT NULL").select(
-        text_key(F.col("text")).alias("key"), F.posexplode(words(F.col("text"))).alias("pos", "token")
-    )
-    hits = tokens.join(broadcast_within(terms, TERM_BYTES), F.col("token") == F.col("term"))
-    return hits.select("term", "key", "pos").distinct()
+def build_index(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Stored windows (with their rarest terms) and stored postings of those terms: distinct (term, key, pos)."""
+    windows = stored(test_windows(benchmark, window), "windows")
+    hits = occurrences(docs, windows.select(F.explode("terms").alias("term")).distinct())
+    ranked = stored(rarest_terms(windows, hits.groupBy("term").agg(F.count("*").alias("n"))), "ranked-windows")
+    wanted = ranked.select(F.col("t1").alias("wanted")).union(ranked.select("t2")).distinct()
+    index = stored(hits.join(broadcast_within(wanted, TERM_BYTES), F.col("term") == F.col("wanted")).select("term", "key", "pos").distinct(), "postings")
+    discard(windows, hits)
+    return ranked, index
 
 
 def intersect(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
-    """Places (key, phrase, start) where the two rarest terms of a window agree.
+    """Distinct places (key, phrase, start, exact) where the two rarest terms of a window agree.
 
     The list of t1 shifted by o1 is intersected with that of t2 shifted by o2.
-    With a ``slop`` the second term may stand up to that many words off its place,
-    which is the proximity match; 0 is the exact one.  Positions are dealt into
-    cells of ``slop + 1`` words so that it stays an equality join.
+    ``start`` is t1's shifted position, and the place is exact if t2's is the same.
+    With a ``slop`` both may stand that many words off their places, so up to twice
+    as many apart.  Positions are dealt into cells so that it stays an equality join.
     """
-    cell = lambda pos: F.floor(pos / (slop + 1)).cast("int")
+    reach = 2 * slop
+    cell = lambda pos: F.floor(pos / (reach + 1)).cast("int")
     near = F.array(*[cell(F.col("start") + F.col("o2")) + d for d in ((-1, 0, 1) if slop else (0,))])
     starts = (
         index.join(broadcast_within(windows.select("phrase", "t1", "o1", "t2", "o2"), WINDOW_BYTES), F.col("term") == F.col("t1"))
@@ -110,53 +129,67 @@ def intersect(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
     )
     second = index.select(F.col("key").alias("key2"), F.col("term").alias("term2"), F.col("pos").alias("pos2"), cell(F.col("pos")).alias("cell2"))
     same = (F.col("key") == F.col("key2")) & (F.col("t2") == F.col("term2")) & (F.col("cell") == F.col("cell2"))
-    placed = starts.join(second, same & (F.abs(F.col("pos2") - F.col("start") - F.col("o2")) <= slop))
-    return placed.select("key", "phrase", "start").distinct()
+    off = F.col("pos2") - F.col("start") - F.col("o2")
+    placed = starts.join(second, same & (F.abs(off) <= reach))
+    return placed.groupBy("key", "phrase", "start").agg(F.max(off == 0).alias("exact"))
 
 
-def build_index(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Stored windows (with their rarest terms) and stored postings of those terms."""
-    windows = stored(test_windows(benchmark, window), "windows")
-    vocabulary = windows.select(F.explode("terms").alias("term")).distinct()
-    counts = stored(term_counts(docs, vocabulary), "term-counts")
-    ranked = stored(rarest_terms(windows, counts), "ranked-windows")
-    wanted = ranked.select("t1").union(ranked.select("t2")).distinct().withColumnRenamed("t1", "term")
-    return ranked, stored(postings(docs, wanted), "postings")
-
-
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int, window: int = WINDOW) -> DataFrame:
-    """Texts (key) and windows (phrase) whose two rarest terms stand within ``slop`` words of their distance."""
-    windows, index = build_index(docs, benchmark, window)
-    return intersect(index, windows, slop)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with n_words, hits and contaminated.
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
+    """``docs`` with n_words, hits, near and contaminated.
 
     ``hits`` are (start, n, items) of every exact occurrence of a test window in
-    the whole text.  Null texts have no words and no hits, repeated rows get equal
-    results, an empty benchmark gives no hits.  A column of ``docs`` that bears
-    one of the new names is replaced.
+    the whole text, and any makes it ``contaminated``.  ``near`` are (phrase, items)
+    of the windows that have a proximity match: a start from which every term of
+    the window stands within ``slop`` words of its place; with a slop of 0 these
+    are the exact ones.  Null texts have no words and no hits, repeated rows get
+    equal results, an empty benchmark gives no hits, and texts of any length are
+    compared whole.  A column of ``docs`` that bears one of the new names is replaced.
     """
     windows, index = build_index(docs, benchmark, window)
-    found = intersect(index, windows)
-    terms = broadcast_within(windows.select(F.col("phrase").alias("phrase2"), "terms", "items"), WINDOW_BYTES)
+    places = intersect(index, windows, slop).groupBy("key", "phrase").agg(
+        F.collect_list(F.when(F.col("exact") & (F.col("start") >= 0), F.col("start"))).alias("starts"), F.collect_list("start").alias("bases")
+    )
+    terms = broadcast_within(windows.select(F.col("phrase").alias("phrase2"), "items"), WINDOW_BYTES)
     candidates = (
-        found.join(terms, F.col("phrase") == F.col("phrase2"))
-        .groupBy("key")
-        .agg(F.collect_list(F.struct("start", "terms", "items")).alias("__places"))
-        .withColumnRenamed("key", "__key")
+        places.join(terms, F.col("phrase") == F.col("phrase2"))
+        .groupBy(F.col("key").alias("__key"))
+        .agg(F.collect_list(F.struct("phrase", "items", "starts", "bases")).alias("__places"))
     )
     keyed = docs.withColumn("__text_key", text_key(F.col("text")))
     # stored, so that its exchange is a join's own and Spark can split a text that very many rows share
     candidates = stored(candidates, "candidates")
-    joined = keyed.join(candidates, F.col("__text_key") == F.col("__key"), "left").withColumn("__words", words(F.col("text")))
-    exact = F.filter("__places", lambda p: F.slice("__words", p["start"] + 1, F.size(p["terms"])) == p["terms"])
-    hits = F.transform(exact, lambda p: F.struct(p["start"].alias("start"), F.size(p["terms"]).alias("n"), p["items"].alias("items")))
+    discard(index)
+    joined = keyed.join(candidates, F.col("__text_key") == F.col("__key"), "left")
+    joined = joined.withColumn("__words", F.when(F.col("__key").isNotNull(), words(F.col("text"))))
+
+    def exact(p: Column) -> Column:
+        """Occurrences of a window among its exact places."""
+        n = F.size(F.split(p["phrase"], " "))
+        true = F.filter(p["starts"], lambda s: F.array_join(F.slice("__words", s + 1, n), " ") == p["phrase"])
+        return F.transform(true, lambda s: F.struct(s.alias("start"), n.alias("n"), p["items"].alias("items")))
+
+    def is_near(p: Column) -> Column:
+        """Whether from some start, at most ``slop`` off a place, all terms are near theirs."""
+        term = F.transform(F.split(p["phrase"], " "), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+
+        def fits(start: Column) -> Column:
+            low = lambda x: F.greatest(start + x["i"] - slop, F.lit(0))
+            stretch = lambda x: F.slice("__words", low(x) + 1, F.greatest(start + x["i"] + slop + 1 - low(x), F.lit(0)))
+            return F.forall(term, lambda x: F.array_contains(stretch(x), x["t"]))
+
+        return F.exists(p["bases"], lambda b: F.exists(F.sequence(b - slop, b + slop), fits))
+
+    hits = F.flatten(F.transform("__places", exact))
+    near = F.transform(F.filter("__places", is_near), lambda p: F.struct(p["phrase"].alias("phrase"), p["items"].alias("items")))
     out = joined.withColumns(
-        {"n_words": F.size("__words").cast("long"), "hits": F.coalesce(hits, F.array().cast("array<struct<start:int,n:int,items:array<string>>>"))}
+        {
+            "n_words": word_count(F.col("text")),
+            "hits": F.coalesce(hits, F.array().cast(HITS)),
+            "near": F.coalesce(near, F.array().cast("array<struct<phrase:string,items:array<string>>>")),
+        }
     ).withColumn("contaminated", F.size("hits") > 0)
-    return out.select(*[c for c in docs.columns if c not in ("n_words", "hits", "contaminated")], "n_words", "hits", "contaminated")
+    new = ("n_words", "hits", "near", "contaminated")
+    return out.select(*[c for c in docs.columns if c not in new], *new)
 
 
 def hit_digest(hits: Column) -> dict[str, Column]:

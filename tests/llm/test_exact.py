@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from geoquilt.llm import curriculum, decontam, multi_index, near_dedup, quotes, url_rules, warc
 from geoquilt.storage import shared_dir
 
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -155,7 +156,7 @@ def test_a_changed_archive_is_refused(spark):
 
 
 def hits_of(text, items, window=10):
-    words = lambda t: re.findall(decontam.WORD, (t or "").translate(str.maketrans(decontam.UPPER, decontam.LOWER)))
+    words = lambda t: re.findall(WORD, (t or "").translate(str.maketrans(decontam.UPPER, decontam.LOWER)))
     w, covered, found = words(text), set(), set()
     for i, t in items:
         v = words(t)
@@ -187,18 +188,42 @@ def test_windows_equal_brute_force(spark):
     assert decontam.contamination(docs(spark, rows), bench.limit(0)).where("contaminated").count() == 0
 
 
-def test_proximity_lets_words_between(spark):
-    bench = spark.createDataFrame([(1, "alpha one two three beta")], "item_id long, text string")
-    rows = [(1, "alpha one two three beta", "s"), (2, "alpha one extra two three beta", "s"), (3, "beta alpha", "s"), (4, "one two three one two three", "s")]
-    near = lambda slop: decontam.proximity_matches(docs(spark, rows), bench, slop).count()
-    assert near(0) == 1 and near(1) == 2
+def near_windows(text, items, slop, window=10):
+    """Phrases of which every word stands within ``slop`` of its place from some start."""
+    words = lambda t: re.findall(WORD, (t or "").translate(str.maketrans(decontam.UPPER, decontam.LOWER)))
+    w, found = words(text), set()
+    for _, t in items:
+        v = words(t)
+        for k in range(max(1, len(v) - window + 1) if v else 0):
+            piece = v[k : k + window]
+            starts = range(-slop - len(piece), len(w) + slop + 1)
+            if any(all(x in w[max(0, a + i - slop) : max(0, a + i + slop + 1)] for i, x in enumerate(piece)) for a in starts):
+                found.add(" ".join(piece))
+    return found
+
+
+@pytest.mark.parametrize("slop", [0, 1, 3])
+def test_proximity_equals_brute_force(spark, slop):
+    rng = np.random.default_rng(7)
+    phrase = lambda n: " ".join(rng.choice(["the", "of", "a", "zé", "q", "r", "s", "t"], n))
+    items = [(1, "alpha one two three beta"), (2, "q"), (None, phrase(6)), (4, phrase(12)), (5, None)]
+    rows = [(i, t, "s") for i, t in enumerate(["alpha one two three beta", "alpha one extra two three beta", "beta alpha", "alpha nope no nothing beta", "one alpha two three beta", "beta three two one alpha", None, ""])]
+    for i in range(40):
+        w = phrase(12).split() + items[int(rng.integers(0, 4))][1].split() + phrase(8).split()
+        for _ in range(int(rng.integers(0, 4))):
+            w.insert(int(rng.integers(0, len(w))), "x")
+        rows.append((100 + i, " ".join(w), "s"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.contamination(docs(spark, rows), bench, slop=slop).collect()
+    assert {r.doc_id: {x.phrase for x in r.near} for r in got} == {i: near_windows(t, items, slop) for i, t, _ in rows}
+    assert all(r.contaminated == bool(hits_of(r.text, items)[1]) for r in got)
 
 
 # --- near duplicates --------------------------------------------------------
 
 
 def shingled(text):
-    w = re.findall(decontam.WORD, (text or "").translate(str.maketrans(decontam.UPPER, decontam.LOWER)))
+    w = re.findall(WORD, (text or "").translate(str.maketrans(decontam.UPPER, decontam.LOWER)))
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
