@@ -18,7 +18,6 @@ until no bucket holds two texts that are neither connected nor compared.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoquilt.llm.runs import runs
 from geoquilt.llm.shingles import ShingleSets, mix, shingle_sets, similarities
 from geoquilt.operators.components import components
 from geoquilt.storage import broadcast_within, discard, stored
@@ -169,16 +169,6 @@ def _nodes(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([a, b], fields=list(_NODE))
 
 
-def _runs(batch: pa.RecordBatch, keys: tuple[str, ...]) -> list[tuple[tuple, int, int]]:
-    """(key, from, to) of the stretches of equal keys in a batch; struct keys count by their fields."""
-    columns = [np.asarray(c) for k in keys for c in (batch.column(k).flatten() if pa.types.is_struct(batch.column(k).type) else [batch.column(k)])]
-    change = np.zeros(batch.num_rows, bool)
-    for c in columns:
-        change[1:] |= c[1:] != c[:-1]
-    cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-    return [(tuple(int(c[a]) for c in columns), a, b) for a, b in itertools.pairwise(cuts) if a < b]
-
-
 def _checked(least: float):
     """Pairs that are similar, of batches sorted by (v, chunk) with the text of v itself in front."""
 
@@ -187,8 +177,8 @@ def _checked(least: float):
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             leads = np.asarray(batch.column("member")) == 0
-            runs = iter(_runs(batch, ("v", "chunk")))
-            run = next(runs, None)
+            parts = iter(runs(batch, ("v", "chunk")))
+            run = next(parts, None)
             for at, sets in shingle_sets(batch.column("normal")):
                 upto = at + len(sets.weight)
                 while run is not None and run[1] < upto:
@@ -203,7 +193,7 @@ def _checked(least: float):
                         keep[low:high] = similarities(head, sets, low - at, high - at) >= least
                     if b > upto:
                         break
-                    run = next(runs, None)
+                    run = next(parts, None)
             kept = batch.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([_nodes(*kept.column(c).flatten()) for c in PAIR.names], schema=PAIR)
 
@@ -242,7 +232,7 @@ def _met(cut: float, least: float):
             raw = np.frombuffer(data.buffers()[2], np.uint8) if width else np.zeros(0, np.uint8)
             sketch = raw[start : start + width * len(data)].reshape(len(data), width)
             found = []
-            for key, a, b in _runs(batch, ("bucket", "chunk")):
+            for key, a, b in runs(batch, ("bucket", "chunk")):
                 if key != current:
                     current, heads = key, []
                 split = a + int(lead[a:b].sum())  # heads come first

@@ -13,11 +13,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import math
 import posixpath
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -27,13 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
 
-from geoquilt.storage import range_of
+from geoquilt.storage import discard, range_of, stored
 
 HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: A date that does not depend on the run, as no crawl time is known.
 WARC_DATE = "2000-01-01T00:00:00Z"
 ROLL_BYTES = 64 << 20
-ROWS_PER_SHARD, MAX_SHARDS = 4000, 4096
+#: Payload bytes and rows of a shard, and cut points at most; beyond those, ranges are cut into steps.
+SHARD_BYTES, ROWS_PER_SHARD, MAX_CUTS = 128 << 20, 100_000, 4096
+COLUMNS = ("shard", "page_id", "kind", "digest", "leader", "home", "leader_url", "url", "payload")
 MANIFEST = "file string, shard int, seq int, records long, bytes long, sha256 string"
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
@@ -45,30 +50,88 @@ def payload_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), HEX32, BASE32)
 
 
-def duplicates(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """(page_id, digest, leader) of the rows whose payload others share.
+def digests(pages: DataFrame) -> DataFrame:
+    """Stored (page_id, url, digest, bytes, salt) of every row of ``pages(page_id, url, payload)``.
 
-    The leader of a payload is its largest page_id.  Only digests travel, and
-    counts per digest are pre-aggregated, so a payload that a third of the pages
-    share costs one row per task.
+    The only pass over the payloads before they are written.  ``salt`` deals rows
+    of one id; it depends on the row and its partition, not on any order.
     """
-    digests = pages.select("page_id", payload_sha1(F.col("payload")).alias("digest"), F.length("payload").alias("n"))
-    digests = digests.where(F.col("n") >= min_revisit_bytes).select("page_id", "digest")
-    shared = digests.groupBy(F.col("digest").alias("shared")).agg(F.max("page_id").alias("leader"), F.count("*").alias("n"))
-    return digests.join(shared.where("n > 1"), F.col("digest") == F.col("shared")).select("page_id", "digest", "leader")
+    return stored(
+        pages.select(
+            "page_id", "url", payload_sha1(F.col("payload")).alias("digest"), F.length("payload").cast("long").alias("bytes"), _salt()
+        ),
+        "warc-digests",
+    )
+
+
+def _salt() -> Column:
+    return F.xxhash64("url", "payload", F.spark_partition_id()).alias("salt")
+
 
+@dataclass(frozen=True)
+class Shards:
+    """Ranges of page ids, each cut into equal steps; a frequent id and null have shards to deal their rows over."""
 
-def _shards(pages: DataFrame, rows_per_shard: int) -> Column:
-    """Shard of a page_id: the number of cut points up to it.
+    nulls: int
+    steps: int
+    cuts: tuple[int, ...]  # ascending; a frequent id stands there several times
+    least: int
+    most: int
 
-    Cut points are approximate quantiles, a bounded list; they steer the balance
-    only.  Null ids sort first.
+    @property
+    def count(self) -> int:
+        return self.nulls + self.steps * (len(self.cuts) + 1)
+
+    def of(self, page_id: Column, salt: Column) -> Column:
+        """Shard of a row; shards follow each other in the order of ids, null first."""
+        ends = sorted(Counter(self.cuts).items())
+        null = F.pmod(salt, F.lit(max(1, self.nulls)))
+        if not ends:
+            inner, low, high = F.lit(0), F.lit(self.least), F.lit(self.most)
+            frequent, dealt = F.lit(False), F.lit(0)
+        else:
+            values, counts = [v for v, _ in ends], [c for _, c in ends]
+            k = range_of(page_id, values)
+            at = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), k + 1)
+            inner, low, high = at([0, *itertools.accumulate(counts)]), at([self.least, *values]), at([*values, self.most])
+            times = at([1, *counts])
+            frequent = (times > 1) & (page_id == low)
+            dealt = F.pmod(salt, times * self.steps)
+        part = F.floor((page_id - low) / F.greatest(high - low, F.lit(1)) * self.steps)
+        step = inner * self.steps + F.least(F.greatest(part, F.lit(0)), F.lit(self.steps - 1))
+        # the ranges that end with a frequent id hold nothing else
+        shard = F.when(frequent, inner * self.steps + self.steps - 1 - dealt).otherwise(step)
+        return F.when(page_id.isNull(), null).otherwise(shard + self.nulls).cast("int")
+
+
+def shards_for(known: DataFrame, shard_bytes: int, rows_per_shard: int) -> Shards:
+    """Shards of about ``shard_bytes`` of payload and ``rows_per_shard`` rows at most, by approximate quantiles of ids."""
+    rows, held, ids, least, most = known.agg(F.count("*"), F.sum("bytes"), F.count("page_id"), F.min("page_id"), F.max("page_id")).first()
+    n = max(1, math.ceil(max((held or 0) / shard_bytes, rows / rows_per_shard)))
+    nulls = math.ceil(n * (rows - ids) / max(rows, 1))
+    ranges, cuts = min(MAX_CUTS, max(1, n - nulls)), []
+    if ids and ranges > 1:
+        cuts = known.agg(F.percentile_approx("page_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
+    return Shards(nulls, max(1, math.ceil((n - nulls) / ranges)), tuple(sorted(cuts)), least or 0, most or 0)
+
+
+def duplicates(known: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
+    """Distinct (page_id, shard, digest, leader, home, leader_url) of the rows whose payload others share.
+
+    The leader of a payload is its largest page_id; the response is its first
+    row in the ``home`` shard.  Only digests travel, and counts per digest are
+    pre-aggregated, so a payload that a third of the pages share costs one row
+    per task.
     """
-    n = min(MAX_SHARDS, math.ceil(pages.count() / rows_per_shard))
-    if n <= 1:
-        return F.lit(0)
-    cuts = pages.agg(F.percentile_approx("page_id", [i / n for i in range(1, n)], 20 * n)).first()[0]
-    return F.when(F.col("page_id").isNull(), 0).otherwise(range_of(F.col("page_id"), sorted(set(cuts or []))))
+    kept = known.where(F.col("bytes") >= min_revisit_bytes).select("page_id", "url", "digest", "shard")
+    order = F.struct("page_id", (-F.col("shard")).alias("back"))
+    shared = kept.groupBy(F.col("digest").alias("shared")).agg(F.max(order).alias("top"), F.count("*").alias("n"))
+    shared = stored(shared.where("n > 1").select("shared", F.col("top.page_id").alias("leader"), (-F.col("top.back")).alias("home")), "warc-shared")
+    rows = kept.join(shared, F.col("digest") == F.col("shared"))
+    first = rows.where(F.col("page_id").eqNullSafe(F.col("leader")) & (F.col("shard") == F.col("home")))
+    urls = first.groupBy(F.col("digest").alias("d")).agg(F.min(F.struct("url"))["url"].alias("leader_url"))
+    pairs = rows.select("page_id", "shard", "digest", "leader", "home").distinct()
+    return pairs.join(stored(urls, "warc-leaders"), F.col("digest") == F.col("d")).drop("d")
 
 
 def _header(fields: list[tuple[str, object]], first: str) -> bytes:
@@ -80,35 +143,65 @@ def _sha1(data: bytes) -> str:
 
 
 def _page_urn(page_id: int | None) -> str | None:
-    return None if page_id is None else f"urn:x-page:{page_id}"
+    return None if page_id is None else f"<urn:x-page:{page_id}>"
+
 
+def _target(url: str | None) -> str | None:
+    """A URL, percent-encoded where a header could not hold it."""
+    return None if url is None else quote(url, safe="!#$%&'()*+,/:;=?@[]~")
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record with regenerated headers.
+
+def response_id(digest: str) -> str:
+    """Record id of the one response among records that share a payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'response\n{digest}')}>"
+
+
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, record_id: str, leader: tuple[int | None, str | None] | None = None) -> bytes:
+    """One WARC/1.1 record with regenerated headers; a ``leader`` (page_id, url) makes it a revisit.
 
     A revisit carries no payload but its digest and length, and names the record
-    it refers to.  URLs are percent-encoded where a header could not hold them.
+    it refers to, its URL and its date.
     """
     digest = _sha1(payload)
     http = _header([("Content-Type", "text/html; charset=utf-8"), ("Content-Length", len(payload))], "HTTP/1.1 200 OK")
-    block = http if revisit else http + payload
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}\n{url}\n{digest}\n{revisit}")
+    block = http if leader else http + payload
+    refers = [] if leader is None else [
+        ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+        ("WARC-Refers-To", response_id(digest)),
+        ("WARC-Refers-To-Target-URI", _target(leader[1])),
+        ("WARC-Refers-To-Date", WARC_DATE),
+        ("X-Refers-To-Page", _page_urn(leader[0])),
+    ]
     fields = [
-        ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:uuid:{name}>"),
+        ("WARC-Type", "revisit" if leader else "response"),
+        ("WARC-Record-ID", record_id),
         ("WARC-Date", WARC_DATE),
-        ("WARC-Target-URI", None if url is None else quote(url, safe="!#$%&'()*+,/:;=?@[]~")),
+        ("WARC-Target-URI", _target(url)),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Block-Digest", f"sha1:{_sha1(block)}"),
-        ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None),
-        ("WARC-Refers-To", f"<{_page_urn(refers_to)}>" if revisit and refers_to is not None else None),
-        ("X-Page", None if page_id is None else f"<{_page_urn(page_id)}>"),
+        *refers,
+        ("X-Page", _page_urn(page_id)),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", len(block)),
     ]
     return _header(fields, "WARC/1.1") + block + b"\r\n\r\n"
 
 
+def info_bytes(name: str) -> bytes:
+    """The warcinfo record in front of a file."""
+    block = b"format: WARC File Format 1.1\r\n"
+    fields = [
+        ("WARC-Type", "warcinfo"),
+        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'warcinfo' + chr(10) + name)}>"),
+        ("WARC-Date", WARC_DATE),
+        ("WARC-Filename", name),
+        ("WARC-Block-Digest", f"sha1:{_sha1(block)}"),
+        ("Content-Type", "application/warc-fields"),
+        ("Content-Length", len(block)),
+    ]
+    return _header(fields, "WARC/1.1") + block + b"\r\n\r\n"
+
+
 class _Roll:
     """The files of one shard: opened under a temporary name, renamed when full."""
 
@@ -124,14 +217,18 @@ class _Roll:
             self.temporary = posixpath.join(self.root, f"_tmp-{self.attempt}-{self.name}")
             self.out = self.fs.open_output_stream(self.temporary, compression=None)
             self.records, self.bytes, self.sha = 0, 0, hashlib.sha256()
+            self._put(info_bytes(self.name))
+        self._put(record)
+        self.records += 1
+        if self.bytes >= self.roll_bytes:
+            yield from self.close()
+
+    def _put(self, record: bytes) -> None:
         packer = zlib.compressobj(6, zlib.DEFLATED, 31)  # one gzip member a record, without a time stamp
         packed = packer.compress(record) + packer.flush()
         self.out.write(packed)
         self.sha.update(packed)
-        self.records += 1
         self.bytes += len(packed)
-        if self.bytes >= self.roll_bytes:
-            yield from self.close()
 
     def close(self) -> Iterator[dict]:
         if self.out is None:
@@ -148,24 +245,27 @@ def _writer(folder: str, roll_bytes: int):
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt = f"{TaskContext.get().taskAttemptId()}"
-        roll, page, leaders, seen = None, object(), {}, set()
+        roll, page, shared, seen, times = None, object(), {}, set(), Counter()
         done: list[dict] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "page_id", "kind", "digest", "leader", "url", "payload")), strict=True):
-                shard, page_id, kind, digest, leader, url, payload = row
+            for row in zip(*(batch.column(c).to_pylist() for c in COLUMNS), strict=True):
+                shard, page_id, kind, digest, leader, home, leader_url, url, payload = row
                 if roll is None or roll.shard != shard:
                     done += roll.close() if roll else []
                     roll, page = _Roll(folder, shard, attempt, roll_bytes), object()
                 if page_id != page:
-                    page, leaders, seen = page_id, {}, set()
+                    page, shared, seen, times = page_id, {}, set(), Counter()
                 if kind == 0:  # what is known of this id's shared payloads comes before its records
-                    leaders[digest] = leader
+                    shared[digest] = (leader, home, leader_url)
                     continue
                 own = _sha1(payload)
-                first = own not in seen and leaders.get(own, page_id) == page_id
-                revisit = own in leaders and not first
+                leads = shared.get(own)
+                first = leads is not None and own not in seen and leads[0] == page_id and leads[1] == shard
                 seen.add(own)
-                done += roll.write(record_bytes(page_id, url, payload, leaders.get(own), revisit))
+                times[own] += 1
+                name = f"record\n{page_id}\n{own}\n{shard}\n{times[own]}"
+                record_id = response_id(own) if first else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+                done += roll.write(record_bytes(page_id, url, payload, record_id, None if leads is None or first else (leads[0], leads[2])))
             if done:
                 yield pa.RecordBatch.from_pylist(done, schema)
                 done = []
@@ -183,27 +283,36 @@ def write_archives(
     min_revisit_bytes: int = 0,
     roll_bytes: int = ROLL_BYTES,
     rows_per_shard: int = ROWS_PER_SHARD,
+    shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """Write a record per row of ``pages(page_id, url, html)`` below ``folder``; return the manifest.
 
     A null html is an empty payload, a null url leaves out the target header, a
     null page_id sorts first.  Of the rows with equal payloads of at least
-    ``min_revisit_bytes`` bytes the one with the largest page_id is a response and
-    the others revisit it; of rows equal in both the first written is the
-    response, and if all their ids are null the revisits refer to nothing.
-    Payloads cross the network once, in the range shuffle.  ``folder`` is a URI
-    that all executors can write to; the manifest is committed last.
+    ``min_revisit_bytes`` bytes one with the largest page_id is a response and the
+    others revisit it, by its record id; of several with that id it is the first
+    by url in the first shard.  Rows with a null or very frequent page_id are dealt
+    over several shards; rows equal in everything too, by the partition they come
+    in, so the bytes repeat for the same partitions.  Payloads cross the network
+    once, in the range shuffle; other columns are not looked at.  An empty table
+    has an empty manifest.  ``folder`` is a URI that all executors can write to; the
+    manifest is committed last, and what failed attempts left is then removed.
     """
     records = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    shard = _shards(pages, rows_per_shard)
-    marks = duplicates(records, min_revisit_bytes).distinct().withColumn("kind", F.lit(0))
-    rows = records.withColumn("kind", F.lit(1)).unionByName(marks, allowMissingColumns=True).withColumn("shard", shard)
-    n = min(MAX_SHARDS, max(1, math.ceil(pages.count() / rows_per_shard)))
-    sorted_rows = rows.repartitionByRange(n, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "url", "digest")
-    manifest = sorted_rows.select("shard", "page_id", "kind", "digest", "leader", "url", "payload").mapInArrow(
-        _writer(folder.rstrip("/") + "/records", roll_bytes), MANIFEST
-    )
+    known = digests(records)
+    shards = shards_for(known, shard_bytes, rows_per_shard)
+    shard = shards.of(F.col("page_id"), F.col("salt")).alias("shard")
+    marks = duplicates(known.select("*", shard), min_revisit_bytes).withColumn("kind", F.lit(0))
+    rows = records.select("*", _salt()).select("page_id", "url", "payload", shard, F.lit(1).alias("kind"))
+    rows = rows.unionByName(marks, allowMissingColumns=True)
+    sorted_rows = rows.repartitionByRange(shards.count, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "url", "digest")
+    manifest = sorted_rows.select(*COLUMNS).mapInArrow(_writer(folder.rstrip("/") + "/records", roll_bytes), MANIFEST)
     manifest.write.parquet(folder.rstrip("/") + "/manifest")
+    discard(known)
+    store, root = pafs.FileSystem.from_uri(folder.rstrip("/") + "/records")
+    for left in store.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if left.base_name.startswith("_tmp-"):
+            store.delete_file(left.path)
     return pages.sparkSession.read.schema(MANIFEST).parquet(folder.rstrip("/") + "/manifest")
 
 
@@ -228,6 +337,8 @@ def parse_record(member: bytes) -> dict:
     head, _, rest = member.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
+    if fields["WARC-Type"] == "warcinfo":
+        return {"record_type": "warcinfo"}
     if fields["WARC-Block-Digest"] != f"sha1:{_sha1(block)}":
         raise ValueError(f"the block of {fields['WARC-Record-ID']} does not have its digest")
     http, _, payload = block.partition(b"\r\n\r\n")
@@ -237,7 +348,7 @@ def parse_record(member: bytes) -> dict:
     if not revisit and (len(payload) != length or _sha1(payload) != digest):
         raise ValueError(f"the payload of {fields['WARC-Record-ID']} does not have its digest")
     number = lambda k: int(fields[k].rsplit(":", 1)[1].rstrip(">")) if k in fields else None
-    return {"page_id": number("X-Page"), "url": fields.get("WARC-Target-URI"), "record_type": fields["WARC-Type"], "payload_bytes": length, "payload_digest": digest, "refers_to": number("WARC-Refers-To"), "payload": None if revisit else payload}
+    return {"page_id": number("X-Page"), "url": fields.get("WARC-Target-URI"), "record_type": fields["WARC-Type"], "payload_bytes": length, "payload_digest": digest, "refers_to": number("X-Refers-To-Page"), "payload": None if revisit else payload}
 
 
 def _reader(folder: str, columns: list[str], rows_per_batch: int = 256):
@@ -258,6 +369,8 @@ def _reader(folder: str, columns: list[str], rows_per_batch: int = 256):
 
                     for member in _members(Checked()):
                         record = parse_record(member)
+                        if record["record_type"] == "warcinfo":
+                            continue
                         rows.append({c: record[c] for c in columns})
                         found += 1
                         if len(rows) >= rows_per_batch:
