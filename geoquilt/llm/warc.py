@@ -37,7 +37,7 @@ HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ2
 WARC_DATE = "2000-01-01T00:00:00Z"
 ROLL_BYTES = 64 << 20
 #: Payload bytes and rows of a shard, and cut points at most; beyond those, ranges are cut into steps.
-SHARD_BYTES, ROWS_PER_SHARD, MAX_CUTS = 128 << 20, 100_000, 4096
+SHARD_BYTES, ROWS_PER_SHARD, MAX_CUTS = 32 << 20, 20_000, 4096
 COLUMNS = ("shard", "page_id", "kind", "digest", "leader", "home", "leader_url", "url", "payload")
 MANIFEST = "file string, shard int, seq int, records long, bytes long, sha256 string"
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -53,8 +53,8 @@ def payload_sha1(payload: Column) -> Column:
 def digests(pages: DataFrame) -> DataFrame:
     """Stored (page_id, url, digest, bytes, salt) of every row of ``pages(page_id, url, payload)``.
 
-    The only pass over the payloads before they are written.  ``salt`` deals rows
-    of one id; it depends on the row and its partition, not on any order.
+    The only pass over the payloads before they are written.  ``salt`` deals the
+    rows of one id.
     """
     return stored(
         pages.select(
@@ -65,7 +65,7 @@ def digests(pages: DataFrame) -> DataFrame:
 
 
 def _salt() -> Column:
-    return F.xxhash64("url", "payload", F.spark_partition_id()).alias("salt")
+    return F.xxhash64("url", "payload").alias("salt")
 
 
 @dataclass(frozen=True)
@@ -96,11 +96,11 @@ class Shards:
             inner, low, high = at([0, *itertools.accumulate(counts)]), at([self.least, *values]), at([*values, self.most])
             times = at([1, *counts])
             frequent = (times > 1) & (page_id == low)
-            dealt = F.pmod(salt, times * self.steps)
+            dealt = F.pmod(salt, (times - 1) * self.steps + 1)
         part = F.floor((page_id - low) / F.greatest(high - low, F.lit(1)) * self.steps)
         step = inner * self.steps + F.least(F.greatest(part, F.lit(0)), F.lit(self.steps - 1))
-        # the ranges that end with a frequent id hold nothing else
-        shard = F.when(frequent, inner * self.steps + self.steps - 1 - dealt).otherwise(step)
+        # the ranges between the cuts at a frequent id are its own
+        shard = F.when(frequent, inner * self.steps - dealt).otherwise(step)
         return F.when(page_id.isNull(), null).otherwise(shard + self.nulls).cast("int")
 
 
@@ -292,9 +292,9 @@ def write_archives(
     ``min_revisit_bytes`` bytes one with the largest page_id is a response and the
     others revisit it, by its record id; of several with that id it is the first
     by url in the first shard.  Rows with a null or very frequent page_id are dealt
-    over several shards; rows equal in everything too, by the partition they come
-    in, so the bytes repeat for the same partitions.  Payloads cross the network
-    once, in the range shuffle; other columns are not looked at.  An empty table
+    over several shards; only rows equal in id, url and html are streamed into one,
+    which rolls.  Very long payloads are held one at a time.  Payloads cross the
+    network once, in the range shuffle; other columns are not looked at.  An empty table
     has an empty manifest.  ``folder`` is a URI that all executors can write to; the
     manifest is committed last, and what failed attempts left is then removed.
     """

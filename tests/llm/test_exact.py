@@ -145,6 +145,64 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(none, empty).count() == 0
 
 
+def headers_of(folder, files):
+    """Headers of every record, by a reader of its own."""
+    import gzip
+
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder + "/records")
+    for f in files:
+        with store.open_input_stream(f"{root}/{f.file}", compression=None) as stream:
+            data = gzip.decompress(stream.read())
+        first = True
+        while data:
+            head, _, rest = data.partition(b"\r\n\r\n")
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            assert (fields["WARC-Type"] == "warcinfo") == first and (not first or fields["WARC-Filename"] == f.file)
+            first, data = False, rest[int(fields["Content-Length"]) + 4 :]
+            yield fields
+
+
+def test_revisits_resolve_and_frequent_ids_are_dealt(spark):
+    rng = np.random.default_rng(11)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"http://h/{i % 50}", f"body {rng.integers(0, 90)}") for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = shared_dir(spark, "warc-test")
+    files = warc.write_archives(pages, folder, rows_per_shard=40).collect()
+    got = list(headers_of(folder, files))
+    pages_of = [h for h in got if h["WARC-Type"] != "warcinfo"]
+    ids = {h["WARC-Record-ID"]: h for h in pages_of}
+    assert len(pages_of) == len(ids) == len(rows)
+    for h in pages_of:
+        if h["WARC-Type"] == "revisit":
+            target = ids[h["WARC-Refers-To"]]
+            assert target["WARC-Type"] == "response" and target["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+            assert target["WARC-Target-URI"] == h["WARC-Refers-To-Target-URI"] and target.get("X-Page") == h.get("X-Refers-To-Page")
+    response = Counter(h["WARC-Payload-Digest"] for h in pages_of if h["WARC-Type"] == "response")
+    assert set(response.values()) == {1} and len(response) == len({t for _, _, t in rows})
+    by_file = {}
+    for r in warc.read_archives(spark.createDataFrame(files), folder).withColumn("x", F.lit(0)).collect():
+        by_file.setdefault(r.page_id, 0)
+        by_file[r.page_id] += 1
+    assert by_file[None] == by_file[7] == 200
+    shards = warc.shards_for(warc.digests(pages.select("page_id", "url", F.col("html").cast("binary").alias("payload"))), 1 << 27, 40)
+    known = pages.select("page_id", F.xxhash64("url", F.col("html").cast("binary")).alias("salt"))
+    dealt = known.select("page_id", shards.of(F.col("page_id"), F.col("salt")).alias("s")).collect()
+    assert len({r.s for r in dealt if r.page_id is None}) > 3 and len({r.s for r in dealt if r.page_id == 7}) > 3
+    order = sorted({(r.s, r.page_id is not None, r.page_id or 0) for r in dealt})
+    assert [x[1:] for x in order] == sorted(x[1:] for x in order) and max(r.s for r in dealt) < shards.count
+
+
+def test_ranges_of_ids_are_cut_into_steps(spark):
+    shards = warc.Shards(2, 4, (10, 20, 20, 20, 90), 1, 100)
+    ids = spark.range(1, 101).select(F.col("id").alias("page_id"), F.explode(F.sequence(F.lit(0), F.lit(8))).alias("salt"))
+    got = ids.select("page_id", shards.of(F.col("page_id"), F.col("salt")).alias("s")).collect()
+    order = sorted({(r.page_id, r.s) for r in got})
+    assert [s for _, s in order] == sorted(s for _, s in order) and {s for i, s in order if i == 20} == set(range(10, 19))
+    assert order[0][1] == 2 and order[-1][1] < shards.count
+
+
 def test_a_changed_archive_is_refused(spark):
     folder = shared_dir(spark, "warc-test")
     manifest = warc.write_archives(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"), folder)
