@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": q_decontam.op6_decontaminate,
     "op7_secret_scan": q_secrets.op7_secret_scan,
     "op8_quote_links": q_quotes.op8_quote_links,
+    "quoted_replies": q_quotes.quoted_replies,
     "op9_embedding_dedup": q_multi_index.op9_embedding_dedup,
     "op10_curriculum_mix": q_curriculum.op10_curriculum_mix,
 }
@@ -26,6 +27,7 @@ ORACLES: dict[str, str] = {
     "op5_near_dedup": q_near_dedup.SQL,
     "op6_decontaminate": q_decontam.SQL,
     "op8_quote_links": q_quotes.SQL,
+    "quoted_replies": q_quotes.DERIVED_SQL,
     "op9_embedding_dedup": q_multi_index.SQL,
     "op10_curriculum_mix": q_curriculum.SQL,
 }

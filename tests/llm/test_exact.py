@@ -468,3 +468,38 @@ def test_quotes_are_linked_and_cut(spark):
     assert (got[1, 2].thread_conv, got[1, 2].thread_turn, got[1, 2].max_level, got[1, 2].n_quoted) == (1, 0, 2, 2)
     assert got[1, 2].body == "\nA third voice speaks now." and got[2, 1].body == "" and got[2, 0].thread_turn == 0
     assert quotes.link_quotes(frame).count() == len(rows) and quotes.link_quotes(frame.limit(0)).count() == 0
+
+
+def test_marks_and_texts_of_any_length_are_read(spark):
+    said = "A sentence that somebody wrote. "
+    rows = [
+        (1, 0, "user", said + "x" * 1_000_000),
+        (1, 1, "user", ">" * 100_000 + " deep\n> " + said),
+        (1, 2, "user", "> " * 50_000 + "\n" + ">" * 3 + said),
+        (1, 3, "user", "\n".join(">" * k + " " + said for k in range(1, 300))),
+        (1, 4, "user", ">>\n\n>"),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in quotes.link_quotes(frame).collect()}
+    assert [got[k].max_level for k in range(5)] == [0, 100_000, 50_000, 299, 2]
+    assert [got[k].parent_turn for k in range(5)] == [None, 0, 0, 0, None]
+
+
+def test_replies_are_numbered_parents_first(spark):
+    n = 40
+    rows = [(1, t, "user", f"Message number {t} says this. It was written by hand.") for t in range(n)]
+    parent = {t: (t * 7) % t if t % 5 else t - 1 for t in range(1, n)}
+    rows = [(c, t, r, f"> Message number {parent[t]} says this.\n{x}" if t else x) for c, t, r, x in rows]
+    rows += [(2, t, "user", "> It was written by hand." if t % 2 else "A third thing, said alone.") for t in range(9)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(frame).collect()}
+    above = {(1, t): (1, p) for t, p in parent.items()} | {(2, t): (1, 0) for t in range(1, 9, 2)}
+
+    def depth(m):
+        return 1 + depth(above[m]) if m in above else 0
+
+    for m, r in got.items():
+        assert ((r.parent_conv, r.parent_turn) if m in above else above.get(m)) == above.get(m) and r.depth == depth(m)
+    thread = sorted((m for m in got if m == (1, 0) or m in above), key=lambda m: (depth(m), m))
+    assert [got[m].reply_no for m in thread] == list(range(len(thread)))
+    assert all(got[above[m]].reply_no < got[m].reply_no for m in above)
