@@ -97,6 +97,29 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 30
     return float(np.clip(1 / np.median(ratio), 0.05, 0.95))
 
 
+def risk_and_gradients(values: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, list[np.ndarray]]:
+    """Non-negative PU risk of positives ``p`` and unlabelled ``u`` with the sigmoid loss, and the step's gradients.
+
+    Where the unlabelled part is below zero it has over-fitted; the step climbs back.
+    """
+    x = np.vstack([p, u])
+    act = np.maximum(x @ values[0] + values[1], 0)
+    s = _sigmoid(act @ values[2] + values[3][0])
+    slope = s * (1 - s)  # of the loss sigmoid(-g) of a negative target; the positive's is its negative
+    k = len(p)
+    negative = s[k:].mean() - prior * s[:k].mean()
+    d_g = np.zeros(len(x))
+    if negative >= 0:
+        d_g[:k] = -2 * prior * slope[:k] / k
+        d_g[k:] = slope[k:] / len(u)
+    else:
+        d_g[:k] = prior * slope[:k] / k
+        d_g[k:] = -slope[k:] / len(u)
+    d_act = d_g[:, None] * values[2][None] * (act > 0)
+    risk = prior * (1 - s[:k]).mean() + max(0.0, negative)
+    return float(risk), [x.T @ d_act, d_act.sum(0), act.T @ d_g, np.array([d_g.sum()])]
+
+
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, hidden: int = 24, epochs: int = 60, seed: int = 11) -> QualityModel:
     """Minimise the non-negative PU risk with the sigmoid loss by Adam on paired batches."""
     both = np.vstack([positive, unlabelled])
@@ -112,22 +135,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
         deal = rng.permutation(len(U))
         for i in range(0, len(deal), 256):
             u = U[deal[i : i + 256]]
-            p = P[rng.integers(0, len(P), 128)]
-            x = np.vstack([p, u])
-            act = np.maximum(x @ values[0] + values[1], 0)
-            s = _sigmoid(act @ values[2] + values[3][0])
-            slope = s * (1 - s)  # of the loss sigmoid(-g) of a negative target; the positive's is its negative
-            k = len(p)
-            negative = s[k:].mean() - prior * s[:k].mean()
-            d_g = np.zeros(len(x))
-            if negative >= 0:
-                d_g[:k] = -prior * slope[:k] / k - prior * slope[:k] / k
-                d_g[k:] = slope[k:] / len(u)
-            else:  # the unlabelled part has over-fitted: climb back
-                d_g[:k] = prior * slope[:k] / k
-                d_g[k:] = -slope[k:] / len(u)
-            d_act = d_g[:, None] * values[2][None] * (act > 0)
-            grads = [x.T @ d_act, d_act.sum(0), act.T @ d_g, np.array([d_g.sum()])]
+            _, grads = risk_and_gradients(values, P[rng.integers(0, len(P), 128)], u, prior)
             step += 1
             for j, g in enumerate(grads):
                 g = g + 1e-4 * values[j]
@@ -159,7 +167,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabe
 
 
 def quality(text: Column, model: QualityModel | None) -> Column:
-    """Score of a whole text in [0, 1]; a null text is empty, without a model all get 0.5."""
+    """Score of a whole text in [0, 1]; a null text is empty, without a model all get 0.5.
+
+    Repeated rows score the same, texts of any length are measured whole, and no
+    other column is looked at, whatever its name.
+    """
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:

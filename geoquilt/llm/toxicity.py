@@ -3,9 +3,12 @@
 The lexicon is learnt from labelled texts: words, and stems (beginnings of
 words) that stand in many toxic texts and hardly in others, near copies counted
 once.  A text's words run through the automaton of all words within one edit of
-a lexicon term; it is the product of the lexicon's trie and the edit automaton,
-made state by state as it is used.  A digit or sign between letters can be the
-edit; words that other texts use as much as toxic ones are no misspellings.
+a lexicon term, two of terms of nine or more letters; it is the product of the
+lexicon's trie and the edit automaton, made state by state as it is used.  Two
+neighbours in the wrong order are one edit, and so is a digit or sign between
+letters; letters written several times, digits and signs that look like letters,
+and letters with signs or spaces between them are read as the word they spell.
+Words that other texts use as much as toxic ones are no misspellings.
 Matches are summed over windows of words, apart for those that are quoted or reported, and a logistic model on these sums
 gives the score.
 """
@@ -13,6 +16,7 @@ gives the score.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,17 +30,25 @@ from geoquilt.storage import stored
 #: ASCII letters and everything beyond ASCII; the same in Java and Python.
 LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = re.compile(LETTERS)
-#: Letters joined by single digits or signs; one edit bridges one of them.
-JOINED = re.compile(rf"(?<![^\x00-\x40\x5B-\x60\x7B-\x7F]){LETTERS}+(?:[\x21-\x40\x5B-\x60\x7B-\x7E]{LETTERS}+)+")
+_LETTER = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
+#: Letters with digits or signs between or before them; one edit bridges one of those.
+JOINED = re.compile(rf"(?<!{_LETTER})(?:[0-9@$!](?={_LETTER}))?{_LETTER}+(?:[\x21-\x40\x5B-\x60\x7B-\x7E]{{1,2}}{_LETTER}+)+|(?<!{_LETTER})[0-9@$]{_LETTER}{{3,}}")
+#: Single letters one and the same sign or space apart.
+SPACED = re.compile(rf"(?<!{_LETTER})(?<!{_LETTER}[ ])(?={_LETTER}([ .*_-]))(?:{_LETTER}\1){{3,}}{_LETTER}(?!{_LETTER})")
+#: Digits and signs that are written for letters.
+ALIKE = str.maketrans("0134578@$!|+", "oieastbasiit")
 STEMS = (4, 5, 6, 7)
+_RUN = re.compile(r"(.)\1+")
 #: One edit of a shorter term makes too many other words.
 FUZZY_LENGTH = 4
+#: Terms that two edits may change, and squeezed terms that one may.
+FAR_LENGTH, SQUEEZED_LENGTH = 9, 5
 WINDOW = 12
 QUOTES = {'"': 0, "“": 1, "”": -1, "„": 1, "«": 1, "»": -1}
 #: Words that report what another has said.
 REPORTING = frozenset(
-    "said says wrote writes called calls quoted reported word term slur "
-    "sagte schrieb nannte zitierte wort dit disait ecrit traite mot dijo escribio llamo palabra".split()
+    "said says wrote writes quoted reported called "
+    "sagte schrieb nannte zitierte dit disait ecrit dijo escribio llamo".split()
 )
 REACH = 4
 FEATURES = 10
@@ -44,15 +56,22 @@ MAX_CACHE = 300_000
 DETAIL = "struct<score:double,hits:int,fuzzy:int,quoted:int>"
 
 
+def squeezed(word: str) -> str:
+    """``word`` with every run of one letter as one."""
+    return _RUN.sub(r"\1", word)
+
+
 class Automaton:
-    """Deterministic automaton of the words within one edit of a lexicon, made lazily.
+    """Deterministic automaton of the words within some edits of a lexicon, made lazily.
 
-    A state is the set of (trie node, edits) that can be reached; reading a
-    character follows the trie, or spends the edit on a substitution, an
-    insertion or a deletion.
+    A state is the set of (trie node, edits, awaited character) that can be
+    reached; reading a character follows the trie, or spends an edit on a
+    substitution, an insertion, a deletion or two neighbours in the wrong order,
+    of which the second is then awaited.
     """
 
-    def __init__(self, words: dict[str, float]) -> None:
+    def __init__(self, words: dict[str, float], edits: int = 1) -> None:
+        self.edits = edits
         self.next: list[dict[str, int]] = [{}]
         self.end: list[float] = [0.0]
         self.size: list[int] = [0]
@@ -65,21 +84,25 @@ class Automaton:
                     self.end.append(0.0)
                     self.size.append(self.size[node] + 1)
                 node = self.next[node][c]
-            self.end[node] = weight
+            self.end[node] = max(weight, self.end[node])
         self._forget()
 
     def _forget(self) -> None:
         self.ids: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
-        self.start = self._id({0: 0})
+        self.start = self._id({(0, ""): 0})
 
-    def _id(self, reached: dict[int, int]) -> int:
+    def _id(self, reached: dict[tuple[int, str], int]) -> int:
         """State of the reached nodes after deletions of lexicon characters; -1 is the dead one."""
-        for node, edits in list(reached.items()):
-            if not edits:
-                for child in self.next[node].values():
-                    reached.setdefault(child, 1)
+        waiting = [x for x, e in reached.items() if not x[1] and e < self.edits]
+        while waiting:
+            node, _ = x = waiting.pop()
+            for child in self.next[node].values():
+                if reached[x] + 1 < reached.get((child, ""), self.edits + 1):
+                    reached[child, ""] = reached[x] + 1
+                    if reached[x] + 1 < self.edits:
+                        waiting.append((child, ""))
         if not reached:
             return -1
         key = frozenset(reached.items())
@@ -90,19 +113,30 @@ class Automaton:
         return self.ids[key]
 
     def _move(self, state: int, c: str) -> int:
-        reached: dict[int, int] = {}
-        for node, edits in self.states[state]:
+        reached: dict[tuple[int, str], int] = {}
+
+        def reach(node: int, awaited: str, edits: int) -> None:
+            if edits <= self.edits and edits < reached.get((node, awaited), self.edits + 1):
+                reached[node, awaited] = edits
+
+        for (node, awaited), edits in self.states[state]:
+            if awaited:
+                if c == awaited:
+                    reach(node, "", edits)
+                continue
             if (child := self.next[node].get(c)) is not None:
-                reached[child] = min(edits, reached.get(child, edits))
-            if not edits:
-                reached.setdefault(node, 1)
-                for child in self.next[node].values():
-                    reached.setdefault(child, 1)
+                reach(child, "", edits)
+            if edits < self.edits:
+                reach(node, "", edits + 1)
+                for d, child in self.next[node].items():
+                    reach(child, "", edits + 1)
+                    if d != c and (after := self.next[child].get(c)) is not None:
+                        reach(after, d, edits + 1)
         self.moves[state][c] = to = self._id(reached)
         return to
 
     def match(self, word: str) -> tuple[float, bool]:
-        """Weight of the best lexicon term within one edit, and whether it took the edit; (0, False) without."""
+        """Weight of the best lexicon term within the edits, and whether it took any; (0, False) without."""
         if len(self.states) > MAX_CACHE:
             self._forget()
         state = self.start
@@ -111,7 +145,7 @@ class Automaton:
             state = self._move(state, c) if to is None else to
             if state < 0:
                 return 0.0, False
-        ends = [(self.end[n], e) for n, e in self.states[state] if self.end[n] and (not e or self.size[n] >= FUZZY_LENGTH)]
+        ends = [(self.end[n], e) for (n, wait), e in self.states[state] if not wait and self.end[n] and (not e or self.size[n] >= FUZZY_LENGTH)]
         if exact := [w for w, e in ends if not e]:
             return max(exact), False
         return (max(w for w, _ in ends), True) if ends else (0.0, False)
@@ -132,10 +166,22 @@ class ToxicityModel:
     def _prepared(self) -> None:
         if not hasattr(self, "automaton"):
             self.automaton, self.cache, self.bridges = Automaton(self.words), {}, {}
+            self.far = Automaton({w: x for w, x in self.words.items() if len(w) >= FAR_LENGTH}, 2)
+            plain = {squeezed(w) for w in self.words}
+            self.squeezed = Automaton({squeezed(w): x for w, x in self.words.items() if len(squeezed(w)) >= SQUEEZED_LENGTH}) if plain else None
+
+    def near(self, word: str) -> tuple[float, bool]:
+        """Weight of the best term that a word may be a spelling of, and whether it is misspelt."""
+        weight, fuzzy = self.automaton.match(word)
+        if not weight and len(word) >= FAR_LENGTH - 2:
+            weight, fuzzy = self.far.match(word)
+        if not weight and (short := squeezed(word)) != word:  # letters written twice or more
+            weight, fuzzy = self.squeezed.match(short)
+        return weight, fuzzy or bool(weight and word not in self.words)
 
     def match(self, word: str) -> tuple[float, bool] | None:
         """Weight and fuzziness of a lower-case word; stems match their beginnings exactly."""
-        weight, fuzzy = self.automaton.match(word)
+        weight, fuzzy = self.near(word)
         if fuzzy and word in self.known:
             weight, fuzzy = 0.0, False
         stem = max((self.stems.get(word[:n], 0.0) for n in STEMS), default=0.0)
@@ -143,11 +189,18 @@ class ToxicityModel:
             weight, fuzzy = stem, False
         return (weight, fuzzy) if weight else None
 
-    def bridged(self, run: str) -> list[tuple[int, float]]:
-        """(part number, weight) of misspelt terms in a run of ``JOINED``, each of two parts and the sign between."""
+    def bridged(self, run: str) -> list[tuple[int, int, float]]:
+        """(from, to, weight) of misspelt terms in a run of letters, digits and signs.
+
+        A term stands in two neighbouring parts and the sign between them, or, in
+        the whole run, behind digits and signs that look like letters.
+        """
         spans = [m.span() for m in WORD.finditer(run)]
-        pairs = enumerate(zip(spans, spans[1:]))
-        return [(i, w) for i, ((a, _), (_, b)) in pairs if (w := self.automaton.match(run[a:b])[0])]
+        found = [(a, b, w) for (a, _), (_, b) in zip(spans, spans[1:]) if (w := self.automaton.match(run[a:b])[0])]
+        plain = run.translate(ALIKE)
+        if not found and plain != run and plain.isalpha() and plain not in self.known and (w := self.near(plain)[0]):
+            found.append((0, len(run), w))
+        return found
 
     def matches(self, text: str) -> tuple[list[tuple[int, float, bool, bool]], int]:
         """Matches (word number, weight, fuzzy, quoted) of a text, and its number of words."""
@@ -166,15 +219,18 @@ class ToxicityModel:
         runs = set(JOINED.findall(low))
         for run in runs.difference(bridges):
             bridges[run] = self.bridged(run)
-        if any(bridges[run] for run in runs):
-            taken, first, at = {i for i, _ in hits}, 0, 0
-            for m in JOINED.finditer(low):
-                if found := bridges[m[0]]:
-                    first, at = first + len(WORD.findall(low, at, m.start())), m.start()
-                    for i, w in found:
-                        if taken.isdisjoint((first + i, first + i + 1)):
-                            taken.add(first + i)
-                            hits.append((first + i, (w, True)))
+        places = [(m.start() + a, m.start() + b, w) for m in JOINED.finditer(low) for a, b, w in bridges[m[0]]] if any(bridges[run] for run in runs) else []
+        for m in SPACED.finditer(low):  # single letters, one sign apart
+            letters = m[0][:: len(m[1]) + 1] if len(m[1]) == 1 else ""
+            if len(letters) >= FUZZY_LENGTH and (w := self.automaton.match(letters)[0]):
+                places.append((*m.span(), w))
+        if places:
+            taken, starts = {i for i, _ in hits}, [m.start() for m in WORD.finditer(low)]
+            for a, b, w in sorted(places):
+                own = range(bisect_left(starts, a), max(bisect_left(starts, b), bisect_left(starts, a) + 1))
+                if taken.isdisjoint(own) and own.start < len(words):
+                    taken.update(own)
+                    hits.append((own.start, (w, True)))
             hits.sort()
         if not hits:
             return [], len(words)
@@ -247,7 +303,7 @@ def learn_lexicon(texts: DataFrame, min_share: float = 0.001, min_support: int =
 
     A term must stand in ``min_support`` toxic texts and ``min_share`` of them,
     and its log-likelihood ratio must reach ``min_g``; the best ``max_terms`` are
-    kept.  Texts that share the least hash of their long words are near copies
+    kept; the bound is far above what labels of a bounded sample support.  Texts that share the least hash of their long words are near copies
     and count once.  The weight is the log ratio of the shares in toxic and other
     texts.  A stem is left out if one word has most of its support, or if a shorter
     stem is as good.
@@ -296,7 +352,7 @@ def known_words(texts: DataFrame, model: ToxicityModel, min_support: int = 2) ->
     @F.arrow_udf("array<string>")
     def misspelt(column: pa.Array) -> pa.Array:
         model._prepared()
-        found = ({w for w in WORD.findall(t.as_py().lower()) if model.automaton.match(w)[1]} for t in column)
+        found = ({w for w in WORD.findall(t.as_py().lower()) if model.near(w)[1]} for t in column)
         return pa.array([sorted(f) for f in found], pa.list_(pa.string()))
 
     totals = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
@@ -345,7 +401,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def toxicity(text: Column, model: ToxicityModel) -> Column:
-    """Score, exact hits, misspelt hits and quoted hits of a text; a null text is empty."""
+    """Score, exact hits, misspelt hits and quoted hits of a whole text.
+
+    A null text is empty, repeated rows score the same, a text of any length is
+    read whole, and no other column is looked at, whatever its name.
+    """
 
     @F.arrow_udf(DETAIL)
     def judge(column: pa.Array) -> pa.Array:
