@@ -34,7 +34,7 @@ _LETTER = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
 #: Letters with digits or signs between or before them; one edit bridges one of those.
 JOINED = re.compile(rf"(?<!{_LETTER})(?:[0-9@$!](?={_LETTER}))?{_LETTER}+(?:[\x21-\x40\x5B-\x60\x7B-\x7E]{{1,2}}{_LETTER}+)+|(?<!{_LETTER})[0-9@$]{_LETTER}{{3,}}")
 #: Single letters one and the same sign or space apart.
-SPACED = re.compile(rf"(?<!{_LETTER})(?<!{_LETTER}[ ])(?={_LETTER}([ .*_-]))(?:{_LETTER}\1){{3,}}{_LETTER}(?!{_LETTER})")
+SPACED = re.compile(rf"(?<!{_LETTER})(?={_LETTER}([ .*_-]))(?:{_LETTER}\1){{3,}}{_LETTER}(?!{_LETTER})")
 #: Digits and signs that are written for letters.
 ALIKE = str.maketrans("0134578@$!|+", "oieastbasiit")
 STEMS = (4, 5, 6, 7)
