@@ -19,19 +19,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Runs of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
+#: Between words: ASCII white space.
+SPACE = r"[\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 #: For each weight the multipliers at the start and the end of training; their mean is 1.
 TILTS = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 MAX_EPOCHS = 3
 #: Rows per bucket, and buckets at most.
-ROWS_PER_BUCKET, MAX_BUCKETS = 512, 65_536
+ROWS_PER_BUCKET, MAX_BUCKETS = 512, 1 << 20
 
 
 def word_count(text: Column) -> Column:
     """Number of words of ``text``; null has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    spaced = F.trim(F.regexp_replace(text, SPACE, " "))
+    return F.when(spaced != "", F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1).otherwise(0).cast("long")
 
 
 def source_targets(
@@ -101,25 +102,25 @@ def mix(
     Returns doc_id, source, size, source_size, target, taken and placements, an
     array of (epoch, position, words) in training order; no other column of
     ``docs`` is carried.  Each source runs through its documents in the order of
-    md5(doc_id) as often as its target asks for; the last run stops inside a
+    a hash of id and text as often as its target asks for; the last run stops inside a
     document, of which only the first words are taken, so a source's taken words
     are its target rounded to a whole number.  Documents that are never reached,
     or have no words, have taken 0 and no placements.  Null texts have size 0, a
     null source is a source of its own, rows with equal or null doc_id are kept
-    apart (rows equal in id and size are interchangeable).  Reruns agree.
+    apart (rows equal in id and text are interchangeable) and dealt by their text,
+    so that no id fills a bucket.  Texts of any length are counted whole.  Reruns agree.
     """
     spark = docs.sparkSession
     sized = docs.select(
         "doc_id",
         "source",
         word_count(F.col("text")).alias("size"),
-        F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")).alias("h"),
-        F.xxhash64("doc_id", "text").alias("tie"),
+        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.md5(F.coalesce("text", F.lit(""))))).alias("h"),
     )
     n_rows = docs.count()
     buckets = min(MAX_BUCKETS, max(16, -(-n_rows // rows_per_bucket)))
     # order-preserving: the first 8 hex digits of the hash, scaled
-    prefix = F.conv(F.rpad(F.substring("h", 1, 8), 8, "0"), 16, 10).cast("long")
+    prefix = F.conv(F.substring("h", 1, 8), 16, 10).cast("long")
     sized = sized.withColumn("bucket", F.floor(prefix * buckets / F.lit(1 << 32)).cast("int"))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     starts = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -129,7 +130,7 @@ def mix(
         F.col("s.source").alias("plan_source"), F.col("s.bucket").alias("plan_bucket"),
         "bucket_start", "source_rank", "source_size", "target",
     )
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "tie")
+    inside = Window.partitionBy("source", "bucket").orderBy("h")
     running = sized.withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     placed = running.join(
         plan, F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("bucket") == F.col("plan_bucket"))

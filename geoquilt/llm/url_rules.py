@@ -25,7 +25,7 @@ from geoquilt.storage import range_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Keys per range, ranges at most, sampled keys per range, and bytes of a cut point.
-ROWS_PER_RANGE, MAX_RANGES, SAMPLE_PER_RANGE, CUT_BYTES = 256, 1024, 16, 64
+ROWS_PER_RANGE, MAX_RANGES, SAMPLE_PER_RANGE, CUT_BYTES = 256, 16_384, 8, 256
 
 
 def url_host(url: Column) -> Column:
@@ -84,7 +84,7 @@ def sweep(points: DataFrame, intervals: DataFrame) -> DataFrame:
     empty stack.
     """
     cuts = _cut_points(points, intervals)
-    where = lambda c: range_of(F.col(c), cuts, lambda x: F.unhex(F.lit(x.hex())))
+    where = lambda c: range_of(F.col(c), cuts, lambda x: F.lit(bytearray(x)))
     held = intervals.select(
         "id", "lo", "hi", F.explode(F.sequence(where("lo"), where("hi"))).alias("range")
     ).groupBy("range").agg(F.array_sort(
@@ -138,7 +138,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     fits, else null) and verdict (its action, else ``default``).  A rule fits its
     host and all subdomains if the path starts with the rule's path; rules of
     equal length go by the longer host, and of one rule given with two actions
-    the block holds.  A null url or one without ``://`` has an empty host and
+    the block holds.  Very long urls are keyed whole; only cut points between key
+    ranges are shortened.  A null url or one without ``://`` has an empty host and
     path and no rule; rules with a null or empty host never fit, a null rule path
     is the empty prefix.  Every row of ``pages`` is kept, repeated ones too; with
     no rules all get ``default``.

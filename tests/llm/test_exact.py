@@ -46,7 +46,8 @@ def filled(sizes: dict, weights=(5, 2, 1)) -> dict:
 def test_mix_meets_targets_exactly(spark):
     rng = np.random.default_rng(0)
     rows = [(i, " ".join(["w"] * int(n)), s) for i, (n, s) in enumerate(zip(rng.integers(0, 40, 200), rng.choice(["a", "b", "c", "d", "e"], 200, p=[0.02, 0.5, 0.28, 0.1, 0.1]), strict=True))]
-    rows += [(None, None, None), (7, "x\x0by z", None), (7, "x\x0by z", None), (900, "", "f")]
+    rows += [(None, None, None), (7, "x\x0by z", None), (7, "x\x0by z", None), (900, "", "f"), (901, "long " * 40_000, "e")]
+    rows += [(None, f"no id {i}", "b") for i in range(100)]
     got = curriculum.mix(docs(spark, rows), rows_per_bucket=5).collect()
     sizes = Counter()
     for _, t, s in rows:
@@ -98,6 +99,7 @@ def test_rules_equal_brute_force(spark, monkeypatch):
     rules = sorted({(str(rng.choice(["allow", "block"])), host(), "/" + str(rng.choice(parts))) for _ in range(60)})
     rules = list({(h, p): (a, h, p) for a, h, p in rules}.values())
     urls = [f"http://{host()}/{rng.choice(parts)}{rng.choice(['', '?q', '#f', '/z'])}" for _ in range(300)]
+    urls += [f"http://a.com/p/{'q' * 5000}{i}" for i in range(30)]  # keys that share a long beginning
     urls += [None, "", "nothing", "http://", "http://A.COM/p/q", "http://com?x://b/", "http://com", "x://com/p\U0010ffff", urls[0]]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, node string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_rules.judge(pages, url_rules.rules_frame(spark, rules)).collect()}
