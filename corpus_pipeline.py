@@ -1,7 +1,8 @@
 """From raw documents to a training mixture, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
-kept; all but the last return the columns of documents.
+kept; all but the last return the columns of documents, whatever other names
+they bear, and no stage changes the order or number of ties but by its decision.
 """
 
 from __future__ import annotations
@@ -12,38 +13,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoquilt.llm import curriculum, decontam, near_dedup, secrets, toxicity
+from geoquilt.llm.q_curriculum import POSITIONS
 from geoquilt.llm.q_toxicity import THRESHOLD
 from geoquilt.storage import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below the threshold."""
+    """Documents whose toxicity score stays below the threshold; null and empty texts stay, repeated rows share their fate."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     judged = docs.withColumn("__toxicity", toxicity.toxicity(F.col("text"), model))
     return judged.where(F.col("__toxicity.score") < THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class, that of the least id; all documents without words stay."""
     return near_dedup.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
+    """Documents without any benchmark window; null and empty texts hold none."""
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.where(~F.col("contaminated")).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced."""
+    """All documents, with secrets replaced; null texts stay null, texts of any length are read whole."""
     return secrets.redact(docs, secrets.fit(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words taken and training position of every document, in training order."""
+    """Words taken and training positions of every document, in training order.
+
+    Documents without words, or not taken, have no position and come last.
+    """
     mixed = curriculum.mix(docs).select(
         "doc_id", "source", "size", "source_size", "target", "taken",
-        F.array_min(F.transform("placements", lambda p: p["position"])).alias("first_position"),
+        *[F.get("placements", F.lit(e))["position"].alias(name) for e, name in enumerate(POSITIONS)],
     )
     keys = (F.col("first_position").asc_nulls_last(), F.col("doc_id"))
     return mixed.repartitionByRange(*keys).sortWithinPartitions(*keys)
