@@ -1,8 +1,8 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The training texts are cut into words once; the occurrences of benchmark terms
-are stored as (term, text key, position).  Their counts say which terms of a test
-window are the rarest, and the postings are those of the two rarest of each.
+The training texts are cut into words once and stored so.  Counts of all terms say
+which terms of a test window are the rarest, and the postings, (term, text key,
+position), are stored for the two rarest of each.
 The list of the rarest term, shifted by its offset, gives the places where a
 window could start; intersecting it with the shifted list of the next rarest
 leaves few.  Texts that hold such a place are read again and all terms of the
@@ -69,13 +69,23 @@ def test_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def occurrences(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Stored (term, key, pos) of every occurrence of the terms of ``vocabulary(term)``: the only pass over all words."""
-    tokens = docs.where("text IS NOT NULL").select(
-        text_key(F.col("text")).alias("key"), F.posexplode(words(F.col("text"))).alias("pos", "token")
-    )
-    hits = tokens.join(broadcast_within(vocabulary, TERM_BYTES), F.col("token") == F.col("term"))
-    return stored(hits.select("term", "key", "pos"), "occurrences")
+def cut_texts(docs: DataFrame) -> DataFrame:
+    """Stored (key, cut): the words of every text with single spaces, the only pass that looks for words."""
+    cut = docs.where("text IS NOT NULL").select(text_key(F.col("text")).alias("key"), F.translate(_spaced(F.col("text")), UPPER, LOWER).alias("cut"))
+    return stored(cut.where("cut <> ''"), "cut-texts")
+
+
+def term_counts(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Occurrences over all ``cut_texts`` of each term of ``vocabulary(term)``; absent ones are left out."""
+    counts = texts.select(F.explode(F.split("cut", " ")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return counts.join(broadcast_within(vocabulary, TERM_BYTES), F.col("token") == F.col("term")).select("term", "n")
+
+
+def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Distinct (term, key, pos) of the terms of ``terms(term)`` over all ``cut_texts``."""
+    tokens = texts.select("key", F.posexplode(F.split("cut", " ")).alias("pos", "token"))
+    hits = tokens.join(broadcast_within(terms, TERM_BYTES), F.col("token") == F.col("term"))
+    return hits.select("term", "key", "pos").distinct()
 
 
 def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -102,11 +112,12 @@ def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """Stored windows (with their rarest terms) and stored postings of those terms: distinct (term, key, pos)."""
     windows = stored(test_windows(benchmark, window), "windows")
-    hits = occurrences(docs, windows.select(F.explode("terms").alias("term")).distinct())
-    ranked = stored(rarest_terms(windows, hits.groupBy("term").agg(F.count("*").alias("n"))), "ranked-windows")
-    wanted = ranked.select(F.col("t1").alias("wanted")).union(ranked.select("t2")).distinct()
-    index = stored(hits.join(broadcast_within(wanted, TERM_BYTES), F.col("term") == F.col("wanted")).select("term", "key", "pos").distinct(), "postings")
-    discard(windows, hits)
+    texts = cut_texts(docs)
+    counts = stored(term_counts(texts, windows.select(F.explode("terms").alias("term")).distinct()), "term-counts")
+    ranked = stored(rarest_terms(windows, counts), "ranked-windows")
+    wanted = ranked.select(F.col("t1").alias("term")).union(ranked.select("t2")).distinct()
+    index = stored(postings(texts, wanted), "postings")
+    discard(windows, texts)
     return ranked, index
 
 

@@ -9,8 +9,9 @@ probability of their weighted Jaccard similarity.  Only ranks up to a limit set
 by the total weight are drawn, about k*(ln k + 2) darts a text.
 
 Bands of coordinates are buckets.  Pairs are never made of a bucket.  First each
-text is compared with the least text of its buckets, which is linear, and what is
-linked is contracted.  Buckets in which texts of two or more components remain go
+text is compared with the head of each of its buckets, the text that shares its
+buckets with most others and so stands in the middle of its copies; this is linear,
+and what is linked is contracted.  Buckets in which texts of two or more components remain go
 through rounds: a growing number of their texts are heads, every chunk of a bucket
 meets them once, heads are then done with, and what is linked is contracted again,
 until no bucket holds two texts that are neither connected nor compared.
@@ -35,8 +36,8 @@ BANDS, ROWS = 25, 5
 K = BANDS * ROWS
 #: Texts that one task compares with the heads of a bucket, or with one text, at a time.
 CHUNK = 256
-#: Heads of a bucket in the first round after the stars; four times as many in each further one.
-HEADS = 16
+#: Heads of a bucket in the first round after the stars, and how many times as many in each further one.
+HEADS, GROWTH = 64, 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _A_WORD = r"[0-9A-Za-z]|[^\x00-\x7F]"
@@ -190,7 +191,7 @@ def _checked(least: float):
                         head = tuple(x.copy() for x in sets.of(low - at))
                         low += 1
                     if low < high:
-                        keep[low:high] = similarities(head, sets, low - at, high - at) >= least
+                        keep[low:high] = similarities(head, sets, np.arange(low - at, high - at)) >= least
                     if b > upto:
                         break
                     run = next(parts, None)
@@ -206,7 +207,8 @@ def _similar(pairs: DataFrame, members: DataFrame, least: float) -> DataFrame:
     The pairs of one ``v`` are dealt into chunks by their count, and each chunk
     gets the text of ``v`` once, so a ``v`` of very many pairs is many groups.
     """
-    counts = pairs.groupBy(F.col("v").alias("cv_v")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    # stored, so that the join has an exchange of its own and Spark can split a head of very many pairs
+    counts = stored(pairs.groupBy(F.col("v").alias("cv_v")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "pair-counts")
     dealt = pairs.join(counts, F.col("v") == F.col("cv_v")).withColumn("chunk", F.pmod(F.xxhash64("u"), F.col("chunks")).cast("int"))
     text = members.select(F.col("node").alias("m"), "normal")
     tails = dealt.join(text, F.col("u") == F.col("m")).select("v", "chunk", F.lit(1).alias("member"), "u", "cu", "cv", "normal")
@@ -217,60 +219,68 @@ def _similar(pairs: DataFrame, members: DataFrame, least: float) -> DataFrame:
 
 
 def _met(cut: float, least: float):
-    """Candidate pairs of the chunks of each bucket with its heads, by signature and weight."""
+    """Links of the chunks of each bucket with its heads; rows are sorted by (bucket, chunk) with the heads in front.
+
+    Weights and signatures rule pairs out before shingles are counted.  A pair that
+    shares several bands is compared in the first of them only.
+    """
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, heads = None, None
+        current, heads = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = np.stack([np.asarray(c) for name in ("node", "comp") for c in batch.column(name).flatten()], 1)
             weight, lead = np.asarray(batch.column("weight")), np.asarray(batch.column("member")) == 0
-            data = batch.column("sketch").cast(pa.large_binary())
-            width = len(data[0].as_py())
-            start = np.frombuffer(data.buffers()[1], np.int64)[data.offset]
-            raw = np.frombuffer(data.buffers()[2], np.uint8) if width else np.zeros(0, np.uint8)
-            sketch = raw[start : start + width * len(data)].reshape(len(data), width)
-            found = []
-            for key, a, b in runs(batch, ("bucket", "chunk")):
-                if key != current:
-                    current, heads = key, []
-                split = a + int(lead[a:b].sum())  # heads come first
-                if split > a:
-                    heads.append((ids[a:split], weight[a:split], sketch[a:split]))
-                if split == b:
-                    continue
-                h_ids, h_weight, h_sketch = (np.concatenate(x) for x in zip(*heads, strict=True))
-                for low in range(0, len(h_ids), 64):
-                    part = slice(low, low + 64)
-                    near = (h_ids[part, None, 2:] != ids[None, split:b, 2:]).any(2) & (h_ids[part, None, :2] != ids[None, split:b, :2]).any(2)
-                    shares = np.minimum(h_weight[part, None], weight[None, split:b]) / np.maximum(h_weight[part, None], weight[None, split:b])
-                    near &= shares >= least - 1e-12
-                    if width:
-                        near &= (h_sketch[part, None] == sketch[None, split:b]).mean(2) >= cut
-                    i, j = np.nonzero(near)
-                    if len(i):
-                        found.append(np.concatenate([ids[split + j, :2], h_ids[low + i, :2], ids[split + j, 2:], h_ids[low + i, 2:]], 1))
+            bucket = np.asarray(batch.column("bucket"))
+            sketch = np.stack([np.frombuffer(x, np.uint8) for x in batch.column("sketch").to_pylist()])
+            bands = np.asarray(batch.column("bands").flatten()).reshape(len(bucket), -1)
+            found, parts = [], iter(runs(batch, ("bucket", "chunk")))
+            part = next(parts, None)
+            for at, sets in shingle_sets(batch.column("normal")):
+                upto = at + len(sets.weight)
+                while part is not None and part[1] < upto:
+                    key, a, b = part
+                    a, b = max(a, at), min(b, upto)
+                    if key != current:
+                        current, heads = key, []
+                    split = a + int(lead[a:b].sum())  # heads come first
+                    heads += [(ids[i], weight[i], sketch[i], bands[i], tuple(x.copy() for x in sets.of(i - at))) for i in range(a, split)]
+                    for h_ids, h_weight, h_sketch, h_bands, h_set in heads if split < b else ():
+                        rest = slice(split, b)
+                        near = (ids[rest, 2:] != h_ids[2:]).any(1) & (ids[rest, :2] != h_ids[:2]).any(1)
+                        near &= np.minimum(h_weight, weight[rest]) >= (least - 1e-12) * np.maximum(h_weight, weight[rest])
+                        if bands.shape[1]:
+                            near &= (sketch[rest] == h_sketch).mean(1) >= cut
+                            same = bands[rest] == h_bands
+                            near &= bands[rest][np.arange(b - split), same.argmax(1)] == bucket[rest]
+                        if len(texts := split + np.flatnonzero(near)):
+                            texts = texts[similarities(h_set, sets, texts - at) >= least]
+                            own = np.broadcast_to(h_ids, (len(texts), 4))
+                            found.append(np.concatenate([ids[texts, :2], own[:, :2], ids[texts, 2:], own[:, 2:]], 1))
+                    if part[2] > upto:
+                        break
+                    part = next(parts, None)
             if found:
                 flat = np.concatenate(found)
-                swap = (flat[:, 0] < flat[:, 2]) | ((flat[:, 0] == flat[:, 2]) & (flat[:, 1] < flat[:, 3]))
-                flat[swap] = flat[swap][:, [2, 3, 0, 1, 6, 7, 4, 5]]  # u above v
                 yield pa.RecordBatch.from_arrays([_nodes(*(pa.array(flat[:, k]) for k in (2 * c, 2 * c + 1))) for c in range(4)], schema=PAIR)
 
     return meet
 
 
-def _candidates(alive: DataFrame, heads: DataFrame, members: DataFrame, cut: float, least: float) -> DataFrame:
-    """Pairs of different components between the texts of each bucket and its ``heads(bucket, node)``."""
+def _links_of_round(alive: DataFrame, heads: DataFrame, members: DataFrame, cut: float, least: float) -> DataFrame:
+    """Stored links between the texts of each bucket and its ``heads(bucket, node)`` of other components."""
     sizes = stored(alive.groupBy(F.col("bucket").alias("b")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "bucket-sizes")
-    sketch = members.select(F.col("node").alias("m"), "sketch")
-    full = alive.join(sketch, F.col("node") == F.col("m")).join(sizes, F.col("bucket") == F.col("b"))
-    columns = ("bucket", "chunk", "member", "node", "comp", "weight", "sketch")
-    tails = full.withColumns({"chunk": F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"), "member": F.lit(1)}).select(*columns)
-    lead = full.join(heads.select(F.col("bucket").alias("hb"), F.col("node").alias("hn")), (F.col("bucket") == F.col("hb")) & (F.col("node") == F.col("hn")))
-    lead = lead.withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "member": F.lit(0)}).select(*columns)
-    rows = tails.unionAll(lead).repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "member")
-    return rows.mapInArrow(_met(cut, least), PAIR_DDL).distinct()
+    text = members.select(F.col("node").alias("m"), "sketch", "bands", "normal")
+    columns = ("bucket", "chunk", "member", "node", "comp", "weight", "sketch", "bands", "normal")
+    sized = alive.join(sizes, F.col("bucket") == F.col("b"))
+    tails = sized.withColumns({"chunk": F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"), "member": F.lit(1)})
+    lead = sized.join(heads, ["bucket", "node"], "left_semi")
+    lead = lead.withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "member": F.lit(0)})
+    both = tails.select(*columns[:6]).unionAll(lead.select(*columns[:6]))
+    rows = both.join(text, F.col("node") == F.col("m")).select(*columns)
+    rows = rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "member")
+    return stored(rows.mapInArrow(_met(cut, least), PAIR_DDL), "links-of-round")
 
 
 def _unsettled(alive: DataFrame) -> DataFrame:
@@ -293,36 +303,38 @@ def links(docs: DataFrame, exact: bool = False, least: float = SIMILARITY) -> tu
     ends = [f(F.col(f"node.{x}")).alias(f"{x}{k}") for x in "ab" for k, f in enumerate((F.min, F.max))]
     shared = rows.groupBy(F.col("bucket").alias("shared")).agg(*ends).where("a0 <> a1 OR b0 <> b1")
     entries = rows.join(stored(shared.select("shared"), "shared-buckets"), F.col("bucket") == F.col("shared")).select("bucket", "node", "weight").distinct()
-    alive = stored(entries.withColumn("comp", F.col("node")), "entries")
+    entries = stored(entries, "entries")
+    crowds = entries.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("n"))
+    crowd = entries.join(crowds, F.col("bucket") == F.col("b")).groupBy(F.col("node").alias("n")).agg(F.sum("n").alias("crowd"))
+    alive = entries.join(crowd, F.col("node") == F.col("n")).select("bucket", "node", "weight", "crowd", F.col("node").alias("comp"))
+    alive = stored(alive, "entries")
     wanted = stored(alive.select(F.col("node").alias("n")).distinct(), "candidate-nodes")
-    picked = signed.join(wanted, F.col("node") == F.col("n")).groupBy("node").agg(F.min(F.struct("doc_id", "raw")).alias("rep"), F.first("sketch").alias("sketch"))
-    picked = picked.select("node", "sketch", F.col("rep.doc_id").alias("rep_id"), F.col("rep.raw").alias("rep_raw"))
+    bands = F.first("buckets" if not exact else F.array().cast("array<bigint>")).alias("bands")
+    picked = signed.join(wanted, F.col("node") == F.col("n")).groupBy("node").agg(F.min(F.struct("doc_id", "raw")).alias("rep"), F.first("sketch").alias("sketch"), bands)
+    picked = picked.select("node", "sketch", "bands", F.col("rep.doc_id").alias("rep_id"), F.col("rep.raw").alias("rep_raw"))
     raws = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("raw"), "text")
-    texts = raws.join(broadcast_within(picked, 400), (F.col("raw") == F.col("rep_raw")) & F.col("d").eqNullSafe(F.col("rep_id")))
-    members = stored(texts.select("node", "sketch", normal_text(F.col("text")).alias("normal")).dropDuplicates(["node"]), "members")
+    texts = raws.join(broadcast_within(picked, 600), (F.col("raw") == F.col("rep_raw")) & F.col("d").eqNullSafe(F.col("rep_id")))
+    members = stored(texts.select("node", "sketch", "bands", normal_text(F.col("text")).alias("normal")).dropDuplicates(["node"]), "members")
 
-    # every text with the least one of each of its buckets
-    heads = stored(alive.groupBy(F.col("bucket").alias("hb")).agg(F.min(F.struct("node", "weight")).alias("head")), "heads")
+    # every text with the head of each of its buckets
+    heads = stored(alive.groupBy(F.col("bucket").alias("hb")).agg(F.max(F.struct("crowd", "node", "weight")).alias("head")), "heads")
     near = F.least("weight", "head.weight") / F.greatest("weight", "head.weight") >= least - 1e-12
     stars = alive.join(heads, F.col("bucket") == F.col("hb")).where((F.col("node") != F.col("head.node")) & near)
     pairs = stored(stars.select(F.col("node").alias("u"), F.col("head.node").alias("v")).distinct().withColumns({"cu": F.col("u"), "cv": F.col("v")}), "stars")
     heads = heads.select(F.col("hb").alias("bucket"), "head.node")
-    tried, found, n_heads = pairs, [_similar(pairs, members, least)], HEADS
+    found, n_heads = [_similar(pairs, members, least)], HEADS
     while True:
         alive = alive.join(heads, ["bucket", "node"], "left_anti")  # compared with all others of their bucket
-        if not found[-1].isEmpty():
+        if len(found) == 1 or 100 * found[-1].count() > alive.count():  # fewer links spare no work
             joined = stored(components(found[-1].select(F.col("cu").alias("u"), F.col("cv").alias("v"))).toDF("old", "new"), "joined")
             alive = alive.join(joined, F.col("comp") == F.col("old"), "left").withColumn("comp", F.coalesce("new", "comp")).drop("old", "new")
         alive = _unsettled(alive)
         if alive.isEmpty():
             break
         salt = F.pmod(F.xxhash64(F.lit(n_heads), "node"), F.lit(n_heads))
-        heads = stored(alive.groupBy("bucket", salt.alias("salt")).agg(F.min("node").alias("node")).drop("salt"), "heads")
-        fresh = _candidates(alive, heads, members, cut, least).join(tried.select(F.col("u").alias("tu"), F.col("v").alias("tv")), (F.col("u") == F.col("tu")) & (F.col("v") == F.col("tv")), "left_anti")
-        pairs = stored(fresh, "pairs")
-        tried = tried.unionByName(pairs)
-        found.append(_similar(pairs, members, least))
-        n_heads *= 4
+        heads = stored(alive.groupBy("bucket", salt.alias("salt")).agg(F.max(F.struct("crowd", "node"))["node"].alias("node")).drop("salt"), "heads")
+        found.append(_links_of_round(alive, heads, members, cut, least))
+        n_heads *= GROWTH
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)

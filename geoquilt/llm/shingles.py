@@ -105,14 +105,16 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / total) if total else 0.0
 
 
-def similarities(head: tuple[np.ndarray, np.ndarray], sets: ShingleSets, low: int, high: int) -> np.ndarray:
-    """Weighted Jaccard similarity of ``head`` with the texts ``low`` to ``high`` of ``sets``."""
-    part = slice(sets.starts[low], sets.starts[high])
+def similarities(head: tuple[np.ndarray, np.ndarray], sets: ShingleSets, texts: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of ``head`` with the given ``texts`` of ``sets``."""
+    sizes = sets.starts[texts + 1] - sets.starts[texts]
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    part = np.arange(len(owner)) + np.repeat(sets.starts[texts] - (np.cumsum(sizes) - sizes), sizes)
     items, total = sets.items[part], float(head[1].sum())
     if not len(head[0]):
-        return np.zeros(high - low)
+        return np.zeros(len(texts))
     place = np.minimum(np.searchsorted(head[0], items), len(head[0]) - 1)
     common = np.where(head[0][place] == items, np.minimum(head[1][place], sets.counts[part]), 0)
-    both = np.bincount(sets.owner[part] - low, common, high - low)
-    union = total + sets.weight[low:high] - both
+    both = np.bincount(owner, common, len(texts))
+    union = total + sets.weight[texts] - both
     return np.where(union > 0, both / np.maximum(union, 1), 0.0)

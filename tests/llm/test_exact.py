@@ -362,6 +362,7 @@ def test_sets_of_many_texts_are_those_of_each(monkeypatch):
 def test_classes_equal_brute_force(spark, copies, monkeypatch, exact, chunk, heads):
     monkeypatch.setattr(near_dedup, "CHUNK", chunk)
     monkeypatch.setattr(near_dedup, "HEADS", heads)
+    monkeypatch.setattr(near_dedup, "GROWTH", 4)
     frame = spark.createDataFrame(copies, "doc_id long, text string").withColumn("node", F.lit(1))
     got = near_dedup.classes(frame, exact).collect()
     assert Counter((r.doc_id, r.class_id, r.n_class) for r in got) == class_of(copies)
