@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoquilt.functions.linalg import symmetric_eigenvalues
-from geoquilt.operators.spatial import XYZ, cells, knn_self, radius_join
+from geoquilt.operators.spatial import XYZ, cells, knn, knn_self, radius_join
 
 
 def aabb(points: DataFrame) -> DataFrame:
@@ -74,9 +74,9 @@ def local_radii(points: DataFrame, k: int = 8, scale: float = 1.0) -> DataFrame:
 
 def mean_spacing(points: DataFrame, k: int = 8, first: int = 500) -> DataFrame:
     """One row: the median over the ``first`` points, by id, of their mean distance to ``k`` neighbours."""
-    chosen = points.orderBy("pid").limit(first).select(F.col("pid").alias("chosen"))
-    near = knn_self(points, k).groupBy("i").agg(F.avg("d").alias("mean_d"))
-    return near.join(chosen, F.col("i") == F.col("chosen"), "left_semi").agg(F.percentile("mean_d", 0.5).alias("spacing"))
+    chosen = points.orderBy("pid").limit(first).withColumnRenamed("pid", "i")
+    near = knn(chosen, points.withColumnRenamed("pid", "j"), k).groupBy("i").agg(F.avg("d").alias("mean_d"))
+    return near.agg(F.percentile("mean_d", 0.5).alias("spacing"))
 
 
 def covariance(columns: tuple[str, str, str] = XYZ, sample: bool = False) -> list[Column]:

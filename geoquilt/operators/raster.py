@@ -155,23 +155,39 @@ def skeleton_nodes(cells: DataFrame) -> DataFrame:
     return neighbours(cells).select("row", "col", total.cast("long").alias("degree")).where("degree <> 2")
 
 
-def distance_to(cells: DataFrame, targets: DataFrame, reach: int) -> DataFrame:
-    """(row, col, d2): squared distance to the nearest of ``targets``, null beyond ``reach`` cells.
+def distance_to(cells: DataFrame, targets: DataFrame, reach: int = 8) -> DataFrame:
+    """(row, col, d2): squared distance to the nearest of ``targets``, null where there are none.
 
-    Targets are copied to the disc around them and pre-aggregated per cell.
+    Targets are gathered by row, in arrays no longer than the raster is wide, and a
+    cell looks at the rows up to ``reach`` away.  It is done when its distance is no
+    more than that; the others look four times as far, until all rows are covered.
     """
-    disc = [(i, j) for i, j in square(reach) if i * i + j * j <= reach * reach]
-    near = shifted(targets.select("row", "col"), disc).groupBy("row", "col").agg(F.min(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2"))
-    return cells.select("row", "col").join(near, ["row", "col"], "left").select("row", "col", F.col("d2").cast("long").alias("d2"))
-
-
-def ridge_skeleton(cells: DataFrame, reach: int = 16) -> DataFrame:
-    """Cells off the contour whose distance to it is no less than any neighbour's.
-
-    Distances are exact up to ``reach``; farther cells all count as farthest.
-    """
-    far = (reach + 1) * (reach + 1)
-    d = distance_to(cells, contour(cells), reach).select("row", "col", F.coalesce("d2", F.lit(far)).alias("d2"))
+    cells = cells.select("row", "col").distinct()
+    lines = stored(targets.groupBy(F.col("row").alias("line")).agg(F.collect_set("col").alias("cols")), "raster-lines")
+    low, high = lines.select(F.col("line").alias("row")).unionByName(cells.select("row")).agg(F.min("row"), F.max("row")).first()
+    span, todo, parts = (high or 0) - (low or 0), cells, []
+    while True:
+        at = todo.withColumn("k", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
+        across = F.array_min(F.transform("cols", lambda c: (c - F.col("col")) * (c - F.col("col"))))
+        near = at.join(lines, F.col("row") + F.col("k") == F.col("line")).groupBy("row", "col").agg(F.min(across + F.col("k") * F.col("k")).cast("long").alias("d2"))
+        if reach >= span:
+            parts.append(todo.join(near, ["row", "col"], "left"))
+            break
+        near = stored(near.where(F.col("d2") <= reach * reach), "distances")
+        parts.append(near)
+        todo = stored(todo.join(near, ["row", "col"], "left_anti"), "far-cells")
+        if todo.isEmpty():
+            break
+        reach *= 4
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("row", "col", "d2")
+
+
+def ridge_skeleton(cells: DataFrame) -> DataFrame:
+    """Cells off the contour whose distance to it is no less than any neighbour's; distances are exact."""
+    d = stored(distance_to(cells, contour(cells)), "ridge-distances")
     most = shifted(d, EIGHT).groupBy("row", "col").agg(F.max("d2").alias("most"))
     return d.join(most, ["row", "col"], "left").where((F.col("d2") > 0) & (F.col("d2") >= F.coalesce("most", F.lit(0)))).select("row", "col", F.col("d2").cast("long").alias("d2"))
 

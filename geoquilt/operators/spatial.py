@@ -46,16 +46,57 @@ def radius_pairs(points: DataFrame, radius: float) -> DataFrame:
     return found.select("u", "v", F.col("d").alias("w"))
 
 
+def radius_join_own(probe: DataFrame, points: DataFrame, radius: str = "radius", probe_id: str = "i", point_id: str = "j") -> DataFrame:
+    """(i, j, d) of all ``points(j, x, y, z)`` within the radius that each ``probe(i, x, y, z, radius)`` has of its own.
+
+    Probes are grouped by the power of two that their radius does not exceed, each
+    power with a grid of its own, so a probe of any radius looks into 27 cells.
+    Probes with a null, negative or infinite radius meet nothing.
+    """
+    level = F.when(F.col(radius) > 0, F.ceil(F.log2(radius))).otherwise(-40).cast("int")
+    home = probe.where((F.col(radius) >= 0) & (F.col(radius) < float("inf"))).select(
+        F.col(probe_id), F.col(radius).alias("own"), level.alias("level"), *[F.col(c).alias(f"p{c}") for c in XYZ]
+    )
+    levels = [r[0] for r in home.select("level").distinct().collect()]  # one for each power of two in use
+    size = F.pow(F.lit(2.0), F.col("level"))
+    for c in XYZ:
+        cell = F.floor(F.col(f"p{c}") / size).cast("long")
+        home = home.withColumn(f"g{c}", F.explode(F.array(cell - 1, cell, cell + 1)))
+    held = points.withColumn("grid", F.explode(F.array(*map(F.lit, levels or [0]))))
+    held = held.withColumns({f"h{c}": F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("grid"))).cast("long") for c in XYZ})
+    same = (F.col("level") == F.col("grid")) & (F.col("gx") == F.col("hx")) & (F.col("gy") == F.col("hy")) & (F.col("gz") == F.col("hz"))
+    d2 = squared_distance([F.col(f"p{c}") for c in XYZ], [F.col(c) for c in XYZ])
+    return home.join(held, same).withColumn("d", F.sqrt(d2)).where(F.col("d") <= F.col("own")).select(probe_id, point_id, "d")
+
+
+def hybrid_neighbours(points: DataFrame, radius: float, max_nn: int) -> DataFrame:
+    """(i, j, d, rank) of the ``max_nn`` nearest within ``radius`` of every point, itself left out; ties go by j."""
+    near = radius_join(points.select(F.col("pid").alias("i"), *XYZ), points.select(F.col("pid").alias("j"), *XYZ), radius).where("i <> j")
+    rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
+    return near.select("i", "j", "d", rank.alias("rank")).where(F.col("rank") <= max_nn)
+
+
 def typical_radius(points: DataFrame, k: int) -> float:
-    """Radius of a ball that would hold about ``k`` points if they filled their box evenly."""
-    box = points.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in XYZ]).first()
-    spans = [box[c] or 0.0 for c in XYZ]
-    if not box["n"] or max(spans) == 0:
+    """Radius of a ball that would hold about ``k`` points, where most points are.
+
+    It starts from the box without the outermost hundredth on each side, so that a
+    far point does not widen it, and is halved while the cells of that size in
+    which points stand are crowded, as on surfaces and in clusters.
+    """
+    ends = points.agg(F.count("*").alias("n"), *[F.percentile_approx(c, [0.01, 0.99], 1000).alias(c) for c in XYZ]).first()
+    spans = [ends[c][1] - ends[c][0] if ends[c] else 0.0 for c in XYZ]
+    if not ends["n"] or max(spans) == 0:
         return 1.0
     volume = 1.0
     for s in spans:
         volume *= max(s, 0.01 * max(spans))
-    return (0.75 / 3.141592653589793 * k * volume / box["n"]) ** (1 / 3)
+    radius = (0.75 / 3.141592653589793 * k * volume / ends["n"]) ** (1 / 3)
+    for _ in range(20):  # repeated points crowd any cell
+        held = points.groupBy(*[c.alias(n) for n, c in zip("abc", cells(radius), strict=True)]).agg(F.count("*").alias("n"))
+        if held.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] <= 2 * k + 2:
+            break
+        radius /= 2
+    return radius
 
 
 def knn(probe: DataFrame, points: DataFrame, k: int, radius: float | None = None, exclude_self: bool = True) -> DataFrame:

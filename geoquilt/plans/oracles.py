@@ -125,6 +125,8 @@ ORACLES: dict[str, str] = {
     "cloud_stats": using("SELECT cloud, n, " + r("cx", "cy", "cz", "min_x", "max_x", "min_y", "max_y", "min_z", "max_z") + ", round(sqrt((max_x - min_x) * (max_x - min_x) + (max_y - min_y) * (max_y - min_y) + (max_z - min_z) * (max_z - min_z)), 6) AS diagonal FROM (SELECT cloud, count(*) AS n, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM points GROUP BY cloud)", points=POINTS),
     "knn": using(f"SELECT i, j, rank, {r('d')} FROM near", points=POINTS, near=NEAR % 8),
     "radius_pairs": using(f"SELECT u, v, {r('w')} FROM pairs", points=POINTS, pairs=PAIRS % 0.1),
+    "radius_pairs_own": using(f"SELECT a.pid AS i, b.pid AS j, round({DIST}, 6) AS d FROM points a JOIN points b ON a.pid <> b.pid AND {DIST} <= 0.03 + (a.pid % 10) * 0.0137", points=POINTS),
+    "hybrid_neighbours": using(f"SELECT i, j, rank, {r('d')} FROM near WHERE near.d <= 0.15", points=POINTS, near=NEAR % 6),
     "statistical_outlier": using("SELECT pid, cloud FROM points JOIN m ON pid = i WHERE md < (SELECT avg(md) + 2 * stddev_samp(md) FROM m)", points=POINTS, near=NEAR % 20, m="SELECT i, avg(d) AS md FROM near GROUP BY i"),
     "radius_outlier": using("SELECT pid, cloud FROM points WHERE pid IN (SELECT u FROM arcs GROUP BY u HAVING count(*) >= 8)", points=POINTS, pairs=PAIRS % 0.1, arcs=BOTH),
     "local_radii": using(f"SELECT pid, {r('radius')} FROM (SELECT i AS pid, quantile_cont(d, 0.5) AS radius FROM near GROUP BY i)", points=POINTS, near=NEAR % 8),
@@ -189,7 +191,7 @@ ORACLES: dict[str, str] = {
     "otsu": using("SELECT (b + 1) / 256.0::DOUBLE AS threshold FROM (SELECT b, w, m, tw, tm FROM h WHERE w > 0 AND w < tw) ORDER BY round(w::DOUBLE * (tw - w) * (m / w::DOUBLE - (tm - m) / (tw - w)::DOUBLE) * (m / w::DOUBLE - (tm - m) / (tw - w)::DOUBLE), 6) DESC, b LIMIT 1", depth=DEPTH, c="SELECT k.b, count(raw) AS n FROM range(256) k(b) LEFT JOIN depth ON least(floor(least(raw / 2000, 1) * 256), 255) = k.b GROUP BY k.b", h="SELECT b, sum(n) OVER o AS w, sum(b * n) OVER o AS m, sum(n) OVER () AS tw, sum(b * n) OVER () AS tm FROM c WINDOW o AS (ORDER BY b ROWS UNBOUNDED PRECEDING)"),
     "contour": using("SELECT row, col FROM ring WHERE p2 + p4 + p6 + p8 < 4", mask=MASK, ring=RING),
     "zhang_suen_pass": using(f"SELECT row, col FROM ring WHERE NOT ({TURNS} = 1 AND {TOTAL} BETWEEN 2 AND 6 AND p2 * p4 * p6 = 0 AND p4 * p6 * p8 = 0)", mask=MASK, ring=RING),
-    "edt_ridge": using("SELECT row, col, d2 FROM e WHERE d2 > 0 AND d2 >= coalesce((SELECT max(n.d2) FROM e n WHERE greatest(abs(n.row - e.row), abs(n.col - e.col)) = 1), 0)", mask=MASK, ring=RING, edge="SELECT row, col FROM ring WHERE p2 + p4 + p6 + p8 < 4", e="SELECT m.row, m.col, coalesce(min((m.row - c.row) * (m.row - c.row) + (m.col - c.col) * (m.col - c.col)) FILTER ((m.row - c.row) * (m.row - c.row) + (m.col - c.col) * (m.col - c.col) <= 64), 81)::BIGINT AS d2 FROM mask m, edge c GROUP BY m.row, m.col"),
+    "edt_ridge": using("SELECT row, col, d2 FROM e WHERE d2 > 0 AND d2 >= coalesce((SELECT max(n.d2) FROM e n WHERE greatest(abs(n.row - e.row), abs(n.col - e.col)) = 1), 0)", mask=MASK, ring=RING, edge="SELECT row, col FROM ring WHERE p2 + p4 + p6 + p8 < 4", e="SELECT m.row, m.col, coalesce(min((m.row - c.row) * (m.row - c.row) + (m.col - c.col) * (m.col - c.col)), 0)::BIGINT AS d2 FROM mask m, edge c GROUP BY m.row, m.col"),
     "skeleton_nodes": using(f"SELECT row, col, ({TOTAL})::BIGINT AS degree FROM ring WHERE {TOTAL} <> 2", mask=MASK, ring=RING),
     "plane_raster": using("SELECT DISTINCT floor((y - (SELECT min(y) FROM points)) / 0.0213::DOUBLE)::BIGINT AS row, floor((x - (SELECT min(x) FROM points)) / 0.0213::DOUBLE)::BIGINT AS col FROM points", points=POINTS),
     "connected_components": using("SELECT a AS vid, min(b) AS component FROM reach GROUP BY a", True, points=POINTS, pairs=PAIRS % 0.06, arcs=BOTH, reach=REACH),

@@ -68,6 +68,18 @@ def radius_pairs(s, d):
     return spatial.radius_pairs(views.points(s, d), 0.1).select("u", "v", *r6("w"))
 
 
+@query
+def radius_pairs_own(s, d):
+    p = views.points(s, d)
+    probe = p.select(F.col("pid").alias("i"), *XYZ, (0.03 + F.pmod("pid", F.lit(10)) * 0.0137).alias("radius"))
+    return spatial.radius_join_own(probe, p.withColumnRenamed("pid", "j")).where("i <> j").select("i", "j", *r6("d"))
+
+
+@query
+def hybrid_neighbours(s, d):
+    return spatial.hybrid_neighbours(views.points(s, d), 0.15, 6).select("i", "j", F.col("rank").cast("long").alias("rank"), *r6("d"))
+
+
 @query
 def statistical_outlier(s, d):
     return clouds.statistical_outliers(views.points(s, d), 20, 2.0).select("pid", "cloud")
@@ -357,7 +369,7 @@ def thinning(s, d):
 
 @query
 def edt_ridge(s, d):
-    return raster.ridge_skeleton(views.mask(s, d), 8)
+    return raster.ridge_skeleton(views.mask(s, d))
 
 
 @query
