@@ -162,7 +162,6 @@ ORACLES: dict[str, str] = {
     "graph_laplacian": using("SELECT i, j, round(-w, 4) + 0.0::DOUBLE AS v FROM w UNION ALL SELECT i, i, round(sum(w), 4) + 0.0::DOUBLE FROM w GROUP BY i", points=POINTS, near=NEAR % 6, w="SELECT i, j, max(w) AS w FROM (SELECT i, j, 1 / (d + 1e-12) AS w FROM near UNION ALL SELECT j, i, 1 / (d + 1e-12) FROM near) GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY 1, 2")),
     "node_degree": using("SELECT u AS vid, count(*) AS degree FROM arcs GROUP BY u", points=POINTS, pairs=PAIRS % 0.1, arcs=BOTH),
     "junction_median": using(f"SELECT pid, n, {r('x', 'y', 'z')} FROM (SELECT a.pid, count(*) AS n, quantile_cont(b.x, 0.5) AS x, quantile_cont(b.y, 0.5) AS y, quantile_cont(b.z, 0.5) AS z FROM points a JOIN points b ON {DIST} <= 0.1 WHERE a.pid IN (SELECT u FROM arcs GROUP BY u HAVING count(*) >= 3) GROUP BY a.pid)", points=POINTS, pairs=PAIRS % 0.04, arcs=BOTH),
-    "em_estep": using("SELECT i, j, round(w / (sum(w) OVER (PARTITION BY j) + 0.01::DOUBLE), 6) + 0.0::DOUBLE AS r FROM weights", points=POINTS, weights=f"SELECT a.pid AS i, b.pid AS j, exp(-3.0::DOUBLE * abs(a.pid % 10 / 10.0::DOUBLE - b.pid % 10 / 10.0::DOUBLE)) * exp(-({DIST} * {DIST}) / (2 * 0.08::DOUBLE * 0.08::DOUBLE)) AS w FROM points a JOIN points b ON {DIST} <= 0.2 WHERE a.pid % 7 = 0"),
     "em_estep_all": using("SELECT i, j, round(w / (sum(w) OVER (PARTITION BY j) + 0.01::DOUBLE), 6) + 0.0::DOUBLE AS r FROM weights", points=POINTS, weights=f"SELECT a.pid AS i, b.pid AS j, exp(-3.0::DOUBLE * abs(a.pid % 10 / 10.0::DOUBLE - b.pid % 10 / 10.0::DOUBLE)) * exp(-({DIST} * {DIST}) / (2 * 0.08::DOUBLE * 0.08::DOUBLE)) AS w FROM points a JOIN points b ON {DIST} <= 0.2"),
     "boundedness": using(f"SELECT pid AS i, round(coalesce(n, 0) / 64.0::DOUBLE, 6) AS bounded FROM points LEFT JOIN (SELECT i, count(DISTINCT k) AS n FROM rays JOIN dirs ON x * ux + y * uy + z * uz >= cos(radians(30.1)) GROUP BY i) s ON s.i = pid", points=POINTS, near=NEAR % 8, rays="SELECT i, (b.x - a.x) / d AS x, (b.y - a.y) / d AS y, (b.z - a.z) / d AS z FROM near JOIN points a ON a.pid = i JOIN points b ON b.pid = j WHERE d > 0", dirs="SELECT k, sqrt(1 - uz * uz) * cos(k * (pi() * (3 - sqrt(5)))) AS ux, sqrt(1 - uz * uz) * sin(k * (pi() * (3 - sqrt(5)))) AS uy, uz FROM (SELECT k, 1 - (2 * k + 1) / 64.0::DOUBLE AS uz FROM range(64) t(k))"),
     "centeredness": using("SELECT i, round(CASE WHEN md > 0 THEN greatest(1 - sqrt((p.x - mx) * (p.x - mx) + (p.y - my) * (p.y - my) + (p.z - mz) * (p.z - mz)) / md, 0) ELSE 0 END, 6) + 0.0::DOUBLE AS centered FROM (SELECT i, avg(d) AS md, avg(b.x) AS mx, avg(b.y) AS my, avg(b.z) AS mz FROM near JOIN points b ON b.pid = j GROUP BY i) JOIN points p ON p.pid = i", points=POINTS, near=NEAR % 15),
@@ -186,7 +185,6 @@ ORACLES: dict[str, str] = {
     "erode": using(ERODED % "mask", mask=MASK, around=square(1)),
     "opening": using(DILATED % "thinner", mask=MASK, around=square(1), thinner=ERODED % "mask"),
     "closing": using(ERODED % "thicker", mask=MASK, around=square(1), thicker=DILATED % "mask"),
-    "gaussian_blur": using("SELECT row, col, round(v, 4) AS v FROM c", depth=DEPTH, g="SELECT row, col, raw AS v FROM depth WHERE frame = 0", b=blurred("g", "row", "col", 25), c=blurred("b", "col", "row", 40)),
     "gaussian_blur_frames": using("SELECT frame, row, col, round(v, 4) AS v FROM c", depth=DEPTH, g="SELECT frame, row, col, raw AS v FROM depth", b=blurred_frames("g", "row", "col", 25), c=blurred_frames("b", "col", "row", 40)),
     "otsu": using("SELECT (b + 1) / 256.0::DOUBLE AS threshold FROM (SELECT b, w, m, tw, tm FROM h WHERE w > 0 AND w < tw) ORDER BY round(w::DOUBLE * (tw - w) * (m / w::DOUBLE - (tm - m) / (tw - w)::DOUBLE) * (m / w::DOUBLE - (tm - m) / (tw - w)::DOUBLE), 6) DESC, b LIMIT 1", depth=DEPTH, c="SELECT k.b, count(raw) AS n FROM range(256) k(b) LEFT JOIN depth ON least(floor(least(raw / 2000, 1) * 256), 255) = k.b GROUP BY k.b", h="SELECT b, sum(n) OVER o AS w, sum(b * n) OVER o AS m, sum(n) OVER () AS tw, sum(b * n) OVER () AS tm FROM c WINDOW o AS (ORDER BY b ROWS UNBOUNDED PRECEDING)"),
     "contour": using("SELECT row, col FROM ring WHERE p2 + p4 + p6 + p8 < 4", mask=MASK, ring=RING),
@@ -209,9 +207,13 @@ ORACLES: dict[str, str] = {
     "objective_all": using("SELECT trial, round(loss, 6) AS loss FROM losses", trials=TRIALS, losses=LOSS),
     "laplacian_blend": using("SELECT pid, " + ", ".join(f"round(0.5::DOUBLE * p.{c} + 0.5::DOUBLE * m{c}, 6) + 0.0::DOUBLE AS {c}" for c in "xyz") + " FROM points p JOIN (SELECT i, sum(w * b.x) / sum(w) AS mx, sum(w * b.y) / sum(w) AS my, sum(w * b.z) / sum(w) AS mz FROM weights JOIN points b ON b.pid = j GROUP BY i) ON i = p.pid", points=POINTS, near=NEAR % 8, weights="SELECT i, j, greatest(exp(-(d * d) / (2 * s * s)), 1e-12) AS w FROM near JOIN (SELECT i, greatest(0.6::DOUBLE * quantile_cont(d, 0.5), 1e-12) AS s FROM near GROUP BY i) USING (i)"),
     "gated_junctions": using(f"SELECT pid, {r('x', 'y', 'z')} FROM (SELECT i AS pid, " + ", ".join(f"coalesce(avg({c}) FILTER (ok), avg({c})) AS {c}" for c in "xyz") + " FROM (SELECT *, nx * mx + ny * my + nz * mz > cos(radians(60.3)) * sqrt(mx * mx + my * my + mz * mz) AS ok FROM (SELECT *, avg(nx) OVER w AS mx, avg(ny) OVER w AS my, avg(nz) OVER w AS mz FROM ball WINDOW w AS (PARTITION BY i))) GROUP BY i)", points=ORIENTED, pairs=PAIRS % 0.04, arcs=BOTH, ball=f"SELECT a.pid AS i, b.x, b.y, b.z, b.nx, b.ny, b.nz FROM points a JOIN points b ON {DIST} <= 0.1 WHERE a.pid IN (SELECT u FROM arcs GROUP BY u HAVING count(*) >= 3)"),
-    "polyline_prune": using("SELECT line_id, seq FROM lines WHERE line_id IN (SELECT line_id FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY seq) - 1 AS k, count(*) OVER (PARTITION BY line_id) AS n FROM lines), box WHERE k = n // 2 AND abs(x - mx) <= hx AND abs(y - my) <= hy AND abs(z - mz) <= hz)", lines=LINES, box="SELECT " + ", ".join(f"(min({c}) + max({c})) / 2 AS m{c}, (max({c}) - min({c})) / 2 * 1.1::DOUBLE + 1e-12 AS h{c}" for c in "xyz") + " FROM lines WHERE seq <= 40"),
     "polyline_prune_all": using("SELECT line_id, seq FROM lines WHERE line_id IN (SELECT line_id FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY seq) - 1 AS k, count(*) OVER (PARTITION BY line_id) AS n FROM lines), box WHERE k = n // 2 AND abs(x - mx) <= hx AND abs(y - my) <= hy AND abs(z - mz) <= hz)", lines=LINES, box="SELECT " + ", ".join(f"(min({c}) + max({c})) / 2 AS m{c}, (max({c}) - min({c})) / 2 * 1.1::DOUBLE + 1e-12 AS h{c}" for c in "xyz") + " FROM lines"),
-    "mesh_prune": using("SELECT tid FROM mesh_t WHERE a IN (FROM good) OR b IN (FROM good) OR c IN (FROM good)", **MESH, good=f"SELECT DISTINCT a.vid FROM mesh_v a JOIN mesh_v b ON b.vid % 97 = 0 AND {DIST} <= 0.0213"),
     "mesh_prune_points": using("SELECT tid FROM mesh_t WHERE a IN (FROM good) OR b IN (FROM good) OR c IN (FROM good)", **MESH, points=POINTS, good=f"SELECT DISTINCT a.vid FROM mesh_v a JOIN points b ON {DIST} <= 0.0213"),
     "vertex_normals": using("SELECT vid, " + ", ".join(f"round(CASE WHEN s > 0 THEN {c} / s ELSE {e} END, 6) + 0.0::DOUBLE AS {c}" for c, e in (("nx", 0.0), ("ny", 0.0), ("nz", 1.0))) + " FROM (SELECT v.vid, nx, ny, nz, sqrt(nx * nx + ny * ny + nz * nz) AS s FROM mesh_v v LEFT JOIN (SELECT vid, sum(nx) AS nx, sum(ny) AS ny, sum(nz) AS nz FROM (SELECT unnest([a, b, c]) AS vid, nx, ny, nz FROM tri) GROUP BY vid) n ON n.vid = v.vid)", **MESH),
 }
+ORACLES |= {
+    "em_estep": ORACLES["em_estep_all"],
+    "gaussian_blur": ORACLES["gaussian_blur_frames"],
+    "polyline_prune": ORACLES["polyline_prune_all"],
+    "mesh_prune": ORACLES["mesh_prune_points"],
+}

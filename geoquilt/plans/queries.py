@@ -232,21 +232,11 @@ def _with_mu(s, d, name):
     return views.points(s, d).select(F.col("pid").alias(name), *XYZ, (F.pmod("pid", F.lit(10)) / 10.0).alias("mu"))
 
 
-@query
-def em_estep(s, d):
-    nodes = _with_mu(s, d, "i").where("i % 7 = 0")
-    return metrics.expectation_step(nodes, _with_mu(s, d, "j"), 0.2, 0.08, 3.0, 0.01).select("i", "j", *r6("r"))
-
-
 @query
 def em_estep_all(s, d):
     return metrics.expectation_step(_with_mu(s, d, "i"), _with_mu(s, d, "j"), 0.2, 0.08, 3.0, 0.01).select("i", "j", *r6("r"))
 
 
-def _samples(s, d):
-    return views.points(s, d).where("pid % 5 = 0").select(F.col("pid").alias("i"), *XYZ)
-
-
 def _targets(s, d):
     return views.points(s, d).select(F.col("pid").alias("j"), *XYZ)
 
@@ -334,12 +324,6 @@ def closing(s, d):
     return raster.closing(views.mask(s, d))
 
 
-@query
-def gaussian_blur(s, d):
-    frame = views.depth_pixels(s, d).where("frame = 0").select("row", "col", F.col("raw").alias("v"))
-    return raster.gaussian_blur(frame, 1.0, 25, 40).select("row", "col", rounded(F.col("v"), 4).alias("v"))
-
-
 @query
 def gaussian_blur_frames(s, d):
     frames = views.depth_pixels(s, d).select("frame", "row", "col", F.col("raw").alias("v"))
@@ -497,12 +481,6 @@ def gated_junctions(s, d):
     return skeletons.gated_junctions(p, edges, views.oriented_points(s, d), 0.1, 60.3).select("pid", *r6(*XYZ))
 
 
-@query
-def polyline_prune(s, d):
-    kept = meshes.prune_polylines(views.polylines(s, d), views.polylines(s, d).where("seq <= 40"))
-    return kept.select("line_id", "seq")
-
-
 @query
 def polyline_prune_all(s, d):
     return meshes.prune_polylines(views.polylines(s, d), views.polylines(s, d)).select("line_id", "seq")
@@ -513,13 +491,6 @@ def mesh_prune_points(s, d):
     return meshes.prune_by_distance(*views.height_mesh(s, d), views.points(s, d), 0.0213).select("tid")
 
 
-@query
-def mesh_prune(s, d):
-    vertices, triangles = views.height_mesh(s, d)
-    cloud = vertices.where("vid % 97 = 0").select(F.col("vid").alias("pid"), *XYZ)
-    return meshes.prune_by_distance(vertices, triangles, cloud, 0.0213).select("tid")
-
-
 @query
 def vertex_normals(s, d):
     return meshes.vertex_normals(*views.height_mesh(s, d)).select("vid", *r6("nx", "ny", "nz"))
@@ -564,3 +535,8 @@ def feature_histograms(s, d):
 @query
 def surface_samples(s, d):
     return meshes.sample_surface(*views.height_mesh(s, d), 2000).select("tid", "k", *r6(*XYZ))
+
+
+#: Older names of queries over whole tables.
+for _old, _new in {"em_estep": "em_estep_all", "gaussian_blur": "gaussian_blur_frames", "polyline_prune": "polyline_prune_all", "mesh_prune": "mesh_prune_points"}.items():
+    QUERIES[_old] = QUERIES[_new]

@@ -331,3 +331,38 @@ def test_greedy_clusters_settle_all_or_fail(spark):
     assert got == {i: i if i % 2 == 0 else i - 1 for i in range(9)}
     with pytest.raises(RuntimeError):
         graphs.greedy_cluster(chain, 1.1, max_rounds=2)
+
+
+def test_own_radii_and_hybrid_search_equal_brute_force(spark):
+    rng = np.random.default_rng(21)
+    p = rng.normal(size=(120, 3))
+    radii = [None, -1.0, 0.0, float("inf"), float("nan"), *np.exp(rng.normal(-1, 2, 115)).tolist()]
+    rows = [(i, *map(float, x), r) for i, (x, r) in enumerate(zip(p, radii, strict=True))]
+    frame = spark.createDataFrame(rows, "i long, x double, y double, z double, radius double")
+    cloud = frame.select(F.col("i").alias("j"), "x", "y", "z")
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+    got = {(r.i, r.j) for r in spatial.radius_join_own(frame, cloud).collect()}
+    assert got == {(i, j) for i, r in enumerate(radii) if r is not None and 0 <= r < float("inf") for j in range(120) if d[i, j] <= r}
+    got = {(r.i, r.j, r.rank) for r in spatial.hybrid_neighbours(cloud.withColumnRenamed("j", "pid"), 0.8, 3).collect()}
+    near = {i: sorted((d[i, j], j) for j in range(120) if j != i and d[i, j] <= 0.8)[:3] for i in range(120)}
+    assert got == {(i, j, k + 1) for i, x in near.items() for k, (_, j) in enumerate(x)}
+
+
+def test_a_far_point_does_not_widen_the_search(spark):
+    rng = np.random.default_rng(22)
+    p = np.vstack([rng.random((20_000, 3)) * [1, 1, 0.01], [[1e4, 0, 0]]])
+    cloud = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "pid long, x double, y double, z double")
+    radius = spatial.typical_radius(cloud, 8)
+    probe, points = cloud.withColumnRenamed("pid", "i"), cloud.withColumnRenamed("pid", "j")
+    assert radius < 0.1 and spatial.radius_join(probe, points, radius).count() < 5_000_000
+    assert {r.i for r in spatial.knn(probe.where("i = 20000"), points, 2).collect()} == {20_000}
+
+
+def test_distances_are_exact_at_any_reach(spark):
+    rng = np.random.default_rng(23)
+    cells = [(int(r), int(c)) for r, c in rng.integers(0, 90, (150, 2))]
+    targets = [(0, 3), (88, 70), (40, 41)]
+    frame = lambda x: spark.createDataFrame(x, "row long, col long")
+    got = {(r.row, r.col): r.d2 for r in raster.distance_to(frame(cells), frame(targets), 2).collect()}
+    assert got == {(r, c): min((r - a) ** 2 + (c - b) ** 2 for a, b in targets) for r, c in cells}
+    assert {r.d2 for r in raster.distance_to(frame(cells), frame([])).collect()} == {None}
