@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoquilt.functions.linalg import symmetric_eigenvalues
+from geoquilt.operators.numbering import numbered
 from geoquilt.operators.spatial import XYZ, cells, knn, knn_self, radius_join
+from geoquilt.storage import stored
 
 
 def aabb(points: DataFrame) -> DataFrame:
@@ -79,6 +81,26 @@ def mean_spacing(points: DataFrame, k: int = 8, first: int = 500) -> DataFrame:
     return near.agg(F.percentile("mean_d", 0.5).alias("spacing"))
 
 
+def spacing_quantile(points: DataFrame, k: int = 7, q: float = 0.1) -> DataFrame:
+    """One row: the ``q`` quantile of all points' distances to their ``k`` nearest neighbours; 1 for fewer than three points.
+
+    The distances are numbered in ranges, so no task holds them all.
+    """
+    d = stored(numbered(knn_self(points, k).select("d"), "d", "at"), "spacings")
+    total = d.agg(((F.count("*") - 1) * q).alias("place"))
+    around = d.join(F.broadcast(total), F.abs(F.col("at") - F.col("place")) < 1)  # one row
+    share = 1 - F.abs(F.col("at") - F.col("place"))
+    found = around.agg((F.sum(F.col("d") * share) / F.sum(share)).alias("spacing"))
+    n = points.agg(F.count("*").alias("n"))
+    return found.join(F.broadcast(n)).select(F.when(F.col("n") < 3, 1.0).otherwise(F.col("spacing")).alias("spacing"))
+
+
+def select_rows(points: DataFrame, index: DataFrame, invert: bool = False) -> DataFrame:
+    """Rows of ``points(pid, ...)`` whose pid is among ``index(pid)``, or is not; repeated ids of the index count once, null ids never match."""
+    chosen = index.select(F.col("pid").alias("__chosen"))
+    return points.join(chosen, F.col("pid") == F.col("__chosen"), "left_anti" if invert else "left_semi")
+
+
 def covariance(columns: tuple[str, str, str] = XYZ, sample: bool = False) -> list[Column]:
     """Aggregates xx, yy, zz, xy, xz, yz."""
     f = F.covar_samp if sample else F.covar_pop

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoquilt.functions.linalg import cross, dot, norm
@@ -45,6 +45,21 @@ def largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return parts.join(F.broadcast(top), F.col("component") == F.col("top")).select("vid", "component")
 
 
+def largest_groups(parts: DataFrame, group: str, top: int = 128) -> DataFrame:
+    """(group, n, rank) of the ``top`` groups with most rows, from rank 1; of equal ones the least label comes first."""
+    most = parts.groupBy(F.col(group).alias("group")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "group").limit(top)
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "group"))  # ``top`` rows
+    return most.select("group", "n", place.cast("long").alias("rank"))
+
+
+def weighted_adjacency(nodes: DataFrame, edges: DataFrame, least: float = 0.0) -> DataFrame:
+    """(u, v, w): edges between ``nodes(vid, x, y, z)`` in both directions, as long as their ends are apart; shorter ones than ``least`` go."""
+    at = lambda p: nodes.select(F.col("vid").alias(f"v{p}"), *[F.col(c).alias(f"{p}{c}") for c in XYZ])
+    joined = edges.join(at("a"), F.col("u") == F.col("va")).join(at("b"), F.col("v") == F.col("vb"))
+    w = norm([F.col(f"a{c}") - F.col(f"b{c}") for c in XYZ])
+    return both_ways(joined.select("u", "v", w.alias("w")).where(F.col("w") >= least))
+
+
 def merge_cells(nodes: DataFrame, size: float) -> DataFrame:
     """Old to new ids by cells of ``size``: (vid, new_id, x, y, z), new ids dense in the order of the first old id."""
     keys = [F.floor(F.col(c) / size).alias(f"k{c}") for c in XYZ]

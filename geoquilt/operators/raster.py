@@ -117,6 +117,13 @@ def contour(cells: DataFrame) -> DataFrame:
     return cells.select("row", "col").join(inner, ["row", "col"], "left_anti")
 
 
+def contour_links(cells: DataFrame) -> DataFrame:
+    """(row, col, row2, col2): contour cells that touch by a side or a corner, each pair once, from the first by row and column."""
+    edge = stored(contour(cells), "contour")
+    met = shifted(edge, ((0, 1), (1, -1), (1, 0), (1, 1))).join(edge, ["row", "col"], "left_semi")
+    return met.select((F.col("row") - F.col("dr")).alias("row"), (F.col("col") - F.col("dc")).alias("col"), F.col("row").alias("row2"), F.col("col").alias("col2"))
+
+
 def neighbours(cells: DataFrame) -> DataFrame:
     """Cells with p2..p9, their eight neighbours clockwise from above, as 0 or 1."""
     names = {(-1, 0): "p2", (-1, 1): "p3", (0, 1): "p4", (1, 1): "p5", (1, 0): "p6", (1, -1): "p7", (0, -1): "p8", (-1, -1): "p9"}

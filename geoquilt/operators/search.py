@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from geoquilt.sources.views import hash_uniform
+
 #: Weights of the objective: second Wasserstein distance, smoothness of both skeletons, boundedness, centeredness.
 WEIGHTS = (0.7, 0.30, 0.45, 0.15, 0.15)
 
@@ -25,6 +27,18 @@ def objective(m: Mapping[str, Column] | None = None, weights: Sequence[float] =
     )
 
 
+def random_sample(draws: DataFrame, key: str, space: Mapping[str, tuple[float, float, bool]]) -> DataFrame:
+    """``draws`` with a value of every parameter of ``space``, name -> (low, high, whole), hashed from ``key``.
+
+    Whole parameters take both bounds, others [low, high); equal keys draw equal values, a null key nulls.
+    """
+    values = {}
+    for i, (name, (low, high, whole)) in enumerate(space.items()):
+        u = hash_uniform(F.col(key), i + 1)
+        values[name] = (low + F.floor(u * (high - low + 1))).cast("long") if whole else low + u * (high - low)
+    return draws.withColumns(values)
+
+
 def top_trials(trials: DataFrame, k: int) -> DataFrame:
     """The ``k`` trials of least loss; ties go by trial."""
     return trials.withColumn("loss", objective()).orderBy("loss", "trial").limit(k)

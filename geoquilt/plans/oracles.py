@@ -211,6 +211,19 @@ ORACLES: dict[str, str] = {
     "mesh_prune_points": using("SELECT tid FROM mesh_t WHERE a IN (FROM good) OR b IN (FROM good) OR c IN (FROM good)", **MESH, points=POINTS, good=f"SELECT DISTINCT a.vid FROM mesh_v a JOIN points b ON {DIST} <= 0.0213"),
     "vertex_normals": using("SELECT vid, " + ", ".join(f"round(CASE WHEN s > 0 THEN {c} / s ELSE {e} END, 6) + 0.0::DOUBLE AS {c}" for c, e in (("nx", 0.0), ("ny", 0.0), ("nz", 1.0))) + " FROM (SELECT v.vid, nx, ny, nz, sqrt(nx * nx + ny * ny + nz * nz) AS s FROM mesh_v v LEFT JOIN (SELECT vid, sum(nx) AS nx, sum(ny) AS ny, sum(nz) AS nz FROM (SELECT unnest([a, b, c]) AS vid, nx, ny, nz FROM tri) GROUP BY vid) n ON n.vid = v.vid)", **MESH),
 }
+
+def drawn(salt: int) -> str:
+    return f"((p_partkey::BIGINT * 2654435761 + {salt * 7919}) % 1000003 / 1000003.0::DOUBLE)"
+
+
+ORACLES |= {
+    "spacing_quantile": using(f"SELECT {r('spacing')} FROM (SELECT quantile_cont(d, 0.1) AS spacing FROM near)", points=POINTS, near=NEAR % 7),
+    "index_selection": using("SELECT pid, EXISTS (FROM supplier WHERE s_suppkey = pid) AS selected FROM points", points=POINTS),
+    "weighted_adjacency": using("SELECT u, v, round(w, 6) AS w FROM arcs WHERE arcs.w >= 0.0513", points=POINTS, pairs=PAIRS % 0.1, arcs=BOTH),
+    "largest_groups": using('SELECT component AS "group", n, row_number() OVER (ORDER BY n DESC, component) AS rank FROM (SELECT component, count(*) AS n FROM (SELECT a, min(b) AS component FROM reach GROUP BY a) GROUP BY component) ORDER BY n DESC, component LIMIT 128', True, points=POINTS, pairs=PAIRS % 0.06, arcs=BOTH, reach=REACH),
+    "contour_links": using("SELECT a.row, a.col, b.row AS row2, b.col AS col2 FROM edge a JOIN edge b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND (b.row, b.col) > (a.row, a.col)", mask=MASK, ring=RING, edge="SELECT row, col FROM ring WHERE p2 + p4 + p6 + p8 < 4"),
+    "random_sample": f"SELECT p_partkey AS trial, 4 + floor({drawn(1)} * 21)::BIGINT AS k, 1 + floor({drawn(2)} * 10)::BIGINT AS rounds, round(0.01::DOUBLE + {drawn(3)} * 0.19::DOUBLE, 6) AS sigma, round({drawn(4)} * 0.1::DOUBLE, 6) + 0.0::DOUBLE AS outlier FROM part",
+}
 ORACLES |= {
     "em_estep": ORACLES["em_estep_all"],
     "gaussian_blur": ORACLES["gaussian_blur_frames"],

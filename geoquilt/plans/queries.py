@@ -193,6 +193,28 @@ def side_bins(s, d):
     return views.oriented_points(s, d).select("pid", shapes.angle_bin(shapes.angle_to(REFERENCE)).alias("bin"))
 
 
+@query
+def spacing_quantile(s, d):
+    return clouds.spacing_quantile(views.points(s, d)).select(*r6("spacing"))
+
+
+@query
+def index_selection(s, d):
+    p, index = views.points(s, d), views.poses(s, d).select(F.col("frame").alias("pid"))
+    kept, rest = (clouds.select_rows(p, index, invert).select("pid", F.lit(not invert).alias("selected")) for invert in (False, True))
+    return kept.unionByName(rest)
+
+
+@query
+def weighted_adjacency(s, d):
+    return graphs.weighted_adjacency(_nodes(s, d), spatial.radius_pairs(views.points(s, d), 0.1).drop("w"), 0.0513).select("u", "v", *r6("w"))
+
+
+@query
+def largest_groups(s, d):
+    return graphs.largest_groups(graphs.label_components(_nodes(s, d), spatial.radius_pairs(views.points(s, d), 0.06)), "component")
+
+
 @query
 def inplane_quadrants(s, d):
     return shapes.quadrants(views.oriented_points(s, d), REFERENCE)
@@ -341,6 +363,11 @@ def contour(s, d):
     return raster.contour(views.mask(s, d))
 
 
+@query
+def contour_links(s, d):
+    return raster.contour_links(views.mask(s, d))
+
+
 @query
 def zhang_suen_pass(s, d):
     return raster.zhang_suen_pass(views.mask(s, d), False)
@@ -458,6 +485,15 @@ def objective_topk(s, d):
     return search.top_trials(views.trials(s, d), 5).select("trial", *r6("loss"))
 
 
+#: Parameters of a fit: low, high, whole.
+SPACE = {"k": (4, 24, True), "rounds": (1, 10, True), "sigma": (0.01, 0.2, False), "outlier": (0.0, 0.1, False)}
+
+
+@query
+def random_sample(s, d):
+    return search.random_sample(views.trials(s, d).select("trial"), "trial", SPACE).select("trial", "k", "rounds", *r6("sigma", "outlier"))
+
+
 @query
 def moving_avg_trials(s, d):
     series = views.trials(s, d).withColumn("series", F.col("trial") % 8)

@@ -366,3 +366,46 @@ def test_distances_are_exact_at_any_reach(spark):
     got = {(r.row, r.col): r.d2 for r in raster.distance_to(frame(cells), frame(targets), 2).collect()}
     assert got == {(r, c): min((r - a) ** 2 + (c - b) ** 2 for a, b in targets) for r, c in cells}
     assert {r.d2 for r in raster.distance_to(frame(cells), frame([])).collect()} == {None}
+
+
+def test_spacing_quantile_of_a_line_and_of_two_points(spark, line):
+    assert clouds.spacing_quantile(line, 1).first()["spacing"] == 1.0
+    assert clouds.spacing_quantile(line.limit(2), 1).first()["spacing"] == 1.0
+    assert clouds.spacing_quantile(line.limit(0), 1).first()["spacing"] == 1.0
+    far = frame(spark, [(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 3.0, 0.0, 0.0)])  # distances 1, 1, 2
+    assert math.isclose(clouds.spacing_quantile(far, 1, 0.75).first()["spacing"], 1.5)
+
+
+def test_selected_and_other_rows_make_up_the_cloud(spark, line):
+    index = spark.createDataFrame([(3,), (3,), (7,), (99,), (None,)], "pid long")
+    ids = lambda df: sorted(r["pid"] for r in df.collect())
+    assert ids(clouds.select_rows(line, index)) == [3, 7]
+    assert ids(clouds.select_rows(line, index, invert=True)) == [0, 1, 2, 4, 5, 6, 8, 9]
+
+
+def test_short_edges_leave_the_adjacency(spark, line):
+    edges = spark.createDataFrame([(0, 1), (0, 4), (2, 2)], "u long, v long")
+    nodes = line.withColumnRenamed("pid", "vid")
+    found = {tuple(r) for r in graphs.weighted_adjacency(nodes, edges, 0.5).collect()}
+    assert found == {(0, 1, 1.0), (1, 0, 1.0), (0, 4, 4.0), (4, 0, 4.0)}
+
+
+def test_groups_of_equal_size_rank_by_label(spark):
+    parts = spark.createDataFrame([(i, g) for i, g in enumerate([5, 5, 2, 2, 9, 7, 7, 7])], "vid long, component long")
+    found = [tuple(r) for r in graphs.largest_groups(parts, "component", 3).orderBy("rank").collect()]
+    assert found == [(7, 3, 1), (2, 2, 2), (5, 2, 3)]
+    assert graphs.largest_groups(parts.limit(0), "component").count() == 0
+
+
+def test_contour_links_of_a_square(spark):
+    cells = spark.createDataFrame(list(itertools.product(range(3), repeat=2)), "row long, col long")
+    found = {tuple(r) for r in raster.contour_links(cells).collect()}
+    ring = set(itertools.product(range(3), repeat=2)) - {(1, 1)}
+    assert found == {(*a, *b) for a in ring for b in ring if a < b and max(abs(a[0] - b[0]), abs(a[1] - b[1])) == 1}
+
+
+def test_samples_stay_in_their_space(spark):
+    space = {"n": (2, 5, True), "x": (-1.0, 1.0, False)}
+    rows = search.random_sample(spark.range(2000), "id", space).collect()
+    assert {r["n"] for r in rows} == {2, 3, 4, 5} and all(-1 <= r["x"] < 1 for r in rows)
+    assert search.random_sample(spark.range(2000), "id", space).collect() == rows
