@@ -19,8 +19,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Between words: ASCII white space.
-SPACE = r"[\x20\x09-\x0D]+"
+from geoquilt.storage import stored
+
+#: A word, which holds anything but ASCII white space, and the white space before it.
+WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 #: For each weight the multipliers at the start and the end of training; their mean is 1.
 TILTS = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
@@ -30,9 +32,13 @@ ROWS_PER_BUCKET, MAX_BUCKETS = 512, 1 << 20
 
 
 def word_count(text: Column) -> Column:
-    """Number of words of ``text``; null has none."""
-    spaced = F.trim(F.regexp_replace(text, SPACE, " "))
-    return F.when(spaced != "", F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1).otherwise(0).cast("long")
+    """Number of words of ``text``; null has none.
+
+    A word put last lets every match end in a word, and one character per word
+    is kept, so a text of any length needs no list of its words.
+    """
+    words = F.length(F.regexp_replace(F.concat(text, F.lit(" x")), WORD, "x")) - 1
+    return F.coalesce(words, F.lit(0)).cast("long")
 
 
 def source_targets(
@@ -109,16 +115,18 @@ def mix(
     null source is a source of its own, rows with equal or null doc_id are kept
     apart (rows equal in id and text are interchangeable) and dealt by their text,
     so that no id fills a bucket.  Texts of any length are counted whole.  Reruns agree.
+
+    Texts are read once: id, source, size and hash of every row are stored, and
+    both the bucket sums and the windows start from them.
     """
-    spark = docs.sparkSession
     sized = docs.select(
         "doc_id",
         "source",
         word_count(F.col("text")).alias("size"),
         F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.md5(F.coalesce("text", F.lit(""))))).alias("h"),
     )
-    n_rows = docs.count()
-    buckets = min(MAX_BUCKETS, max(16, -(-n_rows // rows_per_bucket)))
+    sized = stored(sized, "mix-sizes")
+    buckets = min(MAX_BUCKETS, max(16, -(-sized.count() // rows_per_bucket)))
     # order-preserving: the first 8 hex digits of the hash, scaled
     prefix = F.conv(F.substring("h", 1, 8), 16, 10).cast("long")
     sized = sized.withColumn("bucket", F.floor(prefix * buckets / F.lit(1 << 32)).cast("int"))
