@@ -214,6 +214,14 @@ def greedy_cluster(points: DataFrame, radius: float, max_rounds: int | None = No
     return state.join(first, F.col("pid") == F.col("high"), "left").select("pid", F.when(F.col("s") == "C", F.col("pid")).otherwise(F.col("center")).alias("center"))
 
 
+def inclusive_clusters(points: DataFrame, radius: float) -> DataFrame:
+    """(center, n, x, y, z): number and mean of all points within ``radius`` of each greedy center, also those of other clusters."""
+    assigned = greedy_cluster(points, radius)
+    seeds = points.select("pid", *XYZ).join(assigned.where("pid = center").select("center"), F.col("pid") == F.col("center"), "left_semi")
+    near = radius_join(seeds, points.select(F.col("pid").alias("member"), *XYZ), radius, "pid", "member")
+    return near.groupBy(F.col("pid").alias("center")).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in XYZ])
+
+
 def mesh_edges(triangles: DataFrame) -> DataFrame:
     """Canonical distinct edges of triangles (tid, a, b, c)."""
     sides = F.array(*[F.struct(F.col(p).alias("u"), F.col(q).alias("v")) for p, q in (("a", "b"), ("b", "c"), ("c", "a"))])

@@ -165,6 +165,7 @@ ORACLES: dict[str, str] = {
     "em_estep_all": using("SELECT i, j, round(w / (sum(w) OVER (PARTITION BY j) + 0.01::DOUBLE), 6) + 0.0::DOUBLE AS r FROM weights", points=POINTS, weights=f"SELECT a.pid AS i, b.pid AS j, exp(-3.0::DOUBLE * abs(a.pid % 10 / 10.0::DOUBLE - b.pid % 10 / 10.0::DOUBLE)) * exp(-({DIST} * {DIST}) / (2 * 0.08::DOUBLE * 0.08::DOUBLE)) AS w FROM points a JOIN points b ON {DIST} <= 0.2"),
     "boundedness": using(f"SELECT pid AS i, round(coalesce(n, 0) / 64.0::DOUBLE, 6) AS bounded FROM points LEFT JOIN (SELECT i, count(DISTINCT k) AS n FROM rays JOIN dirs ON x * ux + y * uy + z * uz >= cos(radians(30.1)) GROUP BY i) s ON s.i = pid", points=POINTS, near=NEAR % 8, rays="SELECT i, (b.x - a.x) / d AS x, (b.y - a.y) / d AS y, (b.z - a.z) / d AS z FROM near JOIN points a ON a.pid = i JOIN points b ON b.pid = j WHERE d > 0", dirs="SELECT k, sqrt(1 - uz * uz) * cos(k * (pi() * (3 - sqrt(5)))) AS ux, sqrt(1 - uz * uz) * sin(k * (pi() * (3 - sqrt(5)))) AS uy, uz FROM (SELECT k, 1 - (2 * k + 1) / 64.0::DOUBLE AS uz FROM range(64) t(k))"),
     "centeredness": using("SELECT i, round(CASE WHEN md > 0 THEN greatest(1 - sqrt((p.x - mx) * (p.x - mx) + (p.y - my) * (p.y - my) + (p.z - mz) * (p.z - mz)) / md, 0) ELSE 0 END, 6) + 0.0::DOUBLE AS centered FROM (SELECT i, avg(d) AS md, avg(b.x) AS mx, avg(b.y) AS my, avg(b.z) AS mz FROM near JOIN points b ON b.pid = j GROUP BY i) JOIN points p ON p.pid = i", points=POINTS, near=NEAR % 15),
+    "slab_centeredness": using("SELECT i, n, round(CASE WHEN n < 15 THEN 0 ELSE greatest(least(1 - sqrt(mx * mx + my * my + mz * mz) / (sqrt(greatest(xx + yy + zz + 2 * sqrt(greatest(xx * yy - xy * xy + xx * zz - xz * xz + yy * zz - yz * yz, 0)), 0)) / 2 + 1e-12), 1), 0) END, 6) + 0.0::DOUBLE AS centered FROM (SELECT i, n, mx, my, mz, xx - mx * mx AS xx, yy - my * my AS yy, zz - mz * mz AS zz, xy - mx * my AS xy, xz - mx * mz AS xz, yz - my * mz AS yz FROM (SELECT i, count(*) AS n, avg(qx) AS mx, avg(qy) AS my, avg(qz) AS mz, avg(qx * qx) AS xx, avg(qy * qy) AS yy, avg(qz * qz) AS zz, avg(qx * qy) AS xy, avg(qx * qz) AS xz, avg(qy * qz) AS yz FROM flat GROUP BY i))", points=ORIENTED, held=f"SELECT a.pid AS i, b.x - a.x AS ox, b.y - a.y AS oy, b.z - a.z AS oz, a.nx, a.ny, a.nz, (b.x - a.x) * a.nx + (b.y - a.y) * a.ny + (b.z - a.z) * a.nz AS p FROM points a JOIN points b ON {DIST} <= 0.3", flat="SELECT i, ox - p * nx AS qx, oy - p * ny AS qy, oz - p * nz AS qz FROM held"),
     "smoothness": using("SELECT vid, round(degrees(acos(least(greatest(c, -1), 1))), 4) + 0.0::DOUBLE AS angle, round(abs(c), 6) AS smooth, round(length, 6) AS length FROM (SELECT o.pid AS vid, ((p.x - o.x) * (q.x - o.x) + (p.y - o.y) * (q.y - o.y) + (p.z - o.z) * (q.z - o.z)) / (sqrt((p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y) + (p.z - o.z) * (p.z - o.z)) * sqrt((q.x - o.x) * (q.x - o.x) + (q.y - o.y) * (q.y - o.y) + (q.z - o.z) * (q.z - o.z))) AS c, (e.w + f.w) / 2 AS length FROM two JOIN arcs e ON e.u = two.u JOIN arcs f ON f.u = two.u AND e.v < f.v JOIN points o ON o.pid = two.u JOIN points p ON p.pid = e.v JOIN points q ON q.pid = f.v)", points=POINTS, pairs=PAIRS % 0.04, arcs=BOTH, two="SELECT u FROM arcs GROUP BY u HAVING count(*) = 2"),
     "boundary_points": using("SELECT pid, round(share, 6) AS share FROM (SELECT i AS pid, (count(*) FILTER (a.cloud = b.cloud) + 1) / (count(*) + 1)::DOUBLE AS share FROM near JOIN points a ON a.pid = i JOIN points b ON b.pid = j GROUP BY i) WHERE share < 0.55::DOUBLE", points=POINTS, near=NEAR % 8),
     "resample_polyline": using(

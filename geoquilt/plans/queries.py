@@ -428,6 +428,18 @@ def greedy_cluster(s, d):
     return graphs.greedy_cluster(views.points(s, d), 0.12)
 
 
+@query
+def inclusive_clusters(s, d):
+    return graphs.inclusive_clusters(views.points(s, d), 0.12).select("center", "n", *r6(*XYZ))
+
+
+@query
+def slab_centeredness(s, d):
+    """Sections across the normals of all points."""
+    samples = views.oriented_points(s, d).select(F.col("pid").alias("i"), *XYZ, *[F.col(f"n{c}").alias(f"u{c}") for c in XYZ])
+    return metrics.slab_centeredness(samples, _targets(s, d), 0.3).select("i", "n", *r6("centered"))
+
+
 @query
 def adaptive_graph(s, d):
     return graphs.adaptive_graph(views.points(s, d), 10, 2.2, math.cos(math.radians(70.1)))

@@ -409,3 +409,28 @@ def test_samples_stay_in_their_space(spark):
     rows = search.random_sample(spark.range(2000), "id", space).collect()
     assert {r["n"] for r in rows} == {2, 3, 4, 5} and all(-1 <= r["x"] < 1 for r in rows)
     assert search.random_sample(spark.range(2000), "id", space).collect() == rows
+
+
+def test_inclusive_clusters_average_all_points_in_reach(spark):
+    p = frame(spark, [(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 2.0, 0.0, 0.0), (3, 9.0, 0.0, 0.0)])
+    got = {r.center: (r.n, r.x) for r in graphs.inclusive_clusters(p, 1.0).collect()}
+    assert got == {0: (2, 0.5), 2: (2, 1.5), 3: (1, 9.0)}
+    assert graphs.inclusive_clusters(frame(spark, []), 1.0).count() == 0
+
+
+def test_slab_centeredness_equals_singular_values(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(120, 3)) * (1.0, 2.0, 0.5)
+    u = np.array([0.6, 0.0, 0.8])
+    g, h = np.array([0.8, 0.0, -0.6]), np.array([0.0, 1.0, 0.0])
+    at = [(0.0, 0.0, 0.0), (0.5, 0.3, 0.1), (90.0, 0.0, 0.0)]
+    samples = spark.createDataFrame([(i, *map(float, a), *map(float, u)) for i, a in enumerate(at)], "i long, x double, y double, z double, ux double, uy double, uz double")
+    points = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "j long, x double, y double, z double")
+    got = {r.i: (r.n, r.centered) for r in metrics.slab_centeredness(samples, points, 2.0).collect()}
+    for i, a in enumerate(at[:2]):
+        o = x[np.linalg.norm(x - a, axis=1) <= 2.0] - a
+        y = np.stack([o @ g, o @ h], axis=1)
+        sigma = np.linalg.svd(y - y.mean(0), compute_uv=False) / np.sqrt(len(y))
+        assert got[i][0] == len(o)
+        assert abs(got[i][1] - np.clip(1 - np.linalg.norm(y.mean(0)) / sigma.mean(), 0, 1)) < 1e-9
+    assert got[2] == (0, 0.0)
