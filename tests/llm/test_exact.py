@@ -64,6 +64,14 @@ def test_mix_meets_targets_exactly(spark):
     assert [(r.doc_id, r.taken) for r in sorted(got, key=key)] == [(r.doc_id, r.taken) for r in sorted(again, key=key)]
 
 
+def test_words_are_counted_whole(spark):
+    long = "w\u00e4 \t" * 300_000
+    texts = [None, "", " ", "\t\n", "a", " a", "a ", "a b", "  a\x0b b\r\n c ", "\u00e9 \u00fc x", "x", "\x00 a", "a\x85b", long, long + "x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = [r.n for r in df.select("i", curriculum.word_count(F.col("text")).alias("n")).orderBy("i").collect()]
+    assert got == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
 def test_positions_follow_the_schedule(spark):
     rows = [(i, "w " * 10, s) for i, s in enumerate(["a", "b", "c"] * 200)]
     order = curriculum.training_order(curriculum.mix(docs(spark, rows)), 4)
