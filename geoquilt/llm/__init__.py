@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoquilt.llm import q_curriculum, q_decontam, q_kd_shards, q_multi_index, q_near_dedup, q_quality, q_quotes, q_secrets, q_toxicity, q_url_rules, q_warc
+from geoquilt.llm import q_curriculum, q_decontam, q_divergence, q_kd_shards, q_multi_index, q_near_dedup, q_quality, q_quotes, q_secrets, q_token_align, q_toxicity, q_url_rules, q_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_roundtrip": q_warc.op1_warc_roundtrip,
@@ -21,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_dedup": q_multi_index.op9_embedding_dedup,
     "op10_curriculum_mix": q_curriculum.op10_curriculum_mix,
     "op11_kd_shards": q_kd_shards.op11_kd_shards,
+    "op12_source_divergence": q_divergence.op12_source_divergence,
+    "op13_token_alignment": q_token_align.op13_token_alignment,
 }
 ORACLES: dict[str, str] = {
     "op1_warc_roundtrip": q_warc.SQL,
@@ -32,4 +34,5 @@ ORACLES: dict[str, str] = {
     "op9_embedding_dedup": q_multi_index.SQL,
     "op10_curriculum_mix": q_curriculum.SQL,
     "op11_kd_shards": q_kd_shards.SQL,
+    "op12_source_divergence": q_divergence.SQL,
 }
