@@ -167,8 +167,8 @@ class ToxicityModel:
         if not hasattr(self, "automaton"):
             self.automaton, self.cache, self.bridges = Automaton(self.words), {}, {}
             self.far = Automaton({w: x for w, x in self.words.items() if len(w) >= FAR_LENGTH}, 2)
-            plain = {squeezed(w) for w in self.words}
-            self.squeezed = Automaton({squeezed(w): x for w, x in self.words.items() if len(squeezed(w)) >= SQUEEZED_LENGTH}) if plain else None
+            short = {squeezed(w): x for w, x in self.words.items()}
+            self.squeezed = Automaton({w: x for w, x in short.items() if len(w) >= SQUEEZED_LENGTH})
 
     def near(self, word: str) -> tuple[float, bool]:
         """Weight of the best term that a word may be a spelling of, and whether it is misspelt."""
