@@ -5,9 +5,11 @@ which terms of a test window are the rarest, and the postings, (term, text key,
 position), are stored for the two rarest of each.
 The list of the rarest term, shifted by its offset, gives the places where a
 window could start; intersecting it with the shifted list of the next rarest
-leaves few.  Texts that hold such a place are read again and all terms of the
-window are compared: each in its place for an exact match, each within ``slop``
-words of it for a proximity match.  A text key is a 128-bit hash of the text, so
+leaves few.  Texts that hold such a place give the postings of all their terms, and
+these are intersected too: a place counts the terms that stand at its start plus
+their offset (exact match), or within ``slop`` words of there (proximity match).
+Every place is a row, so a text of millions of repeated words is dealt over many
+tasks.  A text key is a 128-bit hash of the text, so
 exact copies, however many, share one posting list.
 
 Only DataFrame functions are used.
@@ -15,7 +17,7 @@ Only DataFrame functions are used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoquilt.storage import broadcast_within, discard, stored
@@ -77,8 +79,8 @@ def cut_texts(docs: DataFrame) -> DataFrame:
 
 def term_counts(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Occurrences over all ``cut_texts`` of each term of ``vocabulary(term)``; absent ones are left out."""
-    counts = texts.select(F.explode(F.split("cut", " ")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    return counts.join(broadcast_within(vocabulary, TERM_BYTES), F.col("token") == F.col("term")).select("term", "n")
+    tokens = texts.select(F.explode(F.split("cut", " ")).alias("token"))
+    return tokens.join(broadcast_within(vocabulary, TERM_BYTES), F.col("token") == F.col("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
 def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -109,16 +111,16 @@ def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def build_index(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Stored windows (with their rarest terms) and stored postings of those terms: distinct (term, key, pos)."""
+def build_index(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored windows (with their rarest terms), postings of those terms, distinct (term, key, pos), and ``cut_texts``."""
     windows = stored(test_windows(benchmark, window), "windows")
     texts = cut_texts(docs)
     counts = stored(term_counts(texts, windows.select(F.explode("terms").alias("term")).distinct()), "term-counts")
     ranked = stored(rarest_terms(windows, counts), "ranked-windows")
     wanted = ranked.select(F.col("t1").alias("term")).union(ranked.select("t2")).distinct()
     index = stored(postings(texts, wanted), "postings")
-    discard(windows, texts)
-    return ranked, index
+    discard(windows, counts)
+    return ranked, index, texts
 
 
 def intersect(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
@@ -145,62 +147,69 @@ def intersect(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
     return placed.groupBy("key", "phrase", "start").agg(F.max(off == 0).alias("exact"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """``docs`` with n_words, hits, near and contaminated.
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Stored (key, phrase, start, n, exact) of every match of a test window in a text, and the stored windows.
 
-    ``hits`` are (start, n, items) of every exact occurrence of a test window in
-    the whole text, and any makes it ``contaminated``.  ``near`` are (phrase, items)
-    of the windows that have a proximity match: a start from which every term of
-    the window stands within ``slop`` words of its place; with a slop of 0 these
-    are the exact ones.  Null texts have no words and no hits, repeated rows get
+    A match is a start from which each of the window's ``n`` terms stands within
+    ``slop`` words of its place; it is ``exact`` if each stands in it.
+    """
+    windows, index, texts = build_index(docs, benchmark, window)
+    places = stored(intersect(index, windows, slop).select("key", "phrase", "start"), "places")
+    terms = windows.select(F.col("phrase").alias("w_phrase"), F.size("terms").alias("n"), F.posexplode("terms").alias("offset", "term"))
+    # all terms of the texts with a place, once per text
+    held = texts.join(places.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("cut").alias("cut"))
+    tokens = held.select("key", F.posexplode(F.split("cut", " ")).alias("pos", "token"))
+    tokens = tokens.join(broadcast_within(terms.select("term").distinct(), TERM_BYTES), F.col("token") == F.col("term"))
+    shifts = F.array(*map(F.lit, range(-slop, slop + 1)))
+    near = tokens.select("key", "term", "pos", F.explode(shifts).alias("shift")).groupBy(F.col("key").alias("t_key"), F.col("term").alias("t_term"), (F.col("pos") + F.col("shift")).alias("t_pos"))
+    near = near.agg(F.max((F.col("shift") == 0).cast("int")).alias("here"))
+    starts = places.select("key", "phrase", F.explode(shifts).alias("shift"), "start").select("key", "phrase", (F.col("start") + F.col("shift")).alias("start")).distinct()
+    wanted = starts.join(broadcast_within(terms, WINDOW_BYTES), F.col("phrase") == F.col("w_phrase")).select("key", "phrase", "start", "n", "term", (F.col("start") + F.col("offset")).alias("pos"))
+    met = wanted.join(near, (F.col("key") == F.col("t_key")) & (F.col("pos") == F.col("t_pos")) & (F.col("term") == F.col("t_term")))
+    found = met.groupBy("key", "phrase", "start", "n").agg(F.count("*").alias("terms"), F.sum("here").alias("here")).where(F.col("terms") == F.col("n"))
+    found = stored(found.select("key", "phrase", "start", "n", (F.col("here") == F.col("n")).alias("exact")), "matches")
+    discard(index, texts, places)
+    return found, windows
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, spans: bool = True) -> DataFrame:
+    """``docs`` with n_words, n_hit, items, n_near and contaminated, and with ``spans`` also hits and near.
+
+    ``n_hit`` words of the whole text stand in exact occurrences of test windows, those
+    of the sorted ``items``, and any makes it ``contaminated``; ``n_near`` windows have a proximity match: a start
+    from which every term of the window stands within ``slop`` words of its place; with a slop of 0 these
+    are the exact ones.  ``hits`` lists (start, n, items) of every exact occurrence, ``near``
+    (phrase, items) of the windows with a proximity match.
+    Null texts have no words and no hits, repeated rows get
     equal results, an empty benchmark gives no hits, and texts of any length are
     compared whole.  A column of ``docs`` that bears one of the new names is replaced.
     """
-    windows, index = build_index(docs, benchmark, window)
-    places = intersect(index, windows, slop).groupBy("key", "phrase").agg(
-        F.collect_list(F.when(F.col("exact") & (F.col("start") >= 0), F.col("start"))).alias("starts"), F.collect_list("start").alias("bases")
-    )
-    terms = broadcast_within(windows.select(F.col("phrase").alias("phrase2"), "items"), WINDOW_BYTES)
-    candidates = (
-        places.join(terms, F.col("phrase") == F.col("phrase2"))
-        .groupBy(F.col("key").alias("__key"))
-        .agg(F.collect_list(F.struct("phrase", "items", "starts", "bases")).alias("__places"))
-    )
-    keyed = docs.withColumn("__text_key", text_key(F.col("text")))
+    found, windows = matches(docs, benchmark, window, slop)
+    items = broadcast_within(windows.select(F.col("phrase").alias("i_phrase"), F.col("items").alias("own")), WINDOW_BYTES)
+    exact = found.where("exact")
+    # covered words: each occurrence adds what lies behind the furthest end before it; the window is over one text
+    furthest = F.max(F.col("start") + F.col("n")).over(Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    longest = exact.groupBy("key", "start").agg(F.max("n").alias("n")).withColumn("from", F.greatest(F.col("start"), F.coalesce(furthest, F.lit(0))))
+    covered = longest.groupBy("key").agg(F.sum(F.greatest(F.col("start") + F.col("n") - F.col("from"), F.lit(0))).alias("n_hit"))
+    with_items = lambda rows: rows.join(items, F.col("phrase") == F.col("i_phrase"))
+    named = with_items(exact.select("key", "phrase").distinct()).groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("own")))).alias("items"))
+    close = found.select("key", "phrase").distinct()
+    parts = [covered, named, close.groupBy("key").agg(F.count("*").alias("n_near"))]
+    if spans:
+        parts.append(with_items(exact).groupBy("key").agg(F.collect_list(F.struct("start", "n", F.col("own").alias("items"))).alias("hits")))
+        parts.append(with_items(close).groupBy("key").agg(F.collect_list(F.struct("phrase", F.col("own").alias("items"))).alias("near")))
+    per_text = found.select("key").distinct()
+    for part in parts:
+        per_text = per_text.join(part, "key", "left")
+    new = ["n_words", "n_hit", "items", "n_near", *(["hits", "near"] if spans else []), "contaminated"]
     # stored, so that its exchange is a join's own and Spark can split a text that very many rows share
-    candidates = stored(candidates, "candidates")
-    discard(index)
-    joined = keyed.join(candidates, F.col("__text_key") == F.col("__key"), "left")
-    joined = joined.withColumn("__words", F.when(F.col("__key").isNotNull(), words(F.col("text"))))
-
-    def exact(p: Column) -> Column:
-        """Occurrences of a window among its exact places."""
-        n = F.size(F.split(p["phrase"], " "))
-        true = F.filter(p["starts"], lambda s: F.array_join(F.slice("__words", s + 1, n), " ") == p["phrase"])
-        return F.transform(true, lambda s: F.struct(s.alias("start"), n.alias("n"), p["items"].alias("items")))
-
-    def is_near(p: Column) -> Column:
-        """Whether from some start, at most ``slop`` off a place, all terms are near theirs."""
-        term = F.transform(F.split(p["phrase"], " "), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-
-        def fits(start: Column) -> Column:
-            low = lambda x: F.greatest(start + x["i"] - slop, F.lit(0))
-            stretch = lambda x: F.slice("__words", low(x) + 1, F.greatest(start + x["i"] + slop + 1 - low(x), F.lit(0)))
-            return F.forall(term, lambda x: F.array_contains(stretch(x), x["t"]))
-
-        return F.exists(p["bases"], lambda b: F.exists(F.sequence(b - slop, b + slop), fits))
-
-    hits = F.flatten(F.transform("__places", exact))
-    near = F.transform(F.filter("__places", is_near), lambda p: F.struct(p["phrase"].alias("phrase"), p["items"].alias("items")))
-    out = joined.withColumns(
-        {
-            "n_words": word_count(F.col("text")),
-            "hits": F.coalesce(hits, F.array().cast(HITS)),
-            "near": F.coalesce(near, F.array().cast("array<struct<phrase:string,items:array<string>>>")),
-        }
-    ).withColumn("contaminated", F.size("hits") > 0)
-    new = ("n_words", "hits", "near", "contaminated")
-    return out.select(*[c for c in docs.columns if c not in new], *new)
+    per_text = stored(per_text.select(F.col("key").alias("__key"), *[F.col(c).alias(f"__{c}") for c in new[1:-1]]), "contaminated-texts")
+    discard(found, windows)
+    joined = docs.withColumn("__text_key", text_key(F.col("text"))).join(per_text, F.col("__text_key") == F.col("__key"), "left")
+    empty = {"items": "array<string>", "hits": HITS, "near": "array<struct<phrase:string,items:array<string>>>"}
+    none = lambda c: F.array().cast(empty[c]) if c in empty else F.lit(0).cast("long")
+    kept = [F.col(c) for c in docs.columns if c not in new]
+    return joined.select(*kept, word_count(F.col("text")).alias("n_words"), *[F.coalesce(f"__{c}", none(c)).alias(c) for c in new[1:-1]], (F.coalesce("__n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
 def hit_digest(hits: Column) -> dict[str, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoquilt.llm.decontam import SLOP, contamination, hit_digest
+from geoquilt.llm.decontam import SLOP, contamination
 from geoquilt.storage import table
 
 
@@ -15,10 +15,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     And n_near: the windows of which every word stands within one word of its place.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = contamination(docs, table(spark, sf_dir, "benchmark"), slop=SLOP)
-    return found.withColumns(hit_digest(F.col("hits"))).select(
-        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.size("near").cast("long").alias("n_near")
-    )
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), slop=SLOP, spans=False)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", "n_near",
+    )
 
 
 SQL = r"""

@@ -287,6 +287,14 @@ def test_proximity_equals_brute_force(spark, slop):
     assert all(r.contaminated == bool(hits_of(r.text, items)[1]) for r in got)
 
 
+def test_long_texts_of_one_word(spark):
+    n = 1_000_000
+    bench = spark.createDataFrame([(1, "the"), (2, " ".join(["the"] * 10)), (3, "the end")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.contamination(docs(spark, [(1, "the " * n, "s"), (2, "an end", "s"), (3, "the " * 5 + "end", "s")]), bench, spans=False).collect()}
+    assert (got[1].n_words, got[1].n_hit, got[1]["items"], got[1].n_near) == (n, n, ["1", "2"], 2)
+    assert (got[2].n_hit, got[3].n_hit, got[3]["items"]) == (0, 6, ["1", "3"])
+
+
 # --- near duplicates --------------------------------------------------------
 
 
