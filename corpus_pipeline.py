@@ -32,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window; null and empty texts hold none."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), spans=False)
     return found.where(~F.col("contaminated")).select(*docs.columns)
 
 
