@@ -1,25 +1,23 @@
-"""Text, PLY and JSON sources and sinks, read by Spark and parsed in the plan."""
+"""Text and JSON sources and sinks, read by Spark and parsed in the plan."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoquilt.operators.clouds import decode_text, encode_text
+from geoquilt.storage import listed
 
-CANDIDATES = ("final_merged.ply", "merged.ply")
 POSE = "x double, y double, z double, rx double, ry double, rz double"
 #: Fallbacks of camera intrinsics, field by field: width, height, focal lengths, principal point.
 INTRINSICS = {"width": 1280.0, "height": 720.0, "fx": 920.0, "fy": 920.0, "ppx": 640.0, "ppy": 360.0}
 
 
 def read_text_cloud(spark: SparkSession, path: str) -> DataFrame:
-    """A (gzipped) text cloud of nine fields a line; pid is the line's hash order, so equal lines stay apart.
+    """A (gzipped) text cloud of nine fields a line.
 
-    A file has no row numbers that survive splitting, so ids follow the text
-    within a file, then the place among equal lines.
+    pid ascends with the lines of a file as they are read; it is unique, but has gaps
+    between the files and may differ where Spark deals the files otherwise.
     """
     lines = spark.read.text(path).where(F.trim("value") != "")
     return decode_text(lines.select(F.monotonically_increasing_id().alias("pid"), "value"))
@@ -31,70 +29,21 @@ def write_text_cloud(points: DataFrame, path: str) -> None:
 
 
 def read_poses(spark: SparkSession, path: str) -> DataFrame:
-    """(frame, x, y, z, rx, ry, rz) of a JSON object of poses by frame name."""
+    """(frame, x, y, z, rx, ry, rz) of a JSON object of poses by frame name; a missing file has none."""
+    if not listed(spark, path):
+        return spark.createDataFrame([], f"frame string, {POSE}")
     whole = spark.read.text(path, wholetext=True)
     entries = F.explode(F.from_json("value", f"map<string,struct<{POSE.replace(' ', ':')}>>".replace(",:", ","))).alias("frame", "pose")
     return whole.select(entries).select("frame", "pose.*")
 
 
 def read_intrinsics(spark: SparkSession, path: str) -> DataFrame:
-    """One row of intrinsics; a missing, malformed or null field takes its fallback."""
-    whole = spark.read.text(path, wholetext=True)
+    """One row of intrinsics; a missing file, and a missing, malformed or null field takes its fallback."""
+    whole = spark.read.text(path, wholetext=True) if listed(spark, path) else spark.range(1).select(F.lit("{}").alias("value"))
     field = lambda k, paths: F.coalesce(*[F.expr(f"try_cast(get_json_object(value, '$.intrinsics.color.{p}') AS double)") for p in paths], F.lit(INTRINSICS[k])).alias(k)
     return whole.select(*[field(k, (k,)) for k in INTRINSICS])
 
 
-def _header(lines: Sequence[str]) -> tuple[int, list[str]]:
-    """Number of vertices and their property names of an ASCII PLY header."""
-    if not lines or lines[0].strip() != "ply":
-        raise ValueError("not a PLY file")
-    if "format ascii 1.0" not in [x.strip() for x in lines]:
-        raise ValueError("only ASCII PLY is read")
-    count, names, element = 0, [], ""
-    for x in lines:
-        parts = x.split()
-        if parts[:1] == ["element"]:
-            element = parts[1]
-            count = int(parts[2]) if element == "vertex" else count
-        elif parts[:1] == ["property"] and element == "vertex":
-            names.append(parts[-1])
-    return count, names
-
-
-def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """Vertices of an ASCII PLY file: pid, its properties as doubles, colors scaled to [0, 1] as r, g, b.
-
-    The header is read on the driver (it ends within the first hundred lines);
-    vertices are parsed where their lines are.  Lines before the end of the
-    header, and those after the last vertex, are told by their number.
-    """
-    numbered = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
-    head = [r.value for r in numbered.where("line < 100").orderBy("line").limit(100).collect()]
-    end = next((i for i, x in enumerate(head) if x.strip() == "end_header"), None)
-    if end is None:
-        raise ValueError("the PLY header has no end")
-    count, names = _header(head[:end])
-    fields = F.split(F.trim("value"), r"\s+")
-    colors = {"red": "r", "green": "g", "blue": "b"}
-
-    def column(i: int, name: str) -> Column:
-        v = F.get(fields, F.lit(i)).cast("double")
-        return (v / 255 if name in colors else v).alias(colors.get(name, name))
-
-    rows = numbered.where((F.col("line") > end) & (F.col("line") <= end + count))
-    return rows.select((F.col("line") - end - 1).cast("long").alias("pid"), *[column(i, n) for i, n in enumerate(names)])
-
-
-def write_ply(points: DataFrame, path: str) -> None:
-    """``points(pid, x, y, z)`` as an ASCII PLY in one text file; for clouds small enough for one file."""
-    n = points.count()
-    head = ["ply", "format ascii 1.0", f"element vertex {n}", *[f"property double {c}" for c in "xyz"], "end_header"]
-    spark = points.sparkSession
-    top = spark.createDataFrame([(i - len(head), v) for i, v in enumerate(head)], "pid long, value string")
-    body = points.select("pid", F.format_string("%.9g %.9g %.9g", "x", "y", "z").alias("value"))
-    top.unionByName(body).repartition(1).sortWithinPartitions("pid").select("value").write.text(path)
-
-
 def write_layers(layers: dict[str, DataFrame], path: str) -> None:
     """Every named relation as Parquet in a folder of its own."""
     for name, df in layers.items():

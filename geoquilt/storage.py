@@ -50,6 +50,13 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Sorted paths that match a pattern, by the store that Spark reads them from."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    store = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return sorted(s.getPath().toString() for s in store.globStatus(place) or ())
+
+
 def broadcast_within(df: DataFrame, row_bytes: int, max_bytes: int = 32 << 20) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows fit ``max_bytes``.
 
