@@ -20,7 +20,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -35,10 +35,6 @@ TOKENIZERS, BYTE_FILE, RANK_FILE, PIECE_FILE = "/opt/tokenizers", "byte_bpe_50k.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A space in pieces, and pieces that stand for one byte.
 SPACE, BYTE_PIECE = "▁", re.compile(r"<0x([0-9A-F]{2})>")
-#: A single space between characters that are no white space: neither tokenizer has a token across it.
-CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Pieces of text kept with their tokens by a worker, none longer than this.
-KEPT_WORDS, KEPT_CHARS = 1 << 18, 64
 #: Links in this many documents or more are looked up in a broadcast, if so many rows of them are all.
 FREQUENT, BROADCAST_ROWS = 16, 1 << 20
 #: A link is a pair of token ids in one number.
@@ -63,7 +59,6 @@ class Tokenizers:
     """
 
     folder: str
-    words: dict[str, tuple] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         import sentencepiece
@@ -73,50 +68,30 @@ class Tokenizers:
         with open(f"{self.folder}/{BYTE_FILE}", encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"] for t in spec.get("added_tokens", ())}
-        self.bytes_a = {i: bytes(symbols[c] for c in t) for t, i in spec["model"]["vocab"].items() if t not in special}
+        known = {i: bytes(symbols[c] for c in t) for t, i in spec["model"]["vocab"].items() if t not in special}
         with open(f"{self.folder}/{RANK_FILE}", "rb") as f:
             ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
-        ids = {t: i for i, t in self.bytes_a.items()}
-        self.id_of_rank = {r: ids[t] for t, r in ranks.items()}
-        self.same_ids = all(r == i for r, i in self.id_of_rank.items())
+        ids = {t: i for i, t in known.items()}
+        self.id_of_rank = [ids[t] for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
+        self.same_ids = self.id_of_rank == list(range(len(ranks)))
         self.ranked = tiktoken.Encoding("byte_bpe_50k", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=f"{self.folder}/{PIECE_FILE}")
         p = self.pieces
         texts = [p.id_to_piece(i) for i in range(p.get_piece_size())]
+        self.bytes_a = [known.get(i, b"") for i in range(max(known) + 1)]
         self.bytes_b = [bytes([int(BYTE_PIECE.fullmatch(t)[1], 16)]) if p.is_byte(i) else t.replace(SPACE, " ").encode() for i, t in enumerate(texts)]
-        # only then do the pieces on both sides of a cut not depend on each other
-        self.separable = not any(SPACE in t.lstrip(SPACE) for i, t in enumerate(texts) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i)))
+        self.sizes_a, self.sizes_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.text_a, self.text_b = (list(map(str, range(len(x)))) for x in (self.bytes_a, self.bytes_b))
 
-    def ids(self, word: str) -> tuple[list[int], list[int], list[int], list[int]] | None:
-        """Ids and byte lengths of both for a text that begins with the added space; null if joined bytes differ."""
-        a = self.ranked.encode_ordinary(word)
+    def encode(self, text: str) -> tuple[list[int], list[int], list[int], list[int]] | None:
+        """Ids of both, and the ends of their tokens, in the bytes of the space and ``text``; null if joined bytes differ."""
+        a = self.ranked.encode_ordinary(" " + text)
         if not self.same_ids:
             a = [self.id_of_rank[r] for r in a]
-        b = self.pieces.encode(word[1:])
-        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if not b"".join(parts_a) == b"".join(parts_b) == word.encode():
+        b = self.pieces.encode(text)
+        if not b"".join(map(self.bytes_a.__getitem__, a)) == b"".join(map(self.bytes_b.__getitem__, b)) == b" " + text.encode():
             return None
-        return a, b, list(map(len, parts_a)), list(map(len, parts_b))
-
-    def encode(self, text: str) -> tuple[list[int], list[int], list[int], list[int]] | None:
-        """As ``ids`` of the space and ``text``, from cuts that are met again and again."""
-        if not self.separable:
-            return self.ids(" " + text)
-        a, b, len_a, len_b = [], [], [], []
-        for word in CUT.split(text):
-            if (found := self.words.get(word, self)) is self:
-                found = self.ids(" " + word)
-                if len(word) <= KEPT_CHARS:
-                    if len(self.words) >= KEPT_WORDS:
-                        self.words.clear()
-                    self.words[word] = found
-            if found is None:
-                return None
-            a += found[0]
-            b += found[1]
-            len_a += found[2]
-            len_b += found[3]
-        return a, b, len_a, len_b
+        return a, b, self.sizes_a[a].cumsum().tolist(), self.sizes_b[b].cumsum().tolist()
 
 
 @lru_cache(maxsize=2)
@@ -125,59 +100,56 @@ def tokenizers(folder: str) -> Tokenizers:
     return Tokenizers(folder)
 
 
-def runs(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """Groups in order as (i, i2, j, j2): a whole run of one-to-one groups at once if i2 - i == j2 - j > 0 and all its ends agree, else one group.
+def run_length(ends_a: list[int], ends_b: list[int], i: int, j: int) -> int:
+    """How many ends from ``i`` and ``j`` on agree at this shift, by blocks that double, then halve."""
+    k, width, left = 0, 1, len(ends_a) - i
+    while k < left and ends_a[i + k : i + k + width] == ends_b[j + k : j + k + width]:
+        k, width = k + width, 2 * width
+    if k >= left:
+        return left  # both lists end here, since their last ends agree
+    while width > 1:
+        width //= 2
+        if ends_a[i + k : i + k + width] == ends_b[j + k : j + k + width]:
+            k += width
+    return k
 
-    Both lists end at the same offset.
-    """
-    i = j = 0
-    n_a, n_b = len(ends_a), len(ends_b)
-    while i < n_a and j < n_b:
-        width, i2, j2 = 1, i, j
-        while i2 < n_a and ends_a[i2 : i2 + width] == ends_b[j2 : j2 + width]:
-            i2, j2, width = min(i2 + width, n_a), min(j2 + width, n_b), width * 2
-        while width > 1:
-            width //= 2
-            if i2 < n_a and ends_a[i2 : i2 + width] == ends_b[j2 : j2 + width]:
-                i2, j2 = min(i2 + width, n_a), min(j2 + width, n_b)
-        if i2 > i:
-            yield i, i2, j, j2
-            i, j = i2, j2
-            continue
-        i2, j2 = i + 1, j + 1
-        while ends_a[i2 - 1] != ends_b[j2 - 1]:
-            if ends_a[i2 - 1] < ends_b[j2 - 1]:
-                i2 += 1
-            else:
-                j2 += 1
-        yield i, i2, j, j2
-        i, j = i2, j2
 
-
-def align(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> tuple[int, str, list[int], list[int]]:
+def align(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int], text_a: list[str], text_b: list[str]) -> tuple[int, str, list[int], list[int]]:
     """Number of groups, their text ``a1,a2|b1;...``, and the two ids of every link in order.
 
+    ``text_a`` and ``text_b`` hold every id as text; both lists of ends reach the same offset.
     Tokens of a group link where their bytes overlap; within a group no inner
     ends agree, so each step along it gives one link.
     """
-    text_a, text_b = list(map(str, a)), list(map(str, b))
     groups: list[str] = []
     link_a: list[int] = []
     link_b: list[int] = []
-    for i, i2, j, j2 in runs(ends_a, ends_b):
-        if i2 - i == j2 - j and ends_a[i] == ends_b[j]:
-            groups += map("|".join, zip(text_a[i:i2], text_b[j:j2], strict=True))
-            link_a += a[i:i2]
-            link_b += b[j:j2]
+    i = j = 0
+    n = len(a)
+    while i < n:
+        x, y = ends_a[i], ends_b[j]
+        if x == y:
+            k = run_length(ends_a, ends_b, i, j)
+            run_a, run_b = a[i : i + k], b[j : j + k]
+            groups += [f"{text_a[p]}|{text_b[q]}" for p, q in zip(run_a, run_b)]  # noqa: B905
+            link_a += run_a
+            link_b += run_b
+            i, j = i + k, j + k
             continue
-        groups.append(",".join(text_a[i:i2]) + "|" + ",".join(text_b[j:j2]))
-        while i < i2:
+        first_a, first_b = i, j
+        while x != y:
             link_a.append(a[i])
             link_b.append(b[j])
-            if ends_a[i] <= ends_b[j]:
-                i, j = i + 1, j + (ends_a[i] == ends_b[j])
+            if x < y:
+                i += 1
+                x = ends_a[i]
             else:
                 j += 1
+                y = ends_b[j]
+        link_a.append(a[i])
+        link_b.append(b[j])
+        i, j = i + 1, j + 1
+        groups.append(",".join([text_a[p] for p in a[first_a:i]]) + "|" + ",".join([text_b[q] for q in b[first_b:j]]))
     return len(groups), ";".join(groups), link_a, link_b
 
 
@@ -185,11 +157,12 @@ def aligned_rows(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """The task: batches of (row, doc_id, text) to rows with the distinct links of each text and how often they occur."""
 
     def one(text: str | None) -> tuple:
-        found = tokenizers(folder).encode(text) if text else None
+        both = tokenizers(folder)
+        found = both.encode(text) if text else None
         if found is None:
             return 0, 0, 0, 0, "", [], []
-        a, b, len_a, len_b = found
-        n, groups, link_a, link_b = align(a, b, np.cumsum(len_a).tolist(), np.cumsum(len_b).tolist())
+        a, b = found[:2]
+        n, groups, link_a, link_b = align(*found, both.text_a, both.text_b)
         links, times = np.unique(np.array(link_a, np.int64) * ID_BASE + np.array(link_b, np.int64), return_counts=True)
         return len(a), len(b), n, len(link_a), hashlib.sha256(groups.encode()).hexdigest(), links, times.astype(np.int32)
 
