@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from geoquilt.functions.linalg import rounded
 from geoquilt.operators import cameras, clouds, graphs, meshes, metrics, raster, registration, search, shapes, skeletons, smoothing, spatial
+from geoquilt.plans import q_capture
+from geoquilt.plans.oracles import ORACLES
 from geoquilt.sources import views
 
 XYZ = ("x", "y", "z")
@@ -588,3 +590,7 @@ def surface_samples(s, d):
 #: Older names of queries over whole tables.
 for _old, _new in {"em_estep": "em_estep_all", "gaussian_blur": "gaussian_blur_frames", "polyline_prune": "polyline_prune_all", "mesh_prune": "mesh_prune_points"}.items():
     QUERIES[_old] = QUERIES[_new]
+#: Queries that stand with their SQL in modules of their own.
+for _module in (q_capture,):
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
