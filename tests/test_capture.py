@@ -137,6 +137,7 @@ def test_images_are_decoded(spark, tmp_path):
 def test_a_capture_is_merged_and_its_drift_is_removed(spark, tmp_path):
     """Three views of one surface, of which the poses of two are off."""
     w, h, f = 90, 70, 100.0
+    origin = (0.1, 0.05, 0.02)  # of the first pose, from which its unit is told
     (tmp_path / "imgs").mkdir()
     surface = lambda x, y: 0.5 + 0.03 * np.sin(25 * x) + 0.03 * np.cos(21 * y)
     poses = {}
@@ -147,18 +148,19 @@ def test_a_capture_is_merged_and_its_drift_is_removed(spark, tmp_path):
             d = surface((col - w / 2) * d / f + shift[0], (row - h / 2) * d / f + shift[1])
         (tmp_path / "imgs" / f"00{k}_rgb.png").write_bytes(png(np.full((h, w, 3), 40 * k + 50, np.uint8)))
         (tmp_path / "imgs" / f"00{k}_depth.npy").write_bytes(npy(np.round(d * 1000, 3)))
-        poses[f"00{k}"] = dict(zip(("x", "y", "z", "rx", "ry", "rz"), [*(1000 * (a + b) for a, b in zip(shift, error, strict=True)), 0, 0, 0], strict=True))
+        poses[f"00{k}"] = dict(zip(("x", "y", "z", "rx", "ry", "rz"), [*(1000 * (a + b + o) for a, b, o in zip(shift, error, origin, strict=True)), 0, 0, 0], strict=True))
     poses["009"] = poses["000"]  # a pose without images
     (tmp_path / "poses.json").write_text(json.dumps(poses))
     pixels = images.read_pairs(spark, str(tmp_path / "imgs"))
     where = files.read_poses(spark, str(tmp_path / "poses.json"))
-    how = capture.Refinement(reaches=(0.012, 0.006), rounds=15, least_source=300, least_target=300)
-    args = (pixels, where, (f, f, w / 2, h / 2), (-0.4, -0.4, 0.3), (0.4, 0.4, 0.7), capture.IDENTITY)
+    how = capture.Refinement(reaches=(0.012, 0.006), rounds=15, least_source=300, least_target=300, tolerance=1e-5)
+    args = (pixels, where, (f, f, w / 2, h / 2), (-0.3, -0.35, 0.3), (0.5, 0.45, 0.7), capture.IDENTITY)
     error = {}
     for name, refine in (("as posed", None), ("refined", how)):
         got = capture.merge_capture(*args, how=refine, outliers=None).collect()
         assert sorted(r.pid for r in got) == list(range(len(got))) and all(0 < r.r < 1 for r in got)
         p = np.array([[r.x, r.y, r.z] for r in got])
+        p = p - origin
         error[name] = np.abs(p[:, 2] - surface(p[:, 0], p[:, 1])).mean()
     assert error["refined"] < 0.5 * error["as posed"] and error["refined"] < 0.001
     assert capture.merge_capture(*args[:3], (5, 5, 5), (6, 6, 6), capture.IDENTITY).count() == 0
