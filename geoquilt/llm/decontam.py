@@ -5,10 +5,10 @@ which terms of a test window are the rarest, and the postings, (term, text key,
 position), are stored for the two rarest of each.
 The list of the rarest term, shifted by its offset, gives the places where a
 window could start; intersecting it with the shifted list of the next rarest
-leaves few.  Texts that hold such a place give the postings of all their terms, and
-these are intersected too: a place counts the terms that stand at its start plus
-their offset (exact match), or within ``slop`` words of there (proximity match).
-Every place is a row, so a text of millions of repeated words is dealt over many
+leaves few.  Texts that hold such a place are cut into short overlapping pieces, and each
+piece compares all terms of its places: at the start plus their offset for an exact
+match, within ``slop`` words of there for a proximity match.  A piece is a row of
+bounded length, so a text of millions of repeated words is dealt over many
 tasks.  A text key is a 128-bit hash of the text, so
 exact copies, however many, share one posting list.
 
@@ -17,6 +17,9 @@ Only DataFrame functions are used.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +29,10 @@ from geoquilt.storage import broadcast_within, discard, stored
 _OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW, SLOP = 10, 1
-TERM_BYTES, WINDOW_BYTES = 200, 1000
+TERM_BYTES, WINDOW_BYTES, KEY_BYTES = 200, 1000, 64
+#: Words of a piece of a text; a match of pieces takes as many words, and looks ahead for those that a match may need.
+PIECE_WORDS = 64
+_PIECES = r"(?=((?:[^ ]++ ?+){1,%d}+))(?:[^ ]++ ?+){1,%d}+"
 HITS = "array<struct<start:int,n:int,items:array<string>>>"
 
 
@@ -155,19 +161,31 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     """
     windows, index, texts = build_index(docs, benchmark, window)
     places = stored(intersect(index, windows, slop).select("key", "phrase", "start"), "places")
-    terms = windows.select(F.col("phrase").alias("w_phrase"), F.size("terms").alias("n"), F.posexplode("terms").alias("offset", "term"))
-    # all terms of the texts with a place, once per text
-    held = texts.join(places.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("cut").alias("cut"))
-    tokens = held.select("key", F.posexplode(F.split("cut", " ")).alias("pos", "token"))
-    tokens = tokens.join(broadcast_within(terms.select("term").distinct(), TERM_BYTES), F.col("token") == F.col("term"))
-    shifts = F.array(*map(F.lit, range(-slop, slop + 1)))
-    near = tokens.select("key", "term", "pos", F.explode(shifts).alias("shift")).groupBy(F.col("key").alias("t_key"), F.col("term").alias("t_term"), (F.col("pos") + F.col("shift")).alias("t_pos"))
-    near = near.agg(F.max((F.col("shift") == 0).cast("int")).alias("here"))
-    starts = places.select("key", "phrase", F.explode(shifts).alias("shift"), "start").select("key", "phrase", (F.col("start") + F.col("shift")).alias("start")).distinct()
-    wanted = starts.join(broadcast_within(terms, WINDOW_BYTES), F.col("phrase") == F.col("w_phrase")).select("key", "phrase", "start", "n", "term", (F.col("start") + F.col("offset")).alias("pos"))
-    met = wanted.join(near, (F.col("key") == F.col("t_key")) & (F.col("pos") == F.col("t_pos")) & (F.col("term") == F.col("t_term")))
-    found = met.groupBy("key", "phrase", "start", "n").agg(F.count("*").alias("terms"), F.sum("here").alias("here")).where(F.col("terms") == F.col("n"))
-    found = stored(found.select("key", "phrase", "start", "n", (F.col("here") == F.col("n")).alias("exact")), "matches")
+    # all words of the texts with a place, once per text, in pieces that overlap by what a match may span
+    keys = broadcast_within(places.select("key").distinct(), KEY_BYTES)
+    held = texts.join(keys, "key", "left_semi").groupBy("key").agg(F.first("cut").alias("cut"))
+    pieces = F.regexp_extract_all("cut", F.lit(_PIECES % (PIECE_WORDS + window + 4 * slop, PIECE_WORDS)), F.lit(1))
+    pieces = held.select(F.col("key").alias("p_key"), F.posexplode(pieces).alias("p_piece", "words")).withColumn("words", F.split(F.trim("words"), " "))
+    piece = F.floor(F.greatest(F.col("start") - 2 * slop, F.lit(0)) / PIECE_WORDS).cast("int")
+    by_piece = places.withColumn("piece", piece).groupBy("key", "piece").agg(F.collect_list(F.struct("phrase", "start")).alias("places"))
+
+    def found_at(p: Column) -> Column:
+        """The matches among the starts near one place of the piece: every term near its place, and whether all are in theirs."""
+        terms = F.transform(F.split(p["phrase"], " "), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+        word = lambda start, x, off: F.coalesce(F.get("words", start - F.col("piece") * PIECE_WORDS + x["i"] + off) == x["t"], F.lit(False))
+
+        def near(start: Column, x: Column) -> Column:
+            return functools.reduce(operator.or_, [word(start, x, off) for off in range(-slop, slop + 1)])
+
+        def match(shift: int) -> Column:
+            start = p["start"] + shift
+            exact = (start >= 0) & F.forall(terms, lambda x: word(start, x, 0))
+            return F.when(F.forall(terms, lambda x: near(start, x)), F.struct(p["phrase"].alias("phrase"), start.alias("start"), F.size(terms).alias("n"), exact.alias("exact")))
+
+        return F.array_compact(F.array(*[match(k) for k in range(-slop, slop + 1)]))
+
+    met = by_piece.join(pieces, (F.col("key") == F.col("p_key")) & (F.col("piece") == F.col("p_piece")))
+    found = stored(met.select("key", F.inline(F.flatten(F.transform("places", found_at)))).distinct(), "matches")
     discard(index, texts, places)
     return found, windows
 
