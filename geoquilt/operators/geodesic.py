@@ -22,7 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoquilt.functions.linalg import norm
+from geoquilt.operators import graphs, meshes, skeletons
 from geoquilt.operators.numbering import indexed
+from geoquilt.operators.spatial import XYZ
 from geoquilt.storage import discard, stored
 
 BLOCK_NODES, MAX_ROUNDS = 1024, 100_000
@@ -139,3 +142,41 @@ def farthest_owners(graph: BlockGraph, first: int, n: int) -> tuple[list[int], D
         chosen.append(far)
         state = spread(graph, one(far), state)[0]
     return chosen, state
+
+
+def landmark_tree(graph: BlockGraph, landmarks: list[int]) -> DataFrame:
+    """Distinct edges (u, v) of the shortest ways from the first landmark to all others; unreachable ones have none."""
+    spark = graph.nodes.sparkSession
+    state, _ = spread(graph, spark.createDataFrame([(landmarks[0],)], "vid long"))
+    paths = stored(with_parents(graph, state).select("vid", "parent"), "landmark-paths")
+    wanted = paths.where(F.col("vid").isin(landmarks)).select("vid")
+    on_way = graphs.backtrack(paths, wanted).select("vid").distinct()
+    return graphs.canonical(paths.where("parent >= 0").join(on_way, "vid", "left_semi").select(F.col("vid").alias("u"), F.col("parent").alias("v")))
+
+
+def geodesic_skeleton(vertices: DataFrame, edges: DataFrame, points: DataFrame, landmarks: int = 32, merge_radius: float = 0.01, expand: float = 1.10) -> tuple[DataFrame, DataFrame]:
+    """Nodes (vid, x, y, z) and canonical edges of the skeleton of a surface ``vertices(vid, x, y, z)``, ``edges(u, v)``.
+
+    The shortest ways between landmarks, each the farthest from all before, form a tree; its chains become edges between
+    their ends, those whose middle lies outside the expanded box of ``points`` go, and ends closer than ``merge_radius`` become one.
+    Edges are as long as their ends are apart, coincident ends at least 1e-12.  Without edges the result is empty.
+    """
+    at = lambda p: vertices.select(F.col("vid").alias(f"{p}_vid"), *[F.col(c).alias(f"{p}{c}") for c in XYZ])
+    placed = edges.join(at("a"), F.col("u") == F.col("a_vid")).join(at("b"), F.col("v") == F.col("b_vid"))
+    length = norm([F.col(f"a{c}") - F.col(f"b{c}") for c in XYZ])
+    graph = block_graph(placed.select("u", "v", F.greatest(length, F.lit(1e-12)).alias("w")))
+    first = graph.nodes.agg(F.min("vid")).first()[0]
+    if first is None:
+        return vertices.limit(0).select("vid", *XYZ), edges.limit(0).select("u", "v")
+    ids, _ = farthest_owners(graph, first, landmarks)
+    tree = stored(landmark_tree(graph, ids), "landmark-tree")
+    chain = skeletons.chains(tree).withColumn("line_id", F.xxhash64("start", "end"))
+    lines = stored(chain.join(vertices.select(F.col("vid").alias("c_vid"), *XYZ), F.col("vid") == F.col("c_vid")).select("line_id", "start", "end", "seq", "vid", *XYZ), "chains")
+    kept = meshes.prune_polylines(lines.select("line_id", "seq", *XYZ), points, expand).select(F.col("line_id").alias("k_line")).distinct()
+    ends = skeletons.chain_graph(lines.join(kept, F.col("line_id") == F.col("k_line"), "left_semi"))
+    ends = stored(ends, "chain-ends")
+    nodes = vertices.select(F.col("vid").alias("pid"), *XYZ).join(ends.select(F.explode(F.array("u", "v")).alias("n")).distinct(), F.col("pid") == F.col("n"), "left_semi")
+    near = graphs.radius_pairs(nodes, merge_radius)
+    parts = stored(graphs.label_components(nodes.select(F.col("pid").alias("vid")), near), "merged-ends")
+    merged = nodes.join(parts, F.col("pid") == F.col("vid")).groupBy(F.col("component").alias("vid")).agg(*[F.avg(c).alias(c) for c in XYZ])
+    return merged, graphs.remap_edges(ends, parts.select("vid", F.col("component").alias("new_id")))

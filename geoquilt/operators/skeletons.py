@@ -12,16 +12,19 @@ from geoquilt.operators.spatial import XYZ, knn, radius_join
 from geoquilt.storage import stored
 
 
-def chains(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def chains(edges: DataFrame, max_rounds: int = 60, cuts: DataFrame | None = None) -> DataFrame:
     """(start, end, seq, vid): maximal chains between nodes whose degree is not two, in order.
 
     ``start`` and ``end`` are the outer arcs, (node, junction), that name the
     chain.  Every arc points at its successor, and pointers are doubled until they
     reach a junction, so rounds grow with the logarithm of the longest chain.
-    Cycles without a junction never reach one and are dropped.
+    Cycles without a junction never reach one and are dropped; nodes of ``cuts(vid)``
+    count as junctions.
     """
     arcs = stored(graphs.both_ways(edges.select("u", "v")).toDF("a", "b").distinct(), "arcs")
     two = arcs.groupBy(F.col("a").alias("mid")).count().where("count = 2").select("mid")
+    if cuts is not None:
+        two = stored(two.join(cuts, F.col("mid") == F.col("vid"), "left_anti"), "inner-nodes")
     inner = arcs.join(two, F.col("b") == F.col("mid"), "left_semi")
     after = arcs.toDF("na", "nb")
     on = inner.join(after, (F.col("b") == F.col("na")) & (F.col("nb") != F.col("a"))).select("a", "b", F.struct(F.col("na").alias("a"), F.col("nb").alias("b")).alias("to"), F.lit(1).cast("long").alias("d"), F.lit(False).alias("done"))
@@ -43,6 +46,53 @@ def chains(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return both.select("start", F.col("to").alias("end"), F.inline(nodes))
 
 
+def loops(edges: DataFrame) -> DataFrame:
+    """(vid, n): the least node of every closed loop without a junction, and the loop's nodes."""
+    links = graphs.canonical(edges)
+    degree = stored(graphs.degrees(links), "loop-degrees")
+    parts = graphs.label_components(degree.select("vid"), links)
+    each = parts.join(degree.withColumnRenamed("vid", "d_vid"), F.col("vid") == F.col("d_vid")).groupBy("component").agg(F.min("degree").alias("least"), F.max("degree").alias("most"), F.count("*").alias("n"))
+    return each.where("least = 2 AND most = 2").select(F.col("component").alias("vid"), "n")
+
+
+def traced(edges: DataFrame, min_nodes: int = 0) -> DataFrame:
+    """(start, end, seq, vid): the polylines of a skeleton; closed loops are cut at their least node, which begins and ends theirs.
+
+    Every edge lies on one polyline, every node of degree two within one.  Polylines of
+    fewer than ``min_nodes`` nodes that end at a tip go, as do lone short ones.
+    """
+    chain = chains(edges, cuts=stored(loops(edges).select("vid"), "loop-cuts"))
+    if min_nodes <= 0:
+        return chain
+    tips = graphs.degrees(graphs.canonical(edges)).where("degree = 1").select(F.col("vid").alias("tip"))
+    named = stored(chain, "traced")
+    sizes = named.groupBy("start", "end").agg(F.count("*").alias("n"), F.min_by("vid", "seq").alias("a"), F.max_by("vid", "seq").alias("b")).where(F.col("n") < min_nodes)
+    ends = sizes.select("start", "end", F.explode(F.array("a", "b")).alias("at")).join(tips, F.col("at") == F.col("tip"), "left_semi").select("start", "end").distinct()
+    return named.join(ends, ["start", "end"], "left_anti")
+
+
+def pixel_edges(cells: DataFrame) -> DataFrame:
+    """Edges (u, v) between the neighbouring pixels of ``cells(row, col)``, ids (row << 32) + col; a diagonal is left out where a pixel beside it joins both.
+
+    Rows and columns must lie from 0 to 2**31 - 1.
+    """
+    vid = lambda r, c: F.shiftleft(r.cast("long"), 32) + c
+    own = cells.select("row", "col").distinct()
+    steps = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in ((0, 1), (1, 0), (1, 1), (1, -1))])
+    pairs = own.select("row", "col", F.inline(steps)).select("row", "col", "dr", "dc", (F.col("row") + F.col("dr")).alias("r2"), (F.col("col") + F.col("dc")).alias("c2"))
+    at = lambda p: own.select(F.col("row").alias(f"{p}r"), F.col("col").alias(f"{p}c"))
+    met = pairs.join(at("b"), (F.col("r2") == F.col("br")) & (F.col("c2") == F.col("bc")), "left_semi")
+    straight, diagonal = met.where("dr * dc = 0"), met.where("dr * dc <> 0")
+    diagonal = diagonal.join(at("x"), (F.col("row") == F.col("xr")) & (F.col("c2") == F.col("xc")), "left_anti").join(at("y"), (F.col("r2") == F.col("yr")) & (F.col("col") == F.col("yc")), "left_anti")
+    return graphs.canonical(straight.unionByName(diagonal).select(vid(F.col("row"), F.col("col")).alias("u"), vid(F.col("r2"), F.col("c2")).alias("v")))
+
+
+def trace_pixels(cells: DataFrame, min_nodes: int = 0) -> DataFrame:
+    """(start, end, seq, row, col): the polylines of a thinned raster ``cells(row, col)``, closed rings included."""
+    line = traced(pixel_edges(cells), min_nodes)
+    return line.select("start", "end", "seq", F.shiftright("vid", 32).alias("row"), F.col("vid").bitwiseAND(F.lit((1 << 32) - 1)).alias("col"))
+
+
 def chain_graph(chain: DataFrame) -> DataFrame:
     """Canonical edges between the junctions that chains connect; loops and parallel chains give none or one."""
     ends = chain.groupBy("start", "end").agg(F.min_by("vid", "seq").alias("u"), F.max_by("vid", "seq").alias("v"))

@@ -78,7 +78,7 @@ def test_all_pairs_are_aligned_at_once(spark):
     sources += [(9, i, 0.0, 0.0, 0.0) for i in range(10)]
     source = spark.createDataFrame(sources, "pair long, pid long, x double, y double, z double")
     goal = spark.createDataFrame(rows, "pair long, x double, y double, z double, nx double, ny double, nz double")
-    got = {r.pair: r for r in capture.align_pairs(source, goal, capture.Refinement(rounds=12)).collect()}
+    got = {r.pair: r for r in capture.align_pairs(source, goal, capture.Refinement(reaches=(0.02,), rounds=10, tolerance=1e-5)).collect()}
     assert set(got) == {0, 1, 2}  # the pair of few points is left out
     for pair, t in planted.items():
         assert np.allclose(np.reshape(got[pair].t, (3, 4)), t[:3], atol=1e-3) and got[pair].fitness > 0.9
@@ -153,7 +153,7 @@ def test_a_capture_is_merged_and_its_drift_is_removed(spark, tmp_path):
     (tmp_path / "poses.json").write_text(json.dumps(poses))
     pixels = images.read_pairs(spark, str(tmp_path / "imgs"))
     where = files.read_poses(spark, str(tmp_path / "poses.json"))
-    how = capture.Refinement(reaches=(0.012, 0.006), rounds=15, least_source=300, least_target=300, tolerance=1e-5)
+    how = capture.Refinement(reaches=(0.012,), rounds=7, least_source=300, least_target=300, tolerance=1e-4)
     args = (pixels, where, (f, f, w / 2, h / 2), (-0.3, -0.35, 0.3), (0.5, 0.45, 0.7), capture.IDENTITY)
     error = {}
     for name, refine in (("as posed", None), ("refined", how)):

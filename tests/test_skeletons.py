@@ -95,3 +95,33 @@ def test_report_query_fits_all_rounds(spark, monkeypatch):
     monkeypatch.setattr(skeletons, "report", lambda *a: None)
     QUERIES["skeleton_report"](spark, "/root/testdata/sf0.001")
     assert rounds == [3]
+
+
+def test_every_edge_lies_on_one_polyline_and_rings_are_cut(spark):
+    ring = [(10 + k, 10 + (k + 1) % 7) for k in range(7)]
+    edges = [*ring, (1, 2), (2, 3), (3, 4), (3, 5), (5, 6), (30, 31), (31, 32), (32, 33), (33, 31), (40, 41), (41, 42), (42, 40)]
+    frame = spark.createDataFrame(edges, "u long, v long")
+    lines = {}
+    for r in skeletons.traced(frame).collect():
+        lines.setdefault((r.start, r.end), []).append((r.seq, r.vid))
+    ways = [[v for _, v in sorted(x)] for x in lines.values()]
+    walked = sorted(tuple(sorted(e)) for w in ways for e in zip(w, w[1:]))
+    assert walked == sorted(tuple(sorted(e)) for e in edges)
+    closed = sorted(w[0] for w in ways if w[0] == w[-1])
+    assert closed == [10, 31, 40] and len(ways) == 7
+    assert sorted(map(tuple, skeletons.loops(frame).collect())) == [(10, 7), (40, 3)]
+    kept = skeletons.traced(frame, 3).select("start", "end").distinct().count()
+    assert kept == 7 - 2  # the arms 3-4 and 30-31 are short and end at a tip
+    assert skeletons.traced(frame.where("false")).count() == 0
+
+
+def test_a_raster_ring_is_traced(spark):
+    art = ["..####....", ".#....#...", ".#....####", ".#....#...", "..####....", "..........", "##........"]
+    cells = [(i, j) for i, line in enumerate(art) for j, c in enumerate(line) if c == "#"]
+    got = skeletons.trace_pixels(spark.createDataFrame(cells, "row long, col long")).collect()
+    assert {(r.row, r.col) for r in got} == set(cells)
+    lines = {}
+    for r in got:
+        lines.setdefault((r.start, r.end), []).append((r.seq, (r.row, r.col)))
+    ways = [[p for _, p in sorted(x)] for x in lines.values()]
+    assert all(max(abs(a - c), abs(b - d)) == 1 for w in ways for (a, b), (c, d) in zip(w, w[1:])) and len(ways) == 3
