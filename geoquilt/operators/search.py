@@ -1,11 +1,10 @@
-"""Parameter search: grids, objectives, rankings and a surrogate model."""
+"""Parameter search: grids, objectives and rankings."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,48 +73,3 @@ def decode(column: Column, low: float, high: float, is_int: bool) -> Column:
     """The parameter of a number in [0, 1]; whole ones are rounded, halves to even."""
     value = low + F.least(F.greatest(column, F.lit(0.0)), F.lit(1.0)) * (high - low)
     return F.bround(value) if is_int else value
-
-
-def surrogate_scores(seen: DataFrame, candidates: DataFrame, features: Sequence[str], members: int = 6, hidden: int = 64, epochs: int = 220, rate: float = 8e-3, kappa: float = 0.35, seed: int = 2025) -> DataFrame:
-    """(candidate, mean, deviation, score) of candidates by an ensemble of small networks.
-
-    Each member trains on a bootstrap of ``seen(..., loss)`` in a task of its own;
-    the trained weights score candidates where they lie.  ``seen`` holds the
-    trials made so far, some hundreds, and is sent to every member.
-    """
-    names = list(features)
-    own = seen.select(*names, "loss").withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
-
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        member = int(pdf["member"].iloc[0])
-        rng = np.random.default_rng(seed + member)
-        pdf = pdf.sort_values([*names, "loss"])
-        x, y = pdf[names].to_numpy(float), pdf["loss"].to_numpy(float)
-        pick = rng.integers(0, len(x), len(x))
-        x, y = x[pick], y[pick]
-        shift, scale = y.mean(), y.std() + 1e-9
-        y = (y - shift) / scale
-        w1, b1 = rng.normal(0, (2 / len(names)) ** 0.5, (len(names), hidden)), np.zeros(hidden)
-        w2, b2 = rng.normal(0, (1 / hidden) ** 0.5, hidden), 0.0
-        for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for i in range(0, len(order), 64):
-                b = order[i : i + 64]
-                h = np.maximum(x[b] @ w1 + b1, 0)
-                e = (h @ w2 + b2 - y[b]) / len(b)
-                dh = e[:, None] * w2[None] * (h > 0)
-                w2, b2 = w2 - rate * (h.T @ e), b2 - rate * e.sum()
-                w1, b1 = w1 - rate * (x[b].T @ dh), b1 - rate * dh.sum(0)
-        return pd.DataFrame({"member": [member], "w": [np.concatenate([w1.ravel(), b1, w2 * scale, [b2 * scale + shift]]).tolist()]})
-
-    nets = np.array([r["w"] for r in own.groupBy("member").applyInPandas(train, "member int, w array<double>").orderBy("member").collect()])
-
-    def score(batches):
-        d = len(names)
-        for pdf in batches:
-            x = pdf[names].to_numpy(float)
-            outs = [np.maximum(x @ w[: d * hidden].reshape(d, hidden) + w[d * hidden : (d + 1) * hidden], 0) @ w[(d + 1) * hidden : -1] + w[-1] for w in nets]
-            mean, deviation = np.mean(outs, 0), np.std(outs, 0)
-            yield pd.DataFrame({"candidate": pdf["candidate"], "mean": mean, "deviation": deviation, "score": mean - kappa * deviation})
-
-    return candidates.select("candidate", *names).mapInPandas(score, "candidate long, mean double, deviation double, score double")

@@ -275,11 +275,6 @@ def test_search(spark):
     grid = search.parameter_grid(spark, {"a": [1.0, 2.0], "b": [10.0, 20.0, 30.0]})
     assert [tuple(r) for r in grid.orderBy("combo").collect()] == list(enumerate_grid())
     assert spark.range(1).select(search.decode(F.lit(0.5), 0.0, 5.0, True)).first()[0] == 2.0
-    rows = [(float(i % 7) / 7, float(i % 5) / 5) for i in range(40)]
-    seen = spark.createDataFrame([(a, b, a * a + b) for a, b in rows], "a double, b double, loss double")
-    candidates = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.9, 0.9)], "candidate long, a double, b double")
-    got = {r.candidate: r.mean for r in search.surrogate_scores(seen, candidates, ["a", "b"], 2, 16, 60).collect()}
-    assert got[0] < got[1]
 
 
 def enumerate_grid():
