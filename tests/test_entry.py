@@ -15,6 +15,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 SAMPLE = ("voxel_downsample", "knn", "surface_variation", "depth_bilateral", "autotune_extrinsics", "ransac_plane", "resample_polyline", "edt_ridge", "dbscan", "triangle_adjacency", "objective_all")
 LATER = ("spacing_quantile", "index_selection", "weighted_adjacency", "largest_groups", "contour_links", "random_sample")
+ADDED = ("ply_roundtrip", "pose_chain", "fused_capture", "pixel_edges", "filled_mask")
 #: Queries that stand beside one of a fixed share of the rows.
 WHOLE = ("gaussian_blur_frames", "em_estep_all", "polyline_prune_all", "mesh_prune_points")
 
@@ -33,7 +34,7 @@ def test_query_over_whole_tables_equals_its_sql(spark, name):
     test_query_equals_its_sql(spark, name)
 
 
-@pytest.mark.parametrize("name", SAMPLE + LATER)
+@pytest.mark.parametrize("name", SAMPLE + LATER + ADDED)
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
