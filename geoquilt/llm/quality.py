@@ -83,7 +83,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 30
     A logistic model tells trusted positives from unlabelled rows.  Where there
     are only positives, its odds times n_unlabelled / n_positive are the ratio of
     the two densities, one over the prior; the median over every second positive,
-    which the fit does not see, is taken.
+    which the fit does not see, is taken, and held between 0.05 and 0.95.
     """
     fit, judge = positive[::2], positive[1::2] if len(positive) > 1 else positive
     x = np.column_stack([np.vstack([fit, unlabelled]), np.ones(len(fit) + len(unlabelled))])
