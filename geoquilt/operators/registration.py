@@ -57,9 +57,10 @@ def _rotation(v: np.ndarray) -> np.ndarray:
     return out
 
 
-def _solve(rows: DataFrame, jacobian: list[Column], residual: Column, weight: Column) -> np.ndarray:
-    """Twist of weighted least squares: 27 sums over the rows, solved on the driver."""
-    sums = [F.sum(weight * jacobian[a] * jacobian[b]) for a in range(6) for b in range(a, 6)] + [F.sum(weight * jacobian[a] * residual) for a in range(6)]
+def normal_equations(rows: DataFrame, *terms: tuple[list[Column], Column, Column]) -> np.ndarray:
+    """Twist of weighted least squares over terms (jacobian, residual, weight): 27 sums over the rows, solved on the driver."""
+    total = lambda part: F.sum(sum((part(*t) for t in terms[1:]), part(*terms[0])))
+    sums = [total(lambda j, r, w, a=a, b=b: w * j[a] * j[b]) for a in range(6) for b in range(a, 6)] + [total(lambda j, r, w, a=a: w * j[a] * r) for a in range(6)]
     s = [float(v or 0.0) for v in rows.agg(*sums).first()]
     a, k = np.zeros((6, 6)), 0
     for i in range(6):
@@ -84,7 +85,7 @@ def icp_point_to_plane(source: DataFrame, target: DataFrame, reach: float, kerne
     weight = F.when(inside, (1 - ratio * ratio) * (1 - ratio * ratio)).otherwise(0.0)
     for _ in range(rounds):
         rows = nearest(transformed(source.select("pid", *XYZ), t), target, reach)
-        v = _solve(rows, [*cross(p, normal), *normal], offset, weight)
+        v = normal_equations(rows, ([*cross(p, normal), *normal], offset, weight))
         t = _rotation(v) @ t
         if np.abs(v).max() < tolerance:
             break

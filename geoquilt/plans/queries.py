@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from geoquilt.functions.linalg import rounded
 from geoquilt.operators import cameras, clouds, graphs, meshes, metrics, raster, registration, search, shapes, skeletons, smoothing, spatial
-from geoquilt.plans import q_capture, q_geodesic, q_parts, q_tracing, q_voxels
+from geoquilt.plans import q_capture, q_geodesic, q_matching, q_parts, q_tracing, q_voxels
 from geoquilt.plans.oracles import ORACLES
 from geoquilt.sources import views
 
@@ -591,6 +591,6 @@ def surface_samples(s, d):
 for _old, _new in {"em_estep": "em_estep_all", "gaussian_blur": "gaussian_blur_frames", "polyline_prune": "polyline_prune_all", "mesh_prune": "mesh_prune_points"}.items():
     QUERIES[_old] = QUERIES[_new]
 #: Queries that stand with their SQL in modules of their own.
-for _module in (q_capture, q_geodesic, q_parts, q_tracing, q_voxels):
+for _module in (q_capture, q_geodesic, q_matching, q_parts, q_tracing, q_voxels):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

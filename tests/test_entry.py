@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 SAMPLE = ("voxel_downsample", "knn", "surface_variation", "depth_bilateral", "autotune_extrinsics", "ransac_plane", "resample_polyline", "edt_ridge", "dbscan", "triangle_adjacency", "objective_all")
 LATER = ("spacing_quantile", "index_selection", "weighted_adjacency", "largest_groups", "contour_links", "random_sample")
-ADDED = ("ply_roundtrip", "pose_chain", "fused_capture", "pixel_edges", "filled_mask", "simple_voxels", "volume_nodes", "volume_parts")
+ADDED = ("ply_roundtrip", "pose_chain", "fused_capture", "pixel_edges", "filled_mask", "simple_voxels", "volume_nodes", "volume_parts", "feature_nearest", "feature_matches", "color_gradients")
 #: Queries that stand beside one of a fixed share of the rows.
 WHOLE = ("gaussian_blur_frames", "em_estep_all", "polyline_prune_all", "mesh_prune_points")
 
