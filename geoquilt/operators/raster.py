@@ -1,14 +1,16 @@
 """Binary images and grey grids as sparse relations of cells (row, col).
 
 Neighbourhoods are equality joins on shifted indices; no image is ever
-materialised as an array.
+materialised as an array, but for the strips of the distance transform.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,34 +164,71 @@ def skeleton_nodes(cells: DataFrame) -> DataFrame:
     return neighbours(cells).select("row", "col", total.cast("long").alias("degree")).where("degree <> 2")
 
 
-def distance_to(cells: DataFrame, targets: DataFrame, reach: int = 8) -> DataFrame:
+def lowest_parabolas(heights: np.ndarray, feet: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Least of heights + (feet - x)^2 for every x of ``at``; feet and at ascend, all are whole numbers.
+
+    The foot of the lowest parabola moves one way only, so the middle of a stretch of
+    ``at`` bounds the feet of both halves: each level looks at every foot about once.
+    """
+    out = np.empty(len(at), dtype=np.int64)
+    low, high = np.array([0]), np.array([len(at) - 1])  # open stretches of at, and the feet they may have
+    left, right = np.array([0]), np.array([len(feet) - 1])
+    while len(low):
+        mid = (low + high) // 2
+        sizes = right - left + 1
+        starts = np.cumsum(sizes) - sizes
+        foot = np.arange(sizes.sum()) - np.repeat(starts - left, sizes)
+        gap = feet[foot] - np.repeat(at[mid], sizes)
+        cost = heights[foot] + gap * gap
+        out[mid] = np.minimum.reduceat(cost, starts)
+        hits = np.flatnonzero(cost == np.repeat(out[mid], sizes))
+        best = foot[hits[np.searchsorted(hits, starts)]]  # the first of equal ones
+        low, high = np.concatenate([low, mid + 1]), np.concatenate([mid - 1, high])
+        left, right = np.concatenate([left, best]), np.concatenate([best, right])
+        some = low <= high
+        low, high, left, right = low[some], high[some], left[some], right[some]
+    return out
+
+
+def distance_to(cells: DataFrame, targets: DataFrame, tile: int = 16) -> DataFrame:
     """(row, col, d2): squared distance to the nearest of ``targets``, null where there are none.
 
-    Targets are gathered by row, in arrays no longer than the raster is wide, and a
-    cell looks at the rows up to ``reach`` away.  It is done when its distance is no
-    more than that; the others look four times as far, until all rows are covered.
+    Two passes over the box of rows with targets and columns with cells: each row
+    measures the way to its nearest target for strips of ``tile`` columns, then
+    each column takes the lowest of the parabolas that stand on its rows.  Work is
+    the box's area times the logarithm of its height; a task holds one row, or a
+    strip of the box.  A cell with a null index has a null distance.
     """
-    cells = cells.select("row", "col").distinct()
-    lines = stored(targets.groupBy(F.col("row").alias("line")).agg(F.collect_set("col").alias("cols")), "raster-lines")
-    low, high = lines.select(F.col("line").alias("row")).unionByName(cells.select("row")).agg(F.min("row"), F.max("row")).first()
-    span, todo, parts = (high or 0) - (low or 0), cells, []
-    while True:
-        at = todo.withColumn("k", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
-        across = F.array_min(F.transform("cols", lambda c: (c - F.col("col")) * (c - F.col("col"))))
-        near = at.join(lines, F.col("row") + F.col("k") == F.col("line")).groupBy("row", "col").agg(F.min(across + F.col("k") * F.col("k")).cast("long").alias("d2"))
-        if reach >= span:
-            parts.append(todo.join(near, ["row", "col"], "left"))
-            break
-        near = stored(near.where(F.col("d2") <= reach * reach), "distances")
-        parts.append(near)
-        todo = stored(todo.join(near, ["row", "col"], "left_anti"), "far-cells")
-        if todo.isEmpty():
-            break
-        reach *= 4
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select("row", "col", "d2")
+    cells = stored(cells.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).distinct(), "raster-cells")
+    placed = cells.where("row IS NOT NULL AND col IS NOT NULL").withColumn("strip", F.floor(F.col("col") / tile))
+    lines = targets.where("row IS NOT NULL AND col IS NOT NULL").groupBy(F.col("row").cast("long").alias("line")).agg(F.array_sort(F.collect_set(F.col("col").cast("long"))).alias("cols"))
+    first, last = placed.agg(F.min("strip"), F.max("strip")).first()
+    if first is None:
+        return cells.select("row", "col", F.lit(None).cast("long").alias("d2"))
+
+    def across(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = np.arange(first * tile, (last + 1) * tile)
+        for part in parts:
+            for line, cols in zip(part["line"], part["cols"], strict=True):
+                cols = np.asarray(cols, dtype=np.int64)
+                k = np.searchsorted(cols, at)
+                gap = np.minimum(np.abs(cols[np.minimum(k, len(cols) - 1)] - at), np.abs(at - cols[np.maximum(k - 1, 0)]))
+                yield pd.DataFrame({"strip": np.arange(first, last + 1), "line": line, "gaps": list(gap.reshape(-1, tile))})
+
+    def down(key: tuple, own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame({"row": [], "col": [], "d2": []}).astype("int64")
+        own = own.sort_values(["col", "row"])[["row", "col"]].reset_index(drop=True)
+        if not len(rows):
+            return own.assign(d2=pd.Series(pd.NA, index=own.index, dtype="Int64"))
+        rows = rows.sort_values("line")
+        feet, gaps = rows["line"].to_numpy(), np.stack(rows["gaps"].to_list()).astype(np.int64)
+        found = [lowest_parabolas(gaps[:, c - key[0] * tile] ** 2, feet, part["row"].to_numpy()) for c, part in own.groupby("col")]
+        return own.assign(d2=np.concatenate(found))
+
+    strips = lines.mapInPandas(across, "strip long, line long, gaps array<long>").join(placed.select("strip").distinct(), "strip", "left_semi")
+    found = placed.groupBy("strip").cogroup(strips.groupBy("strip")).applyInPandas(down, "row long, col long, d2 long")
+    return found.unionByName(cells.where("row IS NULL OR col IS NULL").withColumn("d2", F.lit(None).cast("long")))
 
 
 def ridge_skeleton(cells: DataFrame) -> DataFrame:

@@ -429,3 +429,18 @@ def test_slab_centeredness_equals_singular_values(spark):
         assert got[i][0] == len(o)
         assert abs(got[i][1] - np.clip(1 - np.linalg.norm(y.mean(0)) / sigma.mean(), 0, 1)) < 1e-9
     assert got[2] == (0, 0.0)
+
+
+def test_lowest_parabolas_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    for n, m in ((1, 1), (7, 30), (40, 1), (60, 90)):
+        feet, at = (np.sort(rng.choice(200, k, replace=False)) - 50 for k in (n, m))
+        heights = rng.integers(0, 400, n) * rng.integers(0, 2, n)
+        assert (raster.lowest_parabolas(heights, feet, at) == (heights[:, None] + (feet[:, None] - at) ** 2).min(0)).all()
+    side = 1200  # a filled square and one far target
+    square = spark.range(side * side).select(F.floor(F.col("id") / side).alias("row"), (F.col("id") % side).alias("col"))
+    got = raster.distance_to(square, spark.createDataFrame([(0, 0), (3 * side, 5)], "row long, col long")).where("row >= 0")
+    wrong = got.where("d2 <> least(row * row + col * col, power(row - 3600, 2) + power(col - 5, 2)) OR d2 IS NULL")
+    assert got.count() == side * side and wrong.isEmpty()
+    odd = spark.createDataFrame([(None, 1), (2, 2), (2, 2)], "row long, col long")
+    assert {tuple(r) for r in raster.distance_to(odd, square.where("row = 0 AND col = 0")).collect()} == {(None, 1, None), (2, 2, 8)}
