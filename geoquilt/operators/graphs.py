@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from geoquilt.functions.linalg import cross, dot, norm
 from geoquilt.operators.components import components
+from geoquilt.operators.density import dbscan  # noqa: F401
 from geoquilt.operators.numbering import numbered
 from geoquilt.operators.spatial import XYZ, knn_self, radius_join, radius_pairs
 from geoquilt.storage import stored
@@ -157,24 +158,6 @@ def minimum_spanning_forest(edges: DataFrame, max_rounds: int = 60) -> DataFrame
     raise RuntimeError("the forest did not settle")
 
 
-def dbscan(points: DataFrame, radius: float, least: int) -> DataFrame:
-    """(pid, cluster): density clusters; the label is the least core id, -1 is noise.
-
-    A core has ``least`` points, itself included, within ``radius``; a border
-    point takes the least label among its core neighbours.
-    """
-    pairs = stored(both_ways(radius_pairs(points, radius)), "dbscan-pairs")
-    ids = points.select(F.col("pid").alias("vid"))
-    n = pairs.groupBy("u").count().where(F.col("count") + 1 >= least).select(F.col("u").alias("core"))
-    n = n if least > 1 else ids.select(F.col("vid").alias("core"))
-    cores = stored(n, "dbscan-cores")
-    links = pairs.join(cores, F.col("u") == F.col("core"), "left_semi").join(cores, F.col("v") == F.col("core"), "left_semi")
-    labels = stored(label_components(cores.select(F.col("core").alias("vid")), links), "dbscan-labels")
-    border = pairs.join(labels.select(F.col("vid").alias("lv"), "component"), F.col("v") == F.col("lv")).groupBy("u").agg(F.min("component").alias("near"))
-    out = ids.join(labels.withColumnRenamed("vid", "cv"), F.col("vid") == F.col("cv"), "left").join(border, F.col("vid") == F.col("u"), "left")
-    return out.select(F.col("vid").alias("pid"), F.coalesce("component", "near", F.lit(-1)).alias("cluster"))
-
-
 def grow_regions(points: DataFrame, radius: float, min_cosine: float, least: int) -> DataFrame:
     """(pid, region) of points with normals, chained by distance and similar normals; small regions are dropped."""
     normal = ("nx", "ny", "nz")
