@@ -22,10 +22,10 @@ _CELL = tuple(f"c{c}" for c in XYZ)
 
 
 def _boxes(spots: DataFrame, side: float, level: int) -> DataFrame:
-    """(cell, box, up, low_*, high_*): what each box of side / 2^level holds, and the box of twice that side around it."""
+    """(cell, box, up, low_*, high_*, n): what each box of side / 2^level holds, and the box of twice that side around it."""
     at = lambda n: F.struct(*[F.floor(F.col(c) / (side / 2**n)).cast("long").alias(c) for c in XYZ])
     ends = [F.min(c).alias(f"low_{c}") for c in XYZ] + [F.max(c).alias(f"high_{c}") for c in XYZ]
-    return spots.groupBy("cell", at(level).alias("box"), at(max(0, level - 1)).alias("up")).agg(*ends)
+    return spots.groupBy("cell", at(level).alias("box"), at(max(0, level - 1)).alias("up")).agg(*ends, F.count("*").alias("n"))
 
 
 def _side(boxes: DataFrame, name: str) -> DataFrame:
@@ -42,12 +42,13 @@ def _spans() -> tuple[Column, Column]:
     return F.sqrt(apart), F.sqrt(across)
 
 
-def touching_cells(spots: DataFrame, radius: float, levels: int = 12) -> DataFrame:
+def touching_cells(spots: DataFrame, radius: float, levels: int = 12, few: int = 1024) -> DataFrame:
     """(u, v): cells of ``spots(cell, x, y, z, cx, cy, cz)`` with points within ``radius`` of each other, u before v by place.
 
     Pairs of boxes further apart than the radius go, those wholly within it link
-    their cells, and the boxes of the rest are halved.  After ``levels`` the points
-    of what is still open are compared one by one, so the result is exact.
+    their cells.  Of the rest, boxes with up to ``few`` pairs of points are compared
+    point by point, the others are halved; after ``levels`` all that is still open
+    is compared, so the result is exact.
     """
     side = radius / 2
     spots = stored(spots.select("cell", *_CELL, *XYZ).distinct(), "spots")
@@ -58,30 +59,32 @@ def touching_cells(spots: DataFrame, radius: float, levels: int = 12) -> DataFra
     there = [F.col(f"a_box.{c}") + F.col(f"d{c}") == F.col(f"b_box.{c}") for c in XYZ]
     pairs = moved.join(_side(first, "b"), there)
     apart, across = _spans()
-    keep = ["a_cell", "b_cell", "a_box", "b_box"]
-    links, level = [], 0
-    while True:
-        judged = stored(pairs.select(*keep, apart.alias("apart"), across.alias("across")).where(F.col("apart") <= radius), "box-pairs")
-        met = stored(judged.where(F.col("across") <= radius).select("a_cell", "b_cell").distinct(), "met-cells")
-        links.append(met)
-        left = stored(judged.select(*keep).join(met, ["a_cell", "b_cell"], "left_anti"), "open-pairs")
-        discard(judged)
-        if left.isEmpty():
-            break
-        level += 1
-        if level > levels:
-            at = F.struct(*[F.floor(F.col(c) / (side / 2**levels)).cast("long").alias(c) for c in XYZ])
-            single = spots.select("cell", at.alias("up"), *[F.col(c).alias(f"{e}{c}") for e in ("low_", "high_") for c in XYZ])
-        else:
-            involved = left.select(F.explode(F.array("a_cell", "b_cell")).alias("cell")).distinct()
-            single = _boxes(spots.join(involved, "cell", "left_semi"), side, level)
-        halves = stored(single, "boxes")
-        pairs = left.withColumnsRenamed({"a_box": "a_of", "b_box": "b_of", "a_cell": "a_c", "b_cell": "b_c"})
+    links = []
+
+    def split(open_pairs: DataFrame, inner: DataFrame) -> DataFrame:
+        """The pairs of what the two boxes of each open pair hold."""
+        out = open_pairs.select(*[F.col(f"{n}_{c}").alias(f"{n}_of_{c}") for n in "ab" for c in ("cell", "box")])
         for n in "ab":
-            pairs = pairs.join(_side(halves, n), (F.col(f"{n}_c") == F.col(f"{n}_cell")) & (F.col(f"{n}_of") == F.col(f"{n}_up")))
-        if level > levels:
-            links.append(stored(pairs.where(apart <= radius).select("a_cell", "b_cell").distinct(), "met-cells"))
+            out = out.join(_side(inner, n), (F.col(f"{n}_of_cell") == F.col(f"{n}_cell")) & (F.col(f"{n}_of_box") == F.col(f"{n}_up")))
+        return out
+
+    for level in range(levels + 1):
+        judged = pairs.select("a_cell", "b_cell", "a_box", "b_box", (F.col("a_n") * F.col("b_n")).alias("work"), apart.alias("apart"), across.alias("across"))
+        judged = stored(judged.where(F.col("apart") <= radius), "box-pairs")
+        met = judged.where(F.col("across") <= radius).select("a_cell", "b_cell").distinct()
+        left = stored(judged.join(met, ["a_cell", "b_cell"], "left_anti"), "open-pairs")
+        last = level == levels
+        at = F.struct(*[F.floor(F.col(c) / (side / 2**level)).cast("long").alias(c) for c in XYZ])
+        single = spots.select("cell", at.alias("up"), *[F.col(c).alias(f"{e}{c}") for e in ("low_", "high_") for c in XYZ])
+        seen = split(left if last else left.where(F.col("work") <= few), single).where(apart <= radius).select("a_cell", "b_cell")
+        links.append(stored(met.unionByName(seen).distinct(), "met-cells"))
+        discard(judged)
+        left = left.where(F.col("work") > few).join(links[-1], ["a_cell", "b_cell"], "left_anti")
+        if last or left.isEmpty():
             break
+        left = stored(left, "open-pairs")
+        involved = left.select(F.explode(F.array("a_cell", "b_cell")).alias("cell")).distinct()
+        pairs = split(left, stored(_boxes(spots.join(involved, "cell", "left_semi"), side, level + 1), "boxes"))
     return reduce(DataFrame.unionByName, links).toDF("u", "v")
 
 
