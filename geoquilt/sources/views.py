@@ -16,7 +16,8 @@ MODULUS, FACTOR = 1_000_003, 2_654_435_761
 
 def hash_uniform(key, salt: int = 0):
     """A number in [0, 1) from an integer key, by arithmetic that every SQL engine can repeat."""
-    return F.pmod(key * FACTOR + F.lit(salt * 7919), F.lit(MODULUS)) / float(MODULUS)
+    # the factor is reduced first, which leaves the same number and keeps large keys from an overflow
+    return F.pmod(F.pmod(key, F.lit(MODULUS)) * (FACTOR % MODULUS) + F.lit(salt * 7919), F.lit(MODULUS)) / float(MODULUS)
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
