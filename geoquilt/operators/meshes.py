@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 
 from geoquilt.functions.linalg import cross, norm
 from geoquilt.operators import graphs, raster, shapes
-from geoquilt.operators.spatial import XYZ, radius_join
+from geoquilt.operators.spatial import XYZ, within_reach
 from geoquilt.sources.views import hash_uniform
 from geoquilt.storage import stored
 
 
 def keep_vertices(triangles: DataFrame, kept: DataFrame, all_corners: bool = False) -> DataFrame:
-    """Triangles with any (or all) corner in ``kept(vid)``."""
+    """Triangles with any (or all) corner in ``kept(vid)``.
+
+    Both joins are by exchange: files tell too little of how many rows a broadcast would hold.
+    """
     corners = triangles.select("tid", F.explode(F.array("a", "b", "c")).alias("corner"))
-    hits = corners.join(kept, F.col("corner") == F.col("vid"), "left_semi").groupBy(F.col("tid").alias("hit")).count()
-    return triangles.join(hits.where(F.col("count") >= (3 if all_corners else 1)), F.col("tid") == F.col("hit"), "left_semi")
+    hits = corners.join(kept.hint("merge"), F.col("corner") == F.col("vid"), "left_semi").groupBy(F.col("tid").alias("hit")).count()
+    return triangles.join(hits.where(F.col("count") >= (3 if all_corners else 1)).hint("merge"), F.col("tid") == F.col("hit"), "left_semi")
 
 
 def crop_to_cloud(vertices: DataFrame, triangles: DataFrame, points: DataFrame, expand: float = 1.05) -> DataFrame:
@@ -33,8 +36,8 @@ def crop_to_cloud(vertices: DataFrame, triangles: DataFrame, points: DataFrame,
 
 def prune_by_distance(vertices: DataFrame, triangles: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """Triangles with a corner within ``radius`` of a point of the cloud."""
-    near = radius_join(vertices.select(F.col("vid").alias("i"), *XYZ), points.select(F.col("pid").alias("j"), *XYZ), radius)
-    return keep_vertices(triangles, near.select(F.col("i").alias("vid")).distinct())
+    near = within_reach(vertices.select("vid", *XYZ), points.select(*XYZ), radius)
+    return keep_vertices(triangles, near.select("vid"))
 
 
 def sample_surface(vertices: DataFrame, triangles: DataFrame, n: int) -> DataFrame:
@@ -46,7 +49,7 @@ def sample_surface(vertices: DataFrame, triangles: DataFrame, n: int) -> DataFra
     t = triangles.select("tid", "a", "b", "c")
     for p in "abc":
         corner = vertices.select(F.col("vid").alias(f"v{p}"), *[F.col(c).alias(f"{p}{c}") for c in XYZ])
-        t = t.join(corner, F.col(p) == F.col(f"v{p}"))
+        t = t.join(corner.hint("merge"), F.col(p) == F.col(f"v{p}"))
     side = lambda p: [F.col(f"{p}{c}") - F.col(f"a{c}") for c in XYZ]
     t = stored(t.withColumn("area", norm(cross(side("b"), side("c"))) / 2), "areas")
     total = F.broadcast(t.agg(F.sum("area").alias("total")))  # one row

@@ -46,6 +46,23 @@ def radius_pairs(points: DataFrame, radius: float) -> DataFrame:
     return found.select("u", "v", F.col("d").alias("w"))
 
 
+def within_reach(probe: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+    """Rows of ``probe(x, y, z, ...)`` with one of ``points(x, y, z)`` within ``radius``.
+
+    The points are copied to the cells around them and the probes stay single rows, each
+    looked at until a point is near: no pair leaves the join, and none is broadcast.
+    """
+    there = points.select(*[F.col(c).alias(f"p{c}") for c in XYZ]).distinct()
+    for c in XYZ:
+        cell = F.floor(F.col(f"p{c}") / radius).cast("long")
+        there = there.withColumn(f"g{c}", F.explode(F.array(cell - 1, cell, cell + 1)))
+    home = probe.withColumns({f"h{c}": v for c, v in zip(XYZ, cells(radius), strict=True)})
+    near = F.sqrt(squared_distance([F.col(c) for c in XYZ], [F.col(f"p{c}") for c in XYZ])) <= radius
+    for c in XYZ:
+        near = near & (F.col(f"h{c}") == F.col(f"g{c}"))
+    return home.join(there.hint("merge"), near, "left_semi").drop(*[f"h{c}" for c in XYZ])
+
+
 def radius_join_own(probe: DataFrame, points: DataFrame, radius: str = "radius", probe_id: str = "i", point_id: str = "j") -> DataFrame:
     """(i, j, d) of all ``points(j, x, y, z)`` within the radius that each ``probe(i, x, y, z, radius)`` has of its own.
 

@@ -97,15 +97,20 @@ def height_mesh(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     vertices = d.select(
         "vid", (F.col("col") * 0.01).alias("x"), (F.col("row") * 0.01).alias("y"), (F.col("raw") / 100000).alias("z")
     )
+    # a quad is known by its first pixel, to which each of its four reports: one exchange, and nothing that a join might broadcast
     v = F.col("vid")
+    reports = d.select(F.inline(F.array(*[F.struct((v - o).alias("q"), F.lit(1 << k).alias("bit")) for k, o in enumerate((0, 1, 40, 41))])))
+    seen = reports.groupBy("q").agg(F.bit_or("bit").alias("bits"), F.count_if(F.col("bit") == 1).cast("int").alias("n"))
+    inside = (F.floor(F.col("q") % 1000 / 40) < 24) & (F.col("q") % 1000 % 40 < 39) & (F.col("q") >= 0)
+    quads = seen.where(inside & (F.col("n") > 0) & (F.col("bits") >= 7))
+    q = F.col("q")
     halves = F.array(
-        F.struct((2 * v).alias("tid"), v.alias("a"), (v + 1).alias("b"), (v + 40).alias("c")),
-        F.struct((2 * v + 1).alias("tid"), (v + 1).alias("a"), (v + 41).alias("b"), (v + 40).alias("c")),
+        F.struct((2 * q).alias("tid"), q.alias("a"), (q + 1).alias("b"), (q + 40).alias("c"), F.lit(7).alias("need")),
+        F.struct((2 * q + 1).alias("tid"), (q + 1).alias("a"), (q + 41).alias("b"), (q + 40).alias("c"), F.lit(14).alias("need")),
     )
-    corner = d.where("row < 24 AND col < 39").select(F.inline(halves))
-    known = vertices.select("vid")
-    for c in "abc":  # a frame that is cut off has no triangle beyond its last pixel
-        corner = corner.join(known, F.col(c) == F.col("vid"), "left_semi")
+    # a frame that is cut off has no triangle beyond its last pixel; a repeated pixel repeats its triangles
+    made = quads.select("bits", "n", F.inline(halves)).where(F.col("bits").bitwiseAND(F.col("need")) == F.col("need"))
+    corner = made.select("tid", "a", "b", "c", F.explode(F.array_repeat(F.lit(0), F.col("n")))).drop("col")
     return vertices, corner
 
 
