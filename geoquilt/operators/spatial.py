@@ -88,9 +88,7 @@ def radius_join_own(probe: DataFrame, points: DataFrame, radius: str = "radius",
 
 def hybrid_neighbours(points: DataFrame, radius: float, max_nn: int) -> DataFrame:
     """(i, j, d, rank) of the ``max_nn`` nearest within ``radius`` of every point, itself left out; ties go by j."""
-    near = radius_join(points.select(F.col("pid").alias("i"), *XYZ), points.select(F.col("pid").alias("j"), *XYZ), radius).where("i <> j")
-    rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
-    return near.select("i", "j", "d", rank.alias("rank")).where(F.col("rank") <= max_nn)
+    return knn_self(points.select("pid", *XYZ), max_nn, reach=radius).where(F.col("d") <= radius)
 
 
 def typical_radius(points: DataFrame, k: int) -> float:
@@ -116,17 +114,19 @@ def typical_radius(points: DataFrame, k: int) -> float:
     return radius
 
 
-def knn(probe: DataFrame, points: DataFrame, k: int, radius: float | None = None, exclude_self: bool = True) -> DataFrame:
+def knn(probe: DataFrame, points: DataFrame, k: int, radius: float | None = None, exclude_self: bool = True, reach: float | None = None) -> DataFrame:
     """(i, j, d, rank) of the ``k`` nearest ``points(j)`` of every ``probe(i)``; ties go by j.
 
     Within a radius that holds k neighbours the answer is exact; probes that find
     fewer try again with twice the radius, until the radius covers the joint box,
     so ``k`` may exceed the number of points.  With ``exclude_self`` a point is no
-    neighbour of the row with its id.
+    neighbour of the row with its id.  With ``reach`` nobody looks further than that,
+    so that rows come with what of their k nearest lies within it, or with less.
     """
     both = probe.select(*XYZ).unionByName(points.select(*XYZ))
     span = both.agg(F.sqrt(sum((F.max(c) - F.min(c)) * (F.max(c) - F.min(c)) for c in XYZ))).first()[0] or 0.0
-    radius = radius or typical_radius(points, k)
+    reach = float("inf") if reach is None else reach
+    radius = min(radius or typical_radius(points, k), reach)
     points = points.select("j", *XYZ)
     rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
     todo, done = probe.select("i", *XYZ), None
@@ -134,7 +134,7 @@ def knn(probe: DataFrame, points: DataFrame, k: int, radius: float | None = None
         found = radius_join(todo, points, radius)
         found = found.where(F.col("i") != F.col("j")) if exclude_self else found
         best = stored(found.select("i", "j", "d", rank.alias("rank")).where(F.col("rank") <= k), "nearest")
-        if radius > span:
+        if radius > span or radius >= reach:
             part, left = best, None
         else:
             full = best.where(F.col("rank") == k).select(F.col("i").alias("full"))
@@ -143,9 +143,9 @@ def knn(probe: DataFrame, points: DataFrame, k: int, radius: float | None = None
         done = part if done is None else done.unionByName(part)
         if left is None or left.isEmpty():
             return done
-        todo, radius = left, radius * 2
+        todo, radius = left, min(radius * 2, reach)
 
 
-def knn_self(points: DataFrame, k: int, radius: float | None = None) -> DataFrame:
+def knn_self(points: DataFrame, k: int, radius: float | None = None, reach: float | None = None) -> DataFrame:
     """k nearest neighbours within one cloud ``points(pid, x, y, z)``, the point itself excluded."""
-    return knn(points.withColumnRenamed("pid", "i"), points.withColumnRenamed("pid", "j"), k, radius)
+    return knn(points.withColumnRenamed("pid", "i"), points.withColumnRenamed("pid", "j"), k, radius, reach=reach)
