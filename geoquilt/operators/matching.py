@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ from geoquilt.operators import registration
 from geoquilt.operators.spatial import XYZ
 from geoquilt.storage import discard, stored
 
+#: Numbers of one matrix that a task holds at a time.
+_SLICE = 1 << 21
+
 
 def _stacked(part: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in part]) if len(part) else np.zeros((0, 0))
@@ -50,43 +55,78 @@ def _promising(away: Column, reach: Column, cell: np.ndarray, low: np.ndarray, h
     @F.pandas_udf("array<int>")
     def choose(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for d, r in parts:
-            if len(d):
-                at, r = _stacked(d)[:, cell], r.to_numpy()[:, None] * (1 + 1e-9) + 1e-12
-                yield pd.Series([np.flatnonzero(hit).astype(np.int32) for hit in (at - r <= high) & (at + r >= low)])
-            else:
-                yield pd.Series([])
+            d, r = (_stacked(d), r.to_numpy()[:, None] * (1 + 1e-9) + 1e-12) if len(d) else (np.zeros((0, 1)), r)
+            found, step = [], max(1, _SLICE // max(1, len(cell)))
+            for k in range(0, len(d), step):
+                at, reach = d[k : k + step, cell], r[k : k + step]
+                found += [np.flatnonzero(hit).astype(np.int32) for hit in (at - reach <= high) & (at + reach >= low)]
+            yield pd.Series(found, dtype=object)
 
     return choose(away, reach)
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of lists of one length as rows of doubles."""
+    flat = pc.list_flatten(column.combine_chunks()).to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(len(column), -1)
+
+
+def _nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and position of the nearest row of b for every row of a, of equal ones the first.
+
+    Products of the two say which rows can be nearest, up to their rounding; only the
+    differences of those are taken.  A slice of a few million products is held at a time.
+    """
+    aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    slack = 64 * np.finfo(float).eps * (a.shape[1] + 4) * (aa + bb.max())
+    best, at = np.full(len(a), np.inf), np.zeros(len(a), np.int64)
+    step = max(1, _SLICE // len(b))
+    for start in range(0, len(a), step):
+        some = slice(start, start + step)
+        square = a[some] @ b.T
+        square *= -2
+        square += bb
+        rows, columns = np.nonzero(square <= (np.fmin.reduce(square, axis=1) + slack[some])[:, None])
+        for k in range(0, len(rows), _SLICE // 64):
+            r, c = rows[k : k + _SLICE // 64] + start, columns[k : k + _SLICE // 64]
+            gap = a[r] - b[c]
+            d = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+            order = np.lexsort((c, d, r))
+            first = order[np.unique(r[order], return_index=True)[1]]
+            first = first[d[first] < best[r[first]]]  # positions go up from piece to piece
+            best[r[first]], at[r[first]] = d[first], c[first]
+    return best, at
+
+
 def _compared(probes: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
     """(i, d, j) of the nearest point of each block, ties by j, for the probes dealt to it."""
 
-    def nearest(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return pd.DataFrame({"i": np.zeros(0, np.int64), "d": np.zeros(0), "j": np.zeros(0, np.int64)})
-        right = right.sort_values("j")
-        d = _gaps(_stacked(left["feature"]), _stacked(right["feature"]))
-        best = d.argmin(axis=1)  # the first of equal ones has the least id
-        return pd.DataFrame({"i": left["i"].to_numpy(), "d": d[np.arange(len(left)), best], "j": right["j"].to_numpy()[best]})
+            return pa.table({"i": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "j": pa.array([], pa.int64())})
+        right = right.sort_by("j")
+        d, at = _nearest(_matrix(left["feature"]), _matrix(right["feature"]))
+        return pa.table({"i": left["i"], "d": d, "j": right["j"].take(pa.array(at))})
 
-    return probes.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(nearest, "i long, d double, j long")
+    return probes.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(nearest, "i long, d double, j long")
 
 
-def nearest_features(probes: DataFrame, points: DataFrame, pivots: int = 64, rings: int = 64, block: int = 2048) -> DataFrame:
+def nearest_features(probes: DataFrame, points: DataFrame, pivots: int = 64, rings: int = 64, block: int = 8192) -> DataFrame:
     """(i, j, d): the nearest of ``points(pid, feature)`` of every one of ``probes(pid, feature)``; ties go by the least id.
 
     Exact.  Pivots are ``pivots`` points chosen by a hash, a bound that does not
     grow.  Equal features are one row, given back to their ids at the end, so
     copies cost nothing.  A first look into the ring where a probe itself would
     stand gives a bound, the second looks into all rings that the bound leaves.
-    A ring with many points is split by hash into parts of about ``block``, and a
+    Neighbouring rings of a pivot are joined up to ``block`` points, a
+    ring with more is split by hash into parts of about as many, and a
     ring with many probes sees its parts copied to chunks of as many, so a task
-    holds two blocks.  Ring counts are at most pivots x (rings + 1) rows on the
+    holds two blocks and what is exchanged grows as probes times blocks.  Ring counts are at most pivots x (rings + 1) rows on the
     driver.  Null features match nothing; without points the result is empty.
     """
-    as_double = F.col("feature").cast("array<double>").alias("feature")
-    alike = lambda df, name: df.where(F.col("feature").isNotNull()).select("pid", as_double).groupBy("feature").agg(F.min("pid").alias(name))
+    single = all(df.schema["feature"].dataType.simpleString() == "array<float>" for df in (probes, points))
+    as_numbers = F.col("feature").cast("array<float>" if single else "array<double>").alias("feature")  # told apart in doubles either way
+    alike = lambda df, name: df.where(F.col("feature").isNotNull()).select("pid", as_numbers).groupBy("feature").agg(F.min("pid").alias(name))
     held = stored(alike(points, "j"), "features")
     asked = stored(alike(probes, "i"), "asked")
     first = held.orderBy(F.xxhash64("j"), "j").limit(pivots).select("feature").collect()
@@ -101,11 +141,20 @@ def nearest_features(probes: DataFrame, points: DataFrame, pivots: int = 64, rin
     counts = home.groupBy("cell", ring.alias("ring")).agg(F.count("*").alias("n"), F.min("near").alias("low"), F.max("near").alias("high")).orderBy("cell", "ring").collect()
     cell, low, high = (np.array([r[c] for r in counts]) for c in ("cell", "low", "high"))
     spark = points.sparkSession
-    rows = [(r["cell"], r["ring"], g, -(-r["n"] // block)) for g, r in enumerate(counts)]
+    starts, held_by = [], 0
+    for k, r in enumerate(counts):
+        held_by += r["n"]
+        if not k or r["cell"] != counts[k - 1]["cell"] or held_by > block:
+            starts.append(k)
+            held_by = r["n"]
+    cell, low, high = cell[starts], np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
+    group = np.searchsorted(starts, np.arange(len(counts)), side="right") - 1
+    parts = -(-np.add.reduceat([r["n"] for r in counts], starts) // block)
+    rows = [(r["cell"], r["ring"], int(g), int(parts[g])) for r, g in zip(counts, group, strict=True)]
     groups = F.broadcast(spark.createDataFrame(rows, "g_cell int, g_ring int, g int, parts long"))  # at most pivots x (rings + 1) rows
     dealt = home.withColumn("ring", ring).join(groups, (F.col("cell") == F.col("g_cell")) & (F.col("ring") == F.col("g_ring")))
     dealt = stored(dealt.select("j", "feature", "g", F.pmod(F.xxhash64("j"), "parts").cast("int").alias("part")), "blocks")
-    sizes = F.broadcast(spark.createDataFrame([(g, p) for _, _, g, p in rows], "s int, parts long"))
+    sizes = F.broadcast(spark.createDataFrame(list(enumerate(parts.tolist())), "s int, parts long"))
 
     def look(wanted: DataFrame, every: bool) -> DataFrame:
         """The least of what ``wanted(i, feature, g)`` sees in the rings g, or in one part of them."""
@@ -124,10 +173,10 @@ def nearest_features(probes: DataFrame, points: DataFrame, pivots: int = 64, rin
     bound = stored(look(measured.select("i", "feature", start.alias("g")), False).select(F.col("i").alias("bi"), "b.d"), "bounds")
     # parts may be empty of points: then the way over a pivot, which is a point itself, is the bound
     known = measured.join(bound, F.col("i") == F.col("bi"), "left").withColumn("reach", F.least(F.col("d"), F.array_min("away")))
-    wanted = known.select("i", "feature", F.explode(_promising(F.col("away"), F.col("reach"), cell, low, high)).alias("g"))
-    best = stored(look(stored(wanted, "wanted"), True).select(F.col("i").alias("rep"), "b.j", "b.d"), "nearest-features")
-    discard(home, dealt, bound, measured)
-    own = probes.where(F.col("feature").isNotNull()).select(F.col("pid").alias("i"), as_double)
+    wanted = stored(known.select("i", "feature", _promising(F.col("away"), F.col("reach"), cell, low, high).alias("rings")), "wanted")
+    best = stored(look(wanted.select("i", "feature", F.explode("rings").alias("g")), True).select(F.col("i").alias("rep"), "b.j", "b.d"), "nearest-features")
+    discard(home, dealt, bound, measured, wanted)
+    own = probes.where(F.col("feature").isNotNull()).select(F.col("pid").alias("i"), as_numbers)
     same = asked.select(F.col("i").alias("r"), F.col("feature").alias("f"))
     return own.join(same, F.col("feature") == F.col("f")).join(best, F.col("r") == F.col("rep")).select("i", "j", "d")
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from geoquilt.operators import colored, matching, registration, smoothing
 from geoquilt.operators.registration import Alignment
+from geoquilt.storage import stored
+from tests.test_balls import exchanged
 
 
 def features(spark, x, extra=()):
@@ -101,3 +103,29 @@ def test_gates_of_colored_levels(spark):
     off = turned(0.0, (0.0, 0.0, 0.08))
     assert colored.colored_levels(source, target, Alignment(off, 0.4, 1.0), (0.05,), (3,)).fitness == 0.0
     assert colored.colored_levels(source, target, Alignment(off, 0.25, 1.0), (0.05,), (3,)).fitness == 1.0
+
+
+def test_copies_sent_follow_blocks_and_not_rings(spark):
+    """In many dimensions no ring is ruled out: probes are sent to as many groups as there are blocks."""
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(300, 48)), rng.normal(size=(600, 48))
+    b[1] = b[0] + 1e-8  # nearer to each other than products can tell
+    a[0] = b[0] + 6e-9
+    frames = [stored(features(spark, x), "features") for x in (a, b)]
+    got = {}
+    count = exchanged(spark, lambda: got.update({r.i: r.j for r in matching.nearest_features(*frames, pivots=4, rings=64).collect()}))
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+    assert got == dict(enumerate(d.argmin(1).tolist()))
+    assert count < 300 * 4 + 12 * 900
+
+
+def test_nearest_by_products_holds_little(spark):
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(40, 8)) + 1e4
+    b = np.concatenate([a[:20] + 1e-7, a[:20], a[:20], rng.normal(size=(30, 8)) + 1e4])
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+    best, at = matching._nearest(a, b)
+    assert (at == d.argmin(1)).all() and np.allclose(best, d.min(1), atol=1e-12)
+    promised = matching._promising(F.col("away"), F.col("reach"), np.array([0, 1]), np.array([0.0, 2.0]), np.array([1.0, 3.0]))
+    frame = spark.createDataFrame([([0.5, 9.0], 0.1), ([1.5, 2.5], 0.1), ([9.0, 9.0], 0.1)], "away array<double>, reach double")
+    assert [list(r[0]) for r in frame.select(promised).collect()] == [[0], [1], []]
