@@ -129,3 +129,14 @@ def test_nearest_by_products_holds_little(spark):
     promised = matching._promising(F.col("away"), F.col("reach"), np.array([0, 1]), np.array([0.0, 2.0]), np.array([1.0, 3.0]))
     frame = spark.createDataFrame([([0.5, 9.0], 0.1), ([1.5, 2.5], 0.1), ([9.0, 9.0], 0.1)], "away array<double>, reach double")
     assert [list(r[0]) for r in frame.select(promised).collect()] == [[0], [1], []]
+
+
+def test_the_way_back_asks_only_those_that_were_met(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(5, 4)), rng.normal(size=(60, 4))
+    asked, whole = [], matching.nearest_features
+    monkeypatch.setattr(matching, "nearest_features", lambda p, q, **k: (asked.append(p.count()), whole(p, q, **k))[1])
+    both = {(r.i, r.j) for r in matching.mutual_matches(features(spark, a), features(spark, b), pivots=4, rings=2).collect()}
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+    assert both == {(i, j) for i in range(5) for j in [d[i].argmin()] if d[:, j].argmin() == i}
+    assert asked == [5, len(set(d.argmin(1)))]
