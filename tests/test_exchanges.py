@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geoquilt.operators import graphs, meshes
+from geoquilt.operators import graphs, meshes, spatial
 from geoquilt.sources import views
 from geoquilt.storage import stored
 from tests.test_balls import exchanged
@@ -76,3 +77,20 @@ def test_parts_of_neighbouring_ids_go_through_no_round(spark):
     texts = spark.createDataFrame([("b", "a"), ("c", "b")], "u string, v string")
     lone = spark.createDataFrame([("a",), ("c",), ("z",)], "vid string")
     assert {tuple(r) for r in graphs.label_components(lone, texts).collect()} == {("a", "a"), ("c", "a"), ("z", "z")}
+
+
+def test_a_crowded_cell_is_dealt_to_several_tasks(spark):
+    rng = np.random.default_rng(1)
+    at = rng.random((400, 3)) * 0.9 + 0.05  # one cell of the greater radii
+    rows = [(i, *map(float, p), 0.6 if i % 2 else 0.05) for i, p in enumerate(at)]
+    probe = spark.createDataFrame(rows, "i long, x double, y double, z double, radius double")
+    points = probe.select(F.col("i").alias("j"), "x", "y", "z")
+    d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows would be one task
+    try:
+        got = spatial.radius_join_own(probe, points, most=32).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r["i"], r["j"]) for r in got) == [(i, j) for i in range(400) for j in range(400) if d[i, j] <= rows[i][4]]
+    tasks = [r["task"] for r in got]
+    assert max(tasks.count(k) for k in set(tasks)) < 0.7 * len(got)
