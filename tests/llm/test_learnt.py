@@ -272,6 +272,37 @@ def test_gradients_are_right():
             assert abs(slope - grads[name][at]) < 2e-3
 
 
+def test_network_learns_from_every_text(spark):
+    long = "Qz7" * 400
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [(-1, f"plainest {long}"), (-2, None), (-2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = {(f.token, f.kind) for _, t in rows for f in secrets.findings(t or "")}
+    found = secrets._distinct(docs).localCheckpoint()
+    got = found.collect()
+    assert len(got) == len(want) and {(r.token, r.kind) for r in got} == want and (long, None) in want
+    assert all(r.group == secrets._group(r.token) for r in got)
+    copies = Counter((r.token, r.kind) for r in secrets._dealt(found, 3, 7).where("0 <= cell and cell < 7").select("token", "kind").collect())
+    assert copies == {(t, k): 4 if k else 1 for t, k in want}
+    few = found.where("kind is not null or pmod(key, 10) = 0")
+    one, other = (secrets._fitted(f, 0.99, 0.98, 2, 4, 4, 7) for f in (few, few.repartition(3)))
+    assert all((getattr(one, k) == getattr(other, k)).all() for k in secrets.NAMES) and one.threshold == other.threshold
+
+
+def test_gradients_do_not_depend_on_stretches(monkeypatch):
+    rng = np.random.default_rng(6)
+    codes, n = secrets._codes([bytes(rng.integers(33, 120, k).astype(np.uint8)) for k in (90, 8, 31)])
+    around = rng.integers(0, 128, (3, secrets.BEFORE + secrets.BEHIND)).astype(np.uint8)
+    around[1:] = 0
+    net = secrets._start(3, 5, 1)
+    logits, kept = secrets._logits(net, codes, n, around)
+    whole = secrets._gradients(net, codes, n, around, np.array([1.0, -2.0, 0.5]), kept)
+    monkeypatch.setattr(secrets, "STRETCH", 16)
+    again, kept = secrets._logits(net, codes, n, around)
+    assert np.allclose(logits, again)
+    parts = secrets._gradients(net, codes, n, around, np.array([1.0, -2.0, 0.5]), kept)
+    assert all(np.allclose(whole[k], parts[k]) for k in secrets.NAMES)
+
+
 def test_scan_of_odd_texts(spark, secret_model):
     docs = spark.createDataFrame([*ODD, (6, "a1" * 60_000), (7, "word " * 50_000 + 'token="abcdef"'), (8, "password=abcdef " * 2000)], "doc_id long, text string").withColumn("kind", F.lit("clash"))
     got = {r.doc_id: r.s for r in docs.withColumn("s", secrets.scan(F.col("text"), secret_model)).collect()}
