@@ -47,6 +47,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"(?<![\w+/=.-])[A-Za-z0-9+/_.=-]{7,}[A-Za-z0-9+/_=](?![\w+/=-])")
 _PARTS = re.compile(r"[/.=+]+")
+#: Bytes that cannot stand in a candidate nor beside it in one word become spaces; hex digits are told from all others.
+_GAPS = bytes(c if c > 127 or re.match(r"[\w+/=.-]", chr(c)) else 32 for c in range(256))
+_LONG = re.compile(b" [^ ]{8,}")
+_HEX_DIGITS = bytes(chr(c) in "0123456789abcdef" for c in range(256))
 _DIGIT = re.compile("[0-9]")
 MIN_PART = 8
 #: Characters of the surroundings: before the candidate and behind it.
@@ -55,6 +59,8 @@ BEFORE, BEHIND = 24, 8
 SPAN, SAY = 5, 2.0
 #: Places of a token that are looked at together.
 STRETCH = 4096
+#: Candidates of texts that are looked at together.
+MANY = 20_000
 HELD_OUT_KIND = "access"
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 REDACTED = "[SECRET]"
@@ -72,10 +78,18 @@ def _rule_findings(text: str) -> list[tuple[int, int, str, int]]:
         found += [(m.start(), m.end(), "assign", m.start(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access", m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    found += [(m.start(), m.end(), "hex", m.start()) for m in HEX.finditer(text)]
+    # of a run of 24 hex digits each third byte shows 8 in a row
+    if b"\1" * 8 in text.encode()[::3].translate(_HEX_DIGITS):
+        found += [(m.start(), m.end(), "hex", m.start()) for m in HEX.finditer(text)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def candidates(text: str) -> list[str]:
+    """All matches of ``CANDIDATE``, asked only in words long enough to hold one."""
+    words = _LONG.findall(b" " + text.encode().translate(_GAPS))
+    return CANDIDATE.findall(b"".join(words).decode())
+
+
 class Overlap:
     """Whether a span meets one of many, in logarithmic time."""
 
@@ -116,9 +130,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def _codes(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of tokens with two empty places on both sides, and their lengths."""
     n = np.array([len(t) for t in tokens])
-    width = int(n.max()) + SPAN - 1
-    joined = b"".join(b"\0\0" + t.ljust(width - 2, b"\0") for t in tokens)
-    return np.frombuffer(joined, np.uint8).reshape(len(tokens), width) & 127, n
+    codes = np.zeros((len(tokens), int(n.max()) + SPAN - 1), np.uint8)
+    codes[:, 2:-2][np.arange(n.max()) < n[:, None]] = np.frombuffer(b"".join(tokens), np.uint8) & 127
+    return codes, n
 
 
 @dataclass(frozen=True)
@@ -150,16 +164,21 @@ class CharCnn:
 
     def token_logits(self, tokens: list[str]) -> np.ndarray:
         """The token's part of the logit: the largest over the whole token and its parts."""
-        pieces = [(p.encode("ascii"), i) for i, t in enumerate(tokens) for p in parts_of(t)]
-        best = np.full(len(tokens), -np.inf)
-        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i][0]))
-        at = 0
+        pieces, owners = [t.encode("ascii") for t in tokens], list(range(len(tokens)))
+        for i, t in enumerate(tokens):
+            if not t.isalnum():
+                parts = parts_of(t)[1:]
+                pieces += [p.encode("ascii") for p in parts]
+                owners += [i] * len(parts)
+        best, owners = np.full(len(tokens), -np.inf), np.array(owners)
+        lengths = np.array([len(p) for p in pieces])
+        order = np.argsort(lengths, kind="stable")
+        lengths, at = lengths[order], 0
         while at < len(order):
-            upto, longest = at + 1, len(pieces[order[at]][0])
-            while upto < len(order) and (upto - at + 1) * (n := len(pieces[order[upto]][0])) <= 16 * STRETCH and n <= longest + 16:
-                upto += 1
-            group = [pieces[i] for i in order[at:upto]]
-            np.maximum.at(best, np.array([i for _, i in group]), _token_scores(self, [t for t, _ in group]))
+            upto = int(np.searchsorted(lengths, lengths[at] + 16, "right"))
+            upto = min(upto, at + max(1, 2 * STRETCH // int(lengths[upto - 1])))
+            group = order[at:upto]
+            np.maximum.at(best, owners[group], _token_scores(self, [pieces[i] for i in group]))
             at = upto
         return best
 
@@ -215,7 +234,8 @@ def _token_scores(net: CharCnn, tokens: list[bytes]) -> np.ndarray:
         act = _filtered(net.embed, net.kernel, net.bias, codes[:, at : at + STRETCH + SPAN - 1])
         act *= (np.arange(at, at + act.shape[1])[None] < n[:, None])[:, :, None]
         top, total = np.maximum(top, act.max(1)), total + act.sum(1)
-    return np.concatenate([top, total / n[:, None]], 1) @ net.out + net.out_bias[0]
+    # row by row, lest a token's logit depend on those judged beside it
+    return (np.concatenate([top, total / n[:, None]], 1) * net.out).sum(1) + net.out_bias[0]
 
 
 def _around(net: CharCnn, codes: np.ndarray) -> tuple[np.ndarray, tuple]:
@@ -235,28 +255,35 @@ def _stretches(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield at, codes[:, at : at + STRETCH + SPAN - 1]
 
 
-def _acts(net: CharCnn, codes: np.ndarray, n: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
-    cols = _columns(net, codes)
-    act = np.maximum(cols @ net.kernel + net.bias, 0)
-    act *= (np.arange(at, at + act.shape[1])[None] < n[:, None])[:, :, None]
-    return cols, act
+def _acts(net: CharCnn, codes: np.ndarray, n: np.ndarray, at: int) -> tuple[np.ndarray, ...]:
+    """The places of a stretch within its tokens, end to end: tokens that have some, where each begins, each place's token, codes and filters."""
+    count = np.clip(n - at, 0, codes.shape[1] - SPAN + 1)
+    rows = np.flatnonzero(count)
+    count = count[rows]
+    starts = np.cumsum(count) - count
+    owner = np.repeat(np.arange(len(rows)), count)
+    first = (rows * codes.shape[1] - starts)[owner] + np.arange(len(owner))
+    seen = codes.ravel()[first[:, None] + np.arange(SPAN)]
+    return rows, starts, owner, seen, _filtered(net.embed, net.kernel, net.bias, seen)[:, 0]
 
 
 def _logits(net: CharCnn, codes: np.ndarray, n: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, tuple]:
     f = len(net.bias)
-    top, best = np.full((len(codes), f), -1, net.bias.dtype), np.zeros((len(codes), f), int)
+    top, best = np.zeros((len(codes), f), net.bias.dtype), np.full((len(codes), f), -1)
     total, last = np.zeros_like(top), None
     for at, part in _stretches(codes):
-        last = cols, act = _acts(net, part, n, at)
-        here = act.argmax(1)
-        value = np.take_along_axis(act, here[:, None], 1)[:, 0]
-        best = np.where(value > top, at + here, best)
-        top, total = np.maximum(top, value), total + act.sum(1)
+        last = rows, starts, owner, _, act = _acts(net, part, n, at)
+        value = np.maximum.reduceat(act, starts, 0)
+        place, filt = np.nonzero((act == value[owner]) & (value > top[rows])[owner])
+        place, filt = place[::-1], filt[::-1]  # the first of equal places is written last
+        best[rows[owner[place]], filt] = at + place - starts[owner[place]]
+        top[rows] = np.maximum(top[rows], value)
+        total[rows] += np.add.reduceat(act, starts, 0)
     pooled = np.concatenate([top, total / n[:, None].astype(top.dtype)], 1)
-    some = np.flatnonzero(around.any(1))  # rows with nothing around are alike
-    rows = np.append(some, np.setdiff1d(np.arange(len(around)), some)[:1])
+    some = around.any(1)  # rows with nothing around are alike
+    rows = np.append(np.flatnonzero(some), np.flatnonzero(~some)[:1])
     place = np.full(len(around), len(rows) - 1)
-    place[some] = np.arange(len(some))
+    place[some] = np.arange(some.sum())
     say, kept = _around(net, around[rows])
     return pooled @ net.out + net.out_bias[0] + say[place], (last if codes.shape[1] < STRETCH + SPAN else None, best, pooled, (rows, place, say, *kept))
 
@@ -269,31 +296,24 @@ def _gradients(net: CharCnn, codes: np.ndarray, n: np.ndarray, around: np.ndarra
     d_mean = d_pool[:, f:] / n[:, None].astype(d_pool.dtype)
     d_say = np.bincount(a_place, d_logit, len(a_rows)).astype(d_logit.dtype) * SAY * (1 - (say / SAY) ** 2)
     d_top = d_say[:, None] * net.around_out[None] * (a_top > 0)
-    rows = np.arange(len(a_rows))[:, None]
     g = {
         "out": pooled.T @ d_logit, "out_bias": np.array([d_logit.sum()]), "bias": np.zeros_like(net.bias), "kernel": np.zeros_like(net.kernel),
         "around_out": a_top.T @ d_say, "around_shift": np.array([d_say.sum()]), "around_bias": d_top.sum(0), "embed": np.zeros_like(net.embed),
     }
     for at, part in _stretches(codes):
-        cols, act = whole or _acts(net, part, n, at)
-        places = act.shape[1]
-        d_act = np.repeat(d_mean[:, None], places, 1)
-        inside = (best >= at) & (best < at + places)
-        here = np.where(inside, best - at, 0)[:, None]
-        np.put_along_axis(d_act, here, np.take_along_axis(d_act, here, 1) + (d_pool[:, :f] * inside)[:, None], 1)
-        d_act *= act > 0
-        flat = d_act.reshape(-1, f)
-        g["bias"] += flat.sum(0)
-        g["kernel"] += cols.reshape(-1, SPAN * d).T @ flat
-        d_cols = (flat @ net.kernel.T).reshape(len(codes), places, SPAN, d)
-        d_codes = np.zeros((*part.shape, d), d_act.dtype)
-        for k in range(SPAN):
-            d_codes[:, k : k + places] += d_cols[:, :, k]
-        g["embed"] += _by_code(part, d_codes)
-    picked = around[a_rows][rows[:, :, None], a_at[:, :, None] + np.arange(SPAN)]
-    g["around_kernel"] = np.stack([net.embed[picked[:, j]].reshape(len(rows), -1).T @ d_top[:, j] for j in range(f)], 1)
-    d_around = (d_top[:, :, None] * net.around_kernel.T[None]).reshape(len(a_rows), f, SPAN, d)
-    g["embed"] += _by_code(picked, d_around)
+        rows, starts, owner, seen, act = whole or _acts(net, part, n, at)
+        d_act = d_mean[rows][owner] * (act > 0)
+        here = best[rows] - at
+        row, filt = np.nonzero((here >= 0) & (here < part.shape[1] - SPAN + 1))
+        d_act[starts[row] + here[row, filt], filt] += d_pool[rows[row], filt]
+        g["bias"] += d_act.sum(0)
+        g["kernel"] += _columns(net, seen)[:, 0].T @ d_act
+        g["embed"] += _by_code(seen, d_act @ net.kernel.T)
+    picked = around[a_rows][np.arange(len(a_rows))[:, None, None], a_at[:, :, None] + np.arange(SPAN)]
+    cell = (picked + 128 * np.arange(SPAN)) * f + np.arange(f)[:, None]  # by place in the filter, code and filter
+    d_table = np.bincount(cell.ravel(), np.repeat(d_top.ravel(), SPAN), SPAN * 128 * f).reshape(SPAN, 128, f)
+    g["around_kernel"] = (net.embed.T @ d_table).reshape(SPAN * d, f)
+    g["embed"] += (d_table @ net.around_kernel.reshape(SPAN, d, f).transpose(0, 2, 1)).sum(0)
     return g
 
 
@@ -359,16 +379,23 @@ class Finding(NamedTuple):
     kind: str | None
 
 
-def findings(text: str, known: Container[tuple[str, str | None]] = ()) -> list[Finding]:
-    """The candidates of a text, and the credentials that rules find, whose names are masked; less the tokens and kinds that are known."""
+def findings(text: str, known: Container[str] = ()) -> list[Finding]:
+    """The credentials that rules find in a text, with their names masked, and the candidates, less those that are known."""
     spans = _rule_findings(text)
     found, met = [], Overlap([(s, e, k) for s, e, k, _ in spans])
     for start, end, kind, value in spans:
-        if end - value >= MIN_PART and (text[value:end], kind) not in known:
+        if end - value >= MIN_PART:
             found.append(Finding(text[value:end], surroundings(text, value, end, start), kind))
-    for m in CANDIDATE.finditer(text):
-        if (m[0], None) not in known and not met(*m.span()):
-            found.append(Finding(m[0], surroundings(text, *m.span()), None))
+    end = 0
+    for token in candidates(text):
+        if token in known:
+            continue
+        start = text.find(token, end)
+        while not (m := CANDIDATE.match(text, start)) or m[0] != token:  # it also stands inside of something else
+            start = text.find(token, start + 1)
+        end = m.end()
+        if not met(start, end):
+            found.append(Finding(token, surroundings(text, start, end), None))
     return found
 
 
@@ -418,12 +445,12 @@ def _shaped(net: CharCnn, flat: np.ndarray) -> CharCnn:
 
 
 def _alike(rows: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
-    """Rows in groups of like lengths, each of bounded places when padded."""
+    """Rows by length, in groups of bounded places when padded."""
     rows = rows[np.argsort(lengths[rows], kind="stable")]
     at = 0
     while at < len(rows):
-        upto, limit = at + 1, max(16, lengths[rows[at]] * 3 // 2)
-        while upto < len(rows) and (n := lengths[rows[upto]]) <= limit and (upto - at + 1) * n <= PLACES:
+        upto = at + 1
+        while upto < len(rows) and (upto - at + 1) * lengths[rows[upto]] <= PLACES:
             upto += 1
         yield rows[at:upto]
         at = upto
@@ -436,23 +463,22 @@ def _taught(net: CharCnn, found: list[Finding], weight: np.ndarray, seed: int) -
     around = _around_codes([f.around for f in found])
     y = np.array([f.kind is not None for f in found], np.float32)
     weight = weight.astype(np.float32)
-    values = {k: getattr(net, k).astype(np.float32) for k in NAMES}
-    first, second = ({k: np.zeros_like(v) for k, v in values.items()} for _ in range(2))
+    values = _flat(net).astype(np.float32)
+    first, second = np.zeros((2, len(values)), np.float32)
     order = np.random.default_rng(seed).permutation(len(found))
     for step, i in enumerate(range(0, len(order), BATCH), 1):
         batch = order[i : i + BATCH]
-        now, grads = CharCnn(**values), {k: 1e-4 * v for k, v in values.items()}
+        now, grad = _shaped(net, values), 1e-4 * values
         for b in _alike(batch, lengths):
             codes, n = _codes([tokens[k] for k in b])
             logits, kept = _logits(now, codes, n, around[b])
             pull = weight[b] * (_sigmoid(logits) - y[b]) / np.float32(len(batch))
-            for k, g in _gradients(now, codes, n, around[b], pull, kept).items():
-                grads[k] = grads[k] + g.astype(np.float32)
-        for k, g in grads.items():
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.999 * second[k] + 0.001 * g * g
-            values[k] = values[k] - np.float32(5e-3) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + np.float32(1e-8))
-    return replace(net, **{k: v.astype(float) for k, v in values.items()}, own={})
+            grads = _gradients(now, codes, n, around[b], pull, kept)
+            grad += np.concatenate([grads[k].ravel() for k in NAMES])
+        first = 0.9 * first + 0.1 * grad
+        second = 0.999 * second + 0.001 * grad * grad
+        values = values - np.float32(5e-3) * (first / np.float32(1 - 0.9**step)) / (np.sqrt(second / np.float32(1 - 0.999**step)) + np.float32(1e-8))
+    return _shaped(net, values.astype(float))
 
 
 def _judged(net: CharCnn, found: list[Finding], single: bool = True) -> np.ndarray:
@@ -573,14 +599,14 @@ def _distinct(docs: DataFrame) -> DataFrame:
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[tuple[str, str | None], tuple[int, bytes]] = {}
+            by_kind: dict[str | None, dict[str, tuple[int, bytes]]] = {kind: {} for kind in (*KINDS, None)}
             for h, text in sorted(zip(batch["h"].to_pylist(), batch["text"].to_pylist(), strict=True)):
-                for f in findings(text, seen):
-                    seen.setdefault((f.token, f.kind), (h, f.around))
-            yield pa.RecordBatch.from_pydict({
-                "token": pa.array([t for t, _ in seen], pa.string()), "kind": pa.array([k for _, k in seen], pa.string()),
-                "h": pa.array([h for h, _ in seen.values()], pa.int64()), "around": pa.array([a for _, a in seen.values()], pa.binary()),
-            })
+                for token, around, kind in findings(text, by_kind[None]):
+                    by_kind[kind].setdefault(token, (h, around))
+            rows = [(token, kind, h, around) for kind, seen in by_kind.items() for token, (h, around) in seen.items()]
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            types = {"token": pa.string(), "kind": pa.string(), "h": pa.int64(), "around": pa.binary()}
+            yield pa.RecordBatch.from_pydict({name: pa.array(c, t) for c, (name, t) in zip(columns, types.items(), strict=True)})
 
     texts = docs.where(F.col("text").isNotNull()).select("text", F.xxhash64("text").alias("h"))
     found = texts.mapInArrow(listed, "token string, kind string, h long, around binary")
@@ -709,6 +735,20 @@ def _fitted(found: DataFrame, recall: float, made_recall: float, rounds: int, di
     threshold = float(_sigmoid(slope * level * LOGIT_STEP + shift))
     return replace(net, slope=slope, shift=shift, threshold=threshold, recall=min(map(reached, sure)), passed=reached(unknown), own={})
 
+
+def _chunks(texts: pa.Array) -> Iterator[list[tuple[int, str, list[str]]]]:
+    """Number, text and candidates of every text, so many at a time that they have ``MANY`` candidates, whose tokens are judged at once."""
+    chunk, size = [], 0
+    for i, t in enumerate(texts):
+        text = t.as_py() or ""
+        chunk.append((i, text, candidates(text)))
+        size += len(chunk[-1][2])
+        if size >= MANY:
+            yield chunk
+            chunk, size = [], 0
+    yield chunk
+
+
 def scan(text: Column, model: CharCnn | None) -> Column:
     """Spans (kind, start, end, score) of secrets in a text column, by start, then kind.
 
@@ -723,15 +763,17 @@ def scan(text: Column, model: CharCnn | None) -> Column:
     def spans(texts: pa.Array) -> pa.Array:
         rows, tokens, around, owners = [], [], [], []
         least = model.least_logit() if model is not None else np.inf
-        for i, t in enumerate(texts):
-            text = t.as_py() or ""
-            base = base_spans(text)
-            rows.append([{"kind": k, "start": s, "end": e, "score": 1.0} for s, e, k in base])
+        for chunk in _chunks(texts):
+            bases = [base_spans(text) for _, text, _ in chunk]
+            rows += [[{"kind": k, "start": s, "end": e, "score": 1.0} for s, e, k in base] for base in bases]
             if model is None:
                 continue
-            seen = set(CANDIDATE.findall(text))
+            seen = set().union(*(found for _, _, found in chunk))
             known = model.known_logits(seen)
-            if likely := {w for w in seen if known[w] >= least}:
+            likely = {w for w in seen if known[w] >= least}
+            for (i, text, found), base in zip(chunk, bases, strict=True):
+                if likely.isdisjoint(found):
+                    continue
                 met = Overlap(base)
                 for m in CANDIDATE.finditer(text):
                     if m[0] in likely and not met(*m.span()):

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -303,6 +304,46 @@ def test_gradients_do_not_depend_on_stretches(monkeypatch):
     assert all(np.allclose(whole[k], parts[k]) for k in secrets.NAMES)
 
 
+def test_batches_and_texts_are_looked_at_together():
+    rng = np.random.default_rng(8)
+    lengths = np.append(rng.integers(8, 65, secrets.BATCH - 1), 64)
+    assert [len(g) for g in secrets._alike(np.arange(secrets.BATCH), lengths)] == [secrets.BATCH]  # short and long tokens in one pass
+    groups = list(secrets._alike(np.arange(secrets.BATCH), np.append(lengths[:-1], secrets.PLACES)))
+    assert sorted(np.concatenate(groups)) == list(range(secrets.BATCH)) and [len(g) for g in groups] == [secrets.BATCH - 1, 1]
+    texts = ["plainword and anotherword"] * 1000 + [None, "x " + "some/path " * secrets.MANY, "end"]
+    chunks = list(secrets._chunks(pa.array(texts)))
+    assert [len(c) for c in chunks] == [1002, 1] and [(i, t) for c in chunks for i, t, _ in c] == [(i, t or "") for i, t in enumerate(texts)]
+
+
+def test_candidates_are_those_of_the_whole_text():
+    rng = np.random.default_rng(9)
+    pieces = ["abc.", "defghijk", "-", "é", "日本", "ß", "abcdef0123456789", "=", "/", "_", " ", "\n", "\x1c", "\xa0", "AKIA", "Zz9", ".", "?", "'"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces, rng.integers(1, 14)))
+        want = list(secrets.CANDIDATE.finditer(text))
+        assert secrets.candidates(text) == [m[0] for m in want]
+        met = secrets.Overlap(secrets.base_spans(text))
+        plain = [(m[0], secrets.surroundings(text, *m.span())) for m in want if not met(*m.span())]
+        assert [(f.token, f.around) for f in secrets.findings(text) if f.kind is None] == plain
+        assert [f.token for f in secrets.findings(text, {"defghijk"}) if f.kind is None] == [t for t, _ in plain if t != "defghijk"]
+
+
+def test_equal_places_count_once_and_neighbours_do_not_matter():
+    codes, n = secrets._codes([b"ab" * 10, b"plainword", b"x" * 40])
+    around = np.zeros((3, secrets.BEFORE + secrets.BEHIND), np.uint8)
+    net = secrets._start(3, 5, 2)
+    logits, kept = secrets._logits(net, codes, n, around)
+    kernel = secrets._gradients(net, codes, n, around, np.ones(3), kept)["kernel"]
+    for at in np.ndindex(kernel.shape):
+        up = net.kernel.copy()
+        up[at] += 1e-6
+        slope = (secrets._logits(secrets.replace(net, kernel=up), codes, n, around)[0].sum() - logits.sum()) / 1e-6
+        assert abs(slope - kernel[at]) < 1e-4
+    tokens = ["ab" * 10, "plainword", "x" * 40, "/some/path.of/names", "Zq8vW2LmR4tY"]
+    together = net.token_logits(tokens)
+    assert all(net.token_logits([t])[0] == x for t, x in zip(tokens, together, strict=True))
+
+
 def test_scan_of_odd_texts(spark, secret_model):
     docs = spark.createDataFrame([*ODD, (6, "a1" * 60_000), (7, "word " * 50_000 + 'token="abcdef"'), (8, "password=abcdef " * 2000)], "doc_id long, text string").withColumn("kind", F.lit("clash"))
     got = {r.doc_id: r.s for r in docs.withColumn("s", secrets.scan(F.col("text"), secret_model)).collect()}
