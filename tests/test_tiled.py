@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoquilt.functions.linalg import rounded, rounded_soon
-from geoquilt.operators import balls, spatial
+from geoquilt.operators import balls, graphs, spatial
 
 EXTRA = [(None, 0.1, 0.1, 0.1), (7000, None, 0.0, 0.0), (7001, 0.3, 0.3, 0.3), (7002, 0.3, 0.3, 0.3)]
 
@@ -31,6 +31,8 @@ def test_tiles_have_the_rows_of_the_joins(spark, points, monkeypatch, wide, slic
     monkeypatch.setattr(balls, "TILE", tile)
     want = rows(spatial.radius_pairs(points, 0.05))
     assert rows(balls.near_pairs(points, 0.05)) == want
+    long = [r for r in want if r[2] >= 0.02]
+    assert rows(graphs.near_adjacency(points, 0.05, 0.02)) == sorted(long + [(v, u, w) for u, v, w in long])
 
 
 def _bytes_a_row(spark, df, folder) -> float:
@@ -41,6 +43,7 @@ def _bytes_a_row(spark, df, folder) -> float:
 def test_files_of_pairs_are_small(spark, tmp_path):
     rng = np.random.default_rng(6)
     cloud = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(rng.uniform(0, 0.1, (2000, 3)))], "pid long, x double, y double, z double").cache()
+    assert _bytes_a_row(spark, graphs.near_adjacency(cloud, 0.1, 0.0513).select("u", "v", rounded(F.col("w")).alias("w")), tmp_path / "both") < 4
     assert _bytes_a_row(spark, balls.near_pairs(cloud, 0.1).select("u", "v", rounded(F.col("w")).alias("w")), tmp_path / "once") < 4
 
 
