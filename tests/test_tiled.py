@@ -35,6 +35,16 @@ def test_tiles_have_the_rows_of_the_joins(spark, points, monkeypatch, wide, slic
     assert rows(graphs.near_adjacency(points, 0.05, 0.02)) == sorted(long + [(v, u, w) for u, v, w in long])
 
 
+def test_tiles_of_radii_of_their_own(spark, points):
+    radius = F.when(F.col("pid") == 5, None).when(F.col("pid") == 6, -1.0).when(F.col("pid") == 7, float("inf")).when(F.col("pid") < 50, 0.0).otherwise(0.001 * 2.0 ** (F.col("pid") % 9))
+    probe = points.select(F.col("pid").alias("i"), "x", "y", "z", radius.alias("radius"))
+    other = points.withColumnRenamed("pid", "j")
+    want = rows(spatial.radius_join_own(probe, other).where("i <> j"))
+    assert rows(balls.near_pairs_own(probe, other, np.not_equal)) == want and len(want) > 1000
+    assert rows(balls.near_pairs_own(probe.where("i < 50"), other, np.not_equal)) == rows(spatial.radius_join_own(probe.where("i < 50"), other).where("i <> j"))
+    assert balls.near_pairs_own(probe.where("i = 6"), other).count() == 0
+
+
 def _bytes_a_row(spark, df, folder) -> float:
     df.coalesce(1).write.parquet(str(folder))
     return sum(f.stat().st_size for f in folder.iterdir() if f.name.endswith(".parquet")) / spark.read.parquet(str(folder)).count()
