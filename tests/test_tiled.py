@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from geoquilt.functions.linalg import rounded, rounded_soon
 from geoquilt.operators import balls, graphs, spatial
+from geoquilt.plans.queries import QUERIES
 
 EXTRA = [(None, 0.1, 0.1, 0.1), (7000, None, 0.0, 0.0), (7001, 0.3, 0.3, 0.3), (7002, 0.3, 0.3, 0.3)]
 
@@ -63,3 +64,9 @@ def test_quick_rounding_is_rounding(spark):
     df = spark.createDataFrame([(v,) for v in odd + more], "x double")
     same = rounded(F.col("x")).cast("string").eqNullSafe(rounded_soon(F.col("x")).cast("string"))
     assert df.where(~same).count() == 0
+
+
+@pytest.mark.parametrize("name", ["em_estep", "em_estep_all"])
+def test_rows_of_pairs_are_rounded_by_arithmetic(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FLOOR" in plan.split("Join")[0]
