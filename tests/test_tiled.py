@@ -66,7 +66,7 @@ def test_quick_rounding_is_rounding(spark):
     assert df.where(~same).count() == 0
 
 
-@pytest.mark.parametrize("name", ["em_estep", "em_estep_all"])
+@pytest.mark.parametrize("name", ["em_estep", "em_estep_all", "edge_samples"])
 def test_rows_of_pairs_are_rounded_by_arithmetic(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "FLOOR" in plan.split("Join")[0]
